@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once for each row, also where a lambda uses it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def crc32_of_id(col: str = "doc_id") -> Column:
     """crc32 of the decimal form of an id, by which folds are drawn."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

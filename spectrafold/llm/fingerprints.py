@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 
 WORDS = 5
 #: The share of all hashes that is kept.
@@ -29,15 +29,19 @@ FRACTION = 0.25
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     """Hashes of all runs of so many words of a text, white space and case apart."""
     split = F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " ")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(split) - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(split, i, words)))
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1)))
+    return let(split, lambda w: F.transform(starts(w), lambda i: F.xxhash64(F.slice(w, i, words))))
 
 
 def sketch(text: Column, fraction: float = FRACTION, words: int = WORDS) -> Column:
     """The sorted, distinct hashes below ``fraction`` of the range, or the smallest one."""
     limit = -(1 << 63) + int(fraction * (1 << 64))
-    hashes = shingle_hashes(text, words)
-    low = F.filter(hashes, lambda h: h < F.lit(limit)) if fraction < 1 else hashes
-    return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(hashes)))
+
+    def low(hashes: Column) -> Column:
+        kept = F.filter(hashes, lambda h: h < F.lit(limit)) if fraction < 1 else hashes
+        return let(kept, lambda k: F.when(F.size(k) > 0, F.array_sort(F.array_distinct(k))).otherwise(F.array(F.array_min(hashes))))
+
+    return let(shingle_hashes(text, words), low)
 
 
 def merge(sketches: Column) -> Column:

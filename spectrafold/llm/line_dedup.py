@@ -19,13 +19,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 
 def _windows(lines: Column, width: int) -> Column:
     """An array of (pos, a, b): the two hashes of the window that begins at each line but the last."""
-    one, two = F.transform(lines, lambda x: F.xxhash64(x)), F.transform(lines, lambda x: F.xxhash64(F.lit(1), x))
-    starts = F.sequence(F.lit(0), F.size(lines) - width)
-    pick = lambda hashes, i: F.xxhash64(*[F.get(hashes, i + j) for j in range(width)])
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), pick(one, i).alias("a"), pick(two, i).alias("b")))
+    hashed = F.struct(F.transform(lines, lambda x: F.xxhash64(x)).alias("one"), F.transform(lines, lambda x: F.xxhash64(F.lit(1), x)).alias("two"))
+
+    def of(h: Column) -> Column:
+        pick = lambda hashes, i: F.xxhash64(*[F.get(hashes, i + j) for j in range(width)])
+        starts = F.sequence(F.lit(0), F.size(h["one"]) - width)
+        return F.transform(starts, lambda i: F.struct(i.alias("pos"), pick(h["one"], i).alias("a"), pick(h["two"], i).alias("b")))
+
+    return let(hashed, of)
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -44,12 +50,12 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     covered = later.groupBy("_k", "_l").agg(F.collect_set("pos").alias("_starts"))
     out = df.drop("n_lines", "n_removed").withColumns({"_k": key[0], "_l": key[1]}).join(covered, ["_k", "_l"], "left")
     gone = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (width - 1))))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    left = let(lines, lambda x: let(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda k: F.struct(F.array_join(F.transform(k, lambda i: F.get(x, i)), "\n").alias("text"), F.size(k).alias("n"))))
+    out = out.withColumn("_left", F.when(F.col("_starts").isNotNull(), left))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
     names = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     return out.select(
-        *[F.when(F.col("_starts").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(f"`{c}`") for c in names],
+        *[F.when(F.col("_left").isNull(), F.col(text)).otherwise(F.col("_left.text")).alias(text) if c == text else F.col(f"`{c}`") for c in names],
         n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("_starts").isNull(), 0).otherwise(n_lines - F.size(left)).cast("long").alias("n_removed"),
+        F.when(F.col("_left").isNull(), 0).otherwise(n_lines - F.col("_left.n")).cast("long").alias("n_removed"),
     )
