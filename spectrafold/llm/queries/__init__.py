@@ -1,7 +1,7 @@
 """The registered queries of this subpackage: ``QUERIES`` and ``ORACLES``, gathered from the modules beside this file."""
 
-from . import codec, native, near, packed, toxic
+from . import codec, language, native, near, packed, toxic
 
-MODULES = (codec, native, near, packed, toxic)
+MODULES = (codec, language, native, near, packed, toxic)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
