@@ -65,7 +65,7 @@ def likeness(one: Column, other: Column) -> Column:
 
 
 def _followers(keys: DataFrame) -> DataFrame:
-    """For each key (_k, _l) the key that it follows, in descending order of ids, with that one's _half."""
+    """For each key (_k, _l) the document that it follows, in descending order of ids: _pd, _pk, _pl, _half."""
     ordered = cut(keys.orderBy(F.desc_nulls_last("_d"), "_k", "_l").withColumn("_at", F.monotonically_increasing_id()))
     # the ids of one partition are consecutive; there are only as many rows here as partitions
     sizes = sorted(ordered.groupBy(F.shiftright("_at", 33).alias("p")).count().collect())
@@ -74,10 +74,10 @@ def _followers(keys: DataFrame) -> DataFrame:
         starts.append((p, total))
         total += n
     if not total:
-        return ordered.select("_k", "_l", F.col("_k").alias("_pk"), F.col("_l").alias("_pl"), "_half")
+        return ordered.select("_k", "_l", F.col("_d").alias("_pd"), F.col("_k").alias("_pk"), F.col("_l").alias("_pl"), "_half")
     offsets = keys.sparkSession.createDataFrame(starts, "p long, start long")
     ranked = ordered.join(F.broadcast(offsets), F.shiftright("_at", 33) == F.col("p")).withColumn("_rank", F.col("start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    before = ranked.select(F.col("_k").alias("_pk"), F.col("_l").alias("_pl"), "_half", ((F.col("_rank") + 1) % total).alias("_rank"))
+    before = ranked.select(F.col("_d").alias("_pd"), F.col("_k").alias("_pk"), F.col("_l").alias("_pl"), "_half", ((F.col("_rank") + 1) % total).alias("_rank"))
     return ranked.select("_k", "_l", "_rank").join(before, "_rank").drop("_rank")
 
 
@@ -87,15 +87,16 @@ def compare_with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     The edited text is the text whose last half (rounded down) gives way to as many code points from the
     start of the next document, by descending id; after the last document comes the first.
     """
-    docs = df.select(F.col(doc_id).alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    docs = docs.withColumns({"_k": F.xxhash64("_d", "_t"), "_l": F.xxhash64(F.lit(1), "_d", "_t")})
-    docs = docs.dropDuplicates(["_k", "_l"])
+    rows = df.select(F.col(doc_id).alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    rows = rows.withColumns({"_k": F.xxhash64("_d", "_t"), "_l": F.xxhash64(F.lit(1), "_d", "_t")})
     half = F.floor(F.char_length("_t") / 2).cast("int")
-    keys = docs.select("_d", "_k", "_l", half.alias("_half"))
+    keys = rows.select("_d", "_k", "_l", half.alias("_half")).distinct()
+    # both uses of the texts need the same columns, so that they are shuffled once
+    docs = rows.select("_k", "_l", "_t").dropDuplicates(["_k", "_l"])
     held = docs.join(_followers(keys), ["_k", "_l"])
-    guests = held.select(F.col("_pk").alias("_k"), F.col("_pl").alias("_l"), F.expr("substring(_t, 1, _half)").alias("_head"), sketch(F.col("_t")).alias("next_sketch"))
+    guests = held.select(F.col("_pk").alias("_k"), F.col("_pl").alias("_l"), "_pd", F.expr("substring(_t, 1, _half)").alias("_head"), sketch(F.col("_t")).alias("next_sketch"))
     both = docs.join(guests, ["_k", "_l"])
     edited = F.concat(F.expr("substring(_t, 1, char_length(_t) - cast(floor(char_length(_t) / 2) as int))"), F.col("_head"))
-    return both.select(F.col("_d").alias("doc_id"), F.col("_t").alias("text"), edited.alias("edited_text"), "next_sketch").select(
+    return both.select(F.col("_pd").alias("doc_id"), F.col("_t").alias("text"), edited.alias("edited_text"), "next_sketch").select(
         "doc_id", "text", "edited_text", sketch(F.col("text")).alias("sketch"), sketch(F.col("edited_text")).alias("edited_sketch"), "next_sketch"
     )

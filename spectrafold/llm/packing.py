@@ -24,6 +24,7 @@ import os
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ _BY_WORD = (
     ["Split", "ByteLevel"],
     "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
 )
+_WORD_END = "</w>"
 _MARKS = ",.!?;:"
 
 
@@ -45,7 +47,7 @@ class WordTokens:
     space and matches words between it; other tokenizers get the whole text.
     """
 
-    def __init__(self, path: str, end_id: int, cache_size: int = 200_000) -> None:
+    def __init__(self, path: str, end_id: int, cache_size: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -54,7 +56,10 @@ class WordTokens:
             spec = json.load(f)
         steps = [(spec.get(k) or {}).get(v, []) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
         pattern = steps[1][0].get("pattern", {}).get("Regex") if steps[1] else None
-        self.by_word = ([x["type"] for x in steps[0]], [x["type"] for x in steps[1]], pattern) == _BY_WORD
+        self.by_word = ([x["type"] for x in steps[0]], [x["type"] for x in steps[1]], pattern) == _BY_WORD and spec["model"].get("end_of_word_suffix") == _WORD_END
+        vocabulary = spec["model"].get("vocab", {}) if self.by_word else {"": 0}
+        self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends_word[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self.end = array("I", [end_id]).tobytes()
         self._recent: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
@@ -63,42 +68,65 @@ class WordTokens:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words. Words of Latin letters are encoded many at once and told apart by their last tokens."""
+        out: dict[str, bytes] = {}
+        plain = [w for w in words if w.isalpha() and max(w) < "\u0100"]
+        for start in range(0, len(plain), 1000):
+            chunk = plain[start : start + 1000]
+            found = self.tokenizer.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            ends = (np.flatnonzero(self._ends_word[ids]) + 1).tolist()
+            if len(ends) == len(chunk):
+                packed, at = ids.tobytes(), 0
+                for w, end in zip(chunk, ends):
+                    out[w] = packed[4 * at : 4 * end]
+                    at = end
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._encode(rest)))
+        return out
+
     def _learn(self, words: set[str]) -> None:
-        cores: dict[str, tuple[str, str]] = {}
+        """Add words to the recent ones, from the older ones or by the tokenizer."""
+        recent, older = self._recent, self._older
+        new: dict[str, tuple[str, str]] = {}
         for word in words:
+            if word in older:
+                recent[word] = older[word]
+                continue
             core = word.rstrip(_MARKS)
             if core and core[-1].isalpha() and "'" not in word and "<|" not in word:
-                cores[word] = (core.lower() if core.isascii() else core, word[len(core) :])
+                new[word] = (core.lower() if core.isascii() else core, word[len(core) :])
             else:
-                cores[word] = (word, "")
-        wanted = {part for pair in cores.values() for part in pair if part} - self._recent.keys()
-        new = {part: out for part in wanted if (out := self._older.get(part)) is not None}
-        rest = list(wanted - new.keys())
-        new.update(zip(rest, self._encode(rest)))
-        if len(self._recent) + len(new) + len(words) > self._size and self._recent:
-            self._older, self._recent = self._recent, {}
-        self._recent.update(new)
-        for word, (core, marks) in cores.items():
-            self._recent[word] = self._known(core) + (self._known(marks) if marks else b"")
-
-    def _known(self, word: str) -> bytes:
-        out = self._recent.get(word)
-        return self._older[word] if out is None else out
+                new[word] = (word, "")
+        wanted = {part for pair in new.values() for part in pair if part} - recent.keys()
+        for part in wanted & older.keys():
+            recent[part] = older[part]
+            wanted.discard(part)
+        recent.update(self._encode_words(list(wanted)))
+        for word, (core, marks) in new.items():
+            recent[word] = recent[core] + (recent[marks] if marks else b"")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
         if not self.by_word:
             return [ids + self.end for ids in self._encode([t or "" for t in texts])]
-        split = [[w for w in (t or "").replace("\n", " ").replace("\t", " ").split(" ") if w] for t in texts]
-        missing = {w for words in split for w in words if w not in self._recent}
+        if len(self._recent) > self._size:
+            self._older, self._recent = self._recent, {}
+        split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        self._recent[""] = b""
+        found = [list(map(self._recent.get, words)) for words in split]
+        holes = [[i for i, ids in enumerate(got) if ids is None] if None in got else [] for got in found]
+        missing = {words[i] for words, at in zip(split, holes) for i in at}
         if missing:
-            for w in [w for w in missing if w in self._older]:
-                self._recent[w] = self._older[w]
-                missing.discard(w)
             self._learn(missing)
-            known = self._known
-            return [b"".join([*map(known, words), self.end]) for words in split]
-        return [b"".join([*map(self._recent.__getitem__, words), self.end]) for words in split]
+        out = []
+        for words, got, at in zip(split, found, holes):
+            for i in at:
+                got[i] = self._recent[words[i]]
+            got.append(self.end)
+            out.append(b"".join(got))
+        return out
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
