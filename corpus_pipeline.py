@@ -1,12 +1,70 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: toxicity, language, repeated lines, near-duplicates, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``. ``run`` writes each stage's rows to the shared checkpoint folder before the next one reads
+them. ``ORACLE_SQL`` is None: learned models, ProbMinHash and tokenizers can't be put into SQL.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spectrafold.llm import language_id, line_dedup, near_dedup, packing, toxicity
+from spectrafold.llm.common import cut, table
+from spectrafold.llm.queries import language, packed, toxic
+
+#: Documents whose language is less certain than this are rejected.
+LEAST_CERTAIN = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from the labelled ones among them, doesn't predict toxic."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxic.held_out())
+    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows and is certain enough of."""
+    model = language_id.learn(docs, ~language.held_out())
+    told = language_id.predict(docs, model)
+    return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated windows of lines; a document that loses all of its lines goes."""
+    out = line_dedup.dedup_lines(docs)
+    left = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", changed).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest id; rows without an id stay."""
+    classes = near_dedup.near_duplicates(docs)
+    firsts = classes.where("doc_id = class_id").select("doc_id")
+    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packed.digest(packing.pack(docs, public_tokenizers.path(packed.TOKENIZER)))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, applied to the documents one after another."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
