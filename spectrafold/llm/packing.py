@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -40,6 +41,23 @@ _WORD_END = "</w>"
 _MARKS = ",.!?;:"
 
 
+#: A comma or full stop that belongs to a run of marks, which is one word.
+_RUN = re.compile(r"(?:[^\w\s]|_)[,.] ").search
+
+
+def _spaced(text: str) -> str:
+    """A text whose words are apart by blanks; plain Latin text in lower case, with commas and full stops apart."""
+    text = text.replace("\n", " ").replace("\t", " ")
+    if "<|" in text:  # could become a special token
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    text = text.lower() + " "
+    return text if _RUN(text) else text.replace(", ", " , ").replace(". ", " . ")
+
+
 class WordTokens:
     """Token ids of texts, with a bounded store of the words met before.
 
@@ -47,7 +65,7 @@ class WordTokens:
     space and matches words between it; other tokenizers get the whole text.
     """
 
-    def __init__(self, path: str, end_id: int, cache_size: int = 400_000) -> None:
+    def __init__(self, path: str, end_id: int, cache_size: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -113,7 +131,7 @@ class WordTokens:
             return [ids + self.end for ids in self._encode([t or "" for t in texts])]
         if len(self._recent) > self._size:
             self._older, self._recent = self._recent, {}
-        split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        split = [_spaced(t or "").split(" ") for t in texts]
         self._recent[""] = b""
         found = [list(map(self._recent.get, words)) for words in split]
         holes = [[i for i, ids in enumerate(got) if ids is None] if None in got else [] for got in found]
@@ -298,8 +316,8 @@ def pack(
 
         for whole in batches:
             id_type = whole.column(doc_id).type
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
                 for name, ids in zip(batch.column(doc_id).to_pylist(), tokens.encode(batch.column(text).to_pylist())):
                     held[serial] = (name, ids)
                     emit(packer.add(serial, len(ids) // 4))
