@@ -1,4 +1,586 @@
 """The registered graph-signal queries and their DuckDB oracles."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import links
+from .functions.filters import NAMES, Filter, custom, multivariate, univariate
+from .operators import dense, distributed, linop, models, transform
+from .operators.graphs import Graph, ProductGraph
+from .plans import rules
+from .sources import signals
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLES[name or f.__name__] = oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *values: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({v: F.round(v, digits) + F.lit(0.0) for v in values or ("v",)})
+
+
+# ---- inputs -------------------------------------------------------------------------------------------
+
+DAYS, TYPES = 30, 5
+
+
+def day_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events each day has of each type, on 30 days and 5 types."""
+    events = signals.read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type")
+    return signals.cube(events, ["day", "event_type"], F.count("*"), fill=0.0)[0]
+
+
+def day_type_graph(spark: SparkSession) -> ProductGraph:
+    return ProductGraph(Graph.chain(spark, DAYS), Graph.complete(spark, TYPES))
+
+
+def partial(signal: DataFrame) -> DataFrame:
+    """A signal of which a third of the cells is missing."""
+    return signal.withColumn("v", F.when((F.col("ax0") + F.col("ax1")) % 3 != 0, F.col("v")))
+
+
+def month_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value of orders in millions by month and nation; months and nations without orders are NULL."""
+    orders = signals.read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    customer = signals.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    rows = orders.join(customer, "o_custkey").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "c_nationkey", "o_totalprice")
+    return signals.cube(rows, ["month", "c_nationkey"], F.sum("o_totalprice") / 1e6)[0]
+
+
+def region_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations of one region are next to each other."""
+    nation = signals.read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    other = nation.select(F.col("n_nationkey").alias("dst"), "n_regionkey")
+    pairs = nation.join(other, "n_regionkey").where("n_nationkey < dst").select(F.col("n_nationkey").alias("src"), "dst")
+    return Graph.from_edges(pairs, 25)
+
+
+def month_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean price of line items (thousands) by ship month and return flag, with mean quantity, discount and tax."""
+    items = signals.read(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_returnflag", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    cells = items.groupBy("month", "l_returnflag").agg((F.avg("l_extendedprice") / 1e3).alias("v"), F.array(F.avg("l_quantity") / 50, F.avg("l_discount") * 10, F.avg("l_tax") * 10).alias("x"))
+    months, flags = signals.axis(cells, "month", "ax0"), signals.axis(cells, "l_returnflag", "ax1")
+    full = months.join(flags.withColumnRenamed("label", "l_returnflag"), how="cross").withColumnRenamed("label", "month").join(cells, ["month", "l_returnflag"], "left")
+    return full.select("ax0", "ax1", "v", F.coalesce("x", F.array(*[F.lit(0.0)] * 3)).alias("x"))
+
+
+def month_flag_graph(signal: DataFrame) -> ProductGraph:
+    n0, n1 = signal.agg(F.max("ax0") + 1, F.max("ax1") + 1).first()
+    return ProductGraph(Graph.chain(signal.sparkSession, n0), Graph.complete(signal.sparkSession, n1))
+
+
+def hour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source and language of documents, whether most labelled documents are of quality 1."""
+    docs = signals.read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    labels = signals.read(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = docs.join(labels, "doc_id", "left")
+    signal, _ = signals.cube(rows, ["source", "lang"], F.avg("quality"))
+    return signal
+
+
+def source_graph(signal: DataFrame) -> ProductGraph:
+    return month_flag_graph(signal)
+
+
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """label, x: the mean embedding of each label."""
+    rows = signals.read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "e"))
+    means = rows.groupBy("label", "pos").agg(F.avg(F.col("e").cast("double")).alias("e"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda s: s["e"])
+    return means.groupBy("label").agg(ordered.alias("x"))
+
+
+# ---- SQL of the same inputs ---------------------------------------------------------------------------
+
+_DAY_TYPE = """
+days AS (SELECT day, CAST(row_number() OVER (ORDER BY day) - 1 AS INTEGER) AS ax0 FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)),
+types AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS ax1 FROM (SELECT DISTINCT event_type FROM events)),
+counts AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2),
+sig AS (
+  SELECT d.ax0, t.ax1, CAST(coalesce(c.n, 0) AS DOUBLE) AS v FROM days d CROSS JOIN types t
+  LEFT JOIN counts c ON c.day = d.day AND c.event_type = t.event_type)"""
+
+
+def _basis_sql(name: str, n: int, kind: str) -> str:
+    lam = {"chain": f"2 - 2 * cos(pi() * k / {n})", "complete": f"CASE WHEN k = 0 THEN 0.0 ELSE {n}.0 END"}[kind]
+    return f"""
+{name} AS (
+  SELECT CAST(i AS INTEGER) AS i, CAST(k AS INTEGER) AS k, {lam} AS lam,
+    CASE WHEN k = 0 THEN sqrt(1.0 / {n}) ELSE sqrt(2.0 / {n}) * cos(pi() * (i + 0.5) * k / {n}) END AS u
+  FROM range({n}) a(i) CROSS JOIN range({n}) b(k))"""
+
+
+_BASES = _basis_sql("b0", DAYS, "chain") + "," + _basis_sql("b1", TYPES, "complete")
+_SPECTRUM = """
+spec AS (
+  SELECT a.k AS k0, b.k AS k1, any_value(a.lam) AS lam0, any_value(b.lam) AS lam1, sum(s.v * a.u * b.u) AS z
+  FROM sig s JOIN b0 a ON a.i = s.ax0 JOIN b1 b ON b.i = s.ax1 GROUP BY 1, 2)"""
+
+
+def _filter_sql(gain: str, digits: int = 4) -> str:
+    return f"""WITH {_DAY_TYPE}, {_BASES}, {_SPECTRUM}
+SELECT a.i AS ax0, b.i AS ax1, round(sum(z * ({gain}) * a.u * b.u), {digits}) + 0.0 AS v
+FROM spec JOIN b0 a ON a.k = k0 JOIN b1 b ON b.k = k1 GROUP BY 1, 2"""
+
+
+_GAINS = {
+    "random_walk": "1 / (1 + {s})",
+    "diffusion": "exp(-({s}))",
+    "relu": "greatest(1 - ({s}), 0.0)",
+    "sigmoid": "2 * exp(-({s})) / (1 + exp(-({s})))",
+}
+
+
+# ---- constructors, validation, Laplacians -------------------------------------------------------------
+
+
+@query("SELECT CAST(i AS INTEGER) AS node, CAST(CASE WHEN i IN (0, 29) THEN 1 ELSE 2 END AS DOUBLE) AS degree FROM range(30) t(i)")
+def graph_chain_degree(spark, sf_dir):
+    return Graph.chain(spark, 30).degrees()
+
+
+@query("""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 2 ELSE -1 END AS DOUBLE) AS w
+FROM range(24) a(i), range(24) b(j) WHERE i = j OR (i - j + 24) % 24 IN (1, 23)""")
+def graph_loop_laplacian(spark, sf_dir):
+    return Graph.loop(spark, 24).laplacian()
+
+
+@query("SELECT CAST(i AS INTEGER) AS src, CAST(j AS INTEGER) AS dst, CAST(1 AS DOUBLE) AS w FROM range(12) a(i), range(12) b(j) WHERE i <> j")
+def graph_complete_edges(spark, sf_dir):
+    return Graph.complete(spark, 12).edges
+
+
+@query("""SELECT i * 6 + j AS src, p * 6 + q AS dst, CAST(1 AS DOUBLE) AS w FROM range(5) a(i), range(6) b(j), range(5) c(p), range(6) d(q)
+WHERE abs(i - p) + abs(j - q) = 1""")
+def graph_lattice_edges(spark, sf_dir):
+    return ProductGraph.lattice(spark, 5, 6).edges()
+
+
+@query("SELECT i AS node, CAST(4 AS DOUBLE) AS degree FROM range(30) t(i)")
+def graph_torus_degree(spark, sf_dir):
+    return ProductGraph.torus(spark, 5, 6).edges().groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("degree"))
+
+
+@query("SELECT CAST(2 * (3 * (3 * 4 + 4 * 3 - 4 - 3 + 0) + 12 * 3) AS BIGINT) AS edges, CAST(36 AS BIGINT) AS nodes")
+def graph_image_size(spark, sf_dir):
+    edges = ProductGraph.image(spark, 3, 4).edges()
+    return edges.agg(F.count("*").alias("edges"), F.countDistinct("src").alias("nodes"))
+
+
+@query("""SELECT n_nationkey AS i, n_nationkey AS j, CAST(count(*) OVER (PARTITION BY n_regionkey) - 1 AS DOUBLE) AS w FROM nation
+UNION ALL SELECT a.n_nationkey, b.n_nationkey, CAST(-1 AS DOUBLE) FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey""")
+def nation_region_laplacian(spark, sf_dir):
+    kind = signals.read(spark, sf_dir, "nation").schema["n_nationkey"].dataType
+    return region_graph(spark, sf_dir).laplacian().select(F.col("i").cast(kind), F.col("j").cast(kind), "w")
+
+
+@query("SELECT * FROM (VALUES ('connected', true, true), ('regular', true, true), ('tree', true, true)) t(graph, connected, expected)")
+def graph_random_invariants(spark, sf_dir):
+    """Random graphs: whether they are connected (regular: of equal degrees) and as large as they must be."""
+    rows = []
+    for name, g in (("tree", Graph.random_tree(spark, 40, 3)), ("connected", Graph.random_connected(spark, 40, seed=3)), ("regular", Graph.random_regular(spark, 20, 3, 1))):
+        low, high = g.degrees().agg(F.min("degree"), F.max("degree")).first()
+        edges = g.edges.count() // 2
+        fine = {"tree": edges == 39, "connected": edges >= 39, "regular": edges == 30}[name]
+        rows.append((name, bool(low == high == 3.0) if name == "regular" else bool(np.sum(g.lam < 1e-9) == 1), bool(fine)))
+    return spark.createDataFrame(rows, "graph string, connected boolean, expected boolean")
+
+
+@query("""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i <> j THEN -1 WHEN i IN (0, 9) THEN 1 ELSE 2 END AS DOUBLE) AS w
+FROM range(10) a(i), range(10) b(j) WHERE abs(i - j) <= 1""")
+def laplacian_round_trip(spark, sf_dir):
+    """Adjacency to Laplacian to a graph and back, with both checks."""
+    chain = Graph.chain(spark, 10)
+    return Graph.from_laplacian(chain.laplacian(), 10).laplacian()
+
+
+@query("SELECT 'asymmetric' AS matrix, CAST(2 AS BIGINT) AS faults UNION ALL SELECT 'symmetric', CAST(0 AS BIGINT)")
+def validate_adjacency(spark, sf_dir):
+    from .operators.graphs import asymmetric
+
+    edges = Graph.chain(spark, 10).edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
+    bad = edges.where("not (i = 3 and j = 4)")
+    count = lambda t, name: asymmetric(t).agg(F.lit(name).alias("matrix"), F.count("*").alias("faults"))
+    return count(edges, "symmetric").union(count(bad, "asymmetric"))
+
+
+@query(f"""WITH {_DAY_TYPE} SELECT s.ax0, s.ax1, round(
+  coalesce(sum(s.v - o.v), 0), 4) + 0.0 AS v
+FROM sig s LEFT JOIN sig o ON (abs(s.ax0 - o.ax0) = 1 AND s.ax1 = o.ax1) OR (s.ax0 = o.ax0 AND s.ax1 <> o.ax1) GROUP BY 1, 2""")
+def laplacian_product(spark, sf_dir):
+    return rounded(transform.laplacian_product(day_type(spark, sf_dir), day_type_graph(spark)))
+
+
+@query("""WITH rows AS (
+  SELECT strftime(o_orderdate, '%Y-%m') AS month, c_nationkey, sum(o_totalprice) / 1e6 AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+months AS (SELECT month, CAST(row_number() OVER (ORDER BY month) - 1 AS INTEGER) AS ax0 FROM (SELECT DISTINCT month FROM rows))
+SELECT m.ax0, round(sum(pow(a.v - b.v, 2)), 4) + 0.0 AS smoothness FROM rows a JOIN rows b ON a.month = b.month AND a.c_nationkey < b.c_nationkey
+JOIN nation n ON n.n_nationkey = a.c_nationkey JOIN nation p ON p.n_nationkey = b.c_nationkey AND p.n_regionkey = n.n_regionkey
+JOIN months m ON m.month = a.month GROUP BY 1""")
+def order_smoothness(spark, sf_dir):
+    """y' L y of each month's order values over the regions' nations."""
+    cells = month_nation(spark, sf_dir).where("v is not null").select(F.col("ax0").alias("month"), F.col("ax1").alias("ax0"), "v")
+    out = transform.smoothness(cells, region_graph(spark, sf_dir), ["month"])
+    return rounded(out.withColumnRenamed("month", "ax0"), "smoothness")
+
+
+# ---- transforms and filters ---------------------------------------------------------------------------
+
+
+@query(f"""WITH {_DAY_TYPE}, {_basis_sql("b0", DAYS, "chain")}
+SELECT b0.k AS ax0, round(sum(v * u), 4) + 0.0 AS v FROM sig JOIN b0 ON b0.i = sig.ax0 GROUP BY 1""")
+def events_gft_chain(spark, sf_dir):
+    days = day_type(spark, sf_dir).groupBy("ax0").agg(F.sum("v").alias("v"))
+    return rounded(transform.gft(days, Graph.chain(spark, DAYS)))
+
+
+@query(f"WITH {_DAY_TYPE} SELECT round(sum(v * v), 3) AS vertices, round(sum(v * v), 3) AS spectrum, round(0.0, 3) AS trip FROM sig")
+def events_parseval(spark, sf_dir):
+    """The energy on both sides of the transform, and the greatest error of a round trip."""
+    y, g = day_type(spark, sf_dir), day_type_graph(spark)
+    z = transform.gft(y, g)
+    back = transform.rgft(z, g).withColumnRenamed("v", "b")
+    energy = lambda t, n: t.agg(F.round(F.sum(F.col("v") * F.col("v")), 3).alias(n))
+    trip = y.join(back, ["ax0", "ax1"]).agg((F.round(F.max(F.abs(F.col("v") - F.col("b"))), 3) + 0.0).alias("trip"))
+    return energy(y, "vertices").join(energy(z, "spectrum"), how="cross").join(trip, how="cross")
+
+
+def _register_filters() -> None:
+    def make(g: Filter, power: float | None = None):
+        return lambda spark, sf_dir: rounded(transform.filter_signal(day_type(spark, sf_dir), day_type_graph(spark), g, power))
+
+    for name in NAMES:
+        if name == "bandlimited":
+            one, many = "CASE WHEN lam0 + lam1 <= 1 / 0.15 THEN 1.0 ELSE 0.0 END", "CASE WHEN lam0 * 0.4 < 1 AND lam1 * 0.15 < 1 THEN 1.0 ELSE 0.0 END"
+            g1, g2 = univariate(name, 0.15), multivariate(name, 0.4, 0.15)
+        else:
+            one, many = _GAINS[name].format(s="0.4 * (lam0 + lam1)"), _GAINS[name].format(s="0.3 * lam0 + 0.4 * lam1")
+            g1, g2 = univariate(name, 0.4), multivariate(name, 0.3, 0.4)
+        query(_filter_sql(one), f"filter_{name}")(make(g1))
+        query(_filter_sql(many), f"filter_{name}_mv")(make(g2))
+    query(_filter_sql("pow(1 / (1 + 0.4 * (lam0 + lam1)), 2.0)"), "filter_power")(make(univariate("random_walk", 0.4), 2))
+    query(_filter_sql("pow(1 + 0.4 * (lam0 + lam1), -2.0)"), "filter_custom_two_hop")(make(custom(lambda lam, b: 1 / ((1 + b * lam) * (1 + b * lam)), 0.4)))
+    query(_filter_sql("exp(-0.7 * (lam0 + lam1))"), "filter_fused")(make(rules.fuse(univariate("diffusion", 0.4), univariate("diffusion", 0.3))))
+    query(_filter_sql("exp(-0.4 * (lam0 + lam1))"), "filter_polynomial")(lambda spark, sf_dir: rounded(transform.chebyshev(day_type(spark, sf_dir), day_type_graph(spark), univariate("diffusion", 0.4), degree=14)))
+
+
+_register_filters()
+
+
+@query("""WITH hours AS (SELECT h AS ax0, coalesce(n, 0.0) AS v FROM range(24) t(h) LEFT JOIN (
+  SELECT date_part('hour', ts) AS hh, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1) e ON e.hh = t.h),
+kernel AS (SELECT a.i, b.j, sum(exp(-0.5 * (2 - 2 * cos(2 * pi() * k / 24))) * cos(2 * pi() * k * (a.i - b.j) / 24)) / 24 AS u
+  FROM range(24) a(i), range(24) b(j), range(24) c(k) GROUP BY 1, 2)
+SELECT CAST(kernel.i AS INTEGER) AS ax0, round(sum(u * v), 4) + 0.0 AS v FROM kernel JOIN hours ON hours.ax0 = kernel.j GROUP BY 1""")
+def filter_loop_hours(spark, sf_dir):
+    """Diffusion of the counts by hour of day around the clock."""
+    counts = signals.read(spark, sf_dir, "events").groupBy(F.hour("ts").alias("ax0")).agg(F.count("*").cast("double").alias("n"))
+    hours = spark.range(24).select(F.col("id").cast("int").alias("ax0")).join(counts, "ax0", "left").select("ax0", F.coalesce("n", F.lit(0.0)).alias("v"))
+    return rounded(transform.filter_signal(hours, Graph.loop(spark, 24), univariate("diffusion", 0.5)))
+
+
+@query(f"""WITH {_DAY_TYPE} SELECT a.ax0, b.ax1, round(a.v * b.v, 3) + 0.0 AS v FROM
+  (SELECT ax0, sum(v) AS v FROM sig GROUP BY 1) a CROSS JOIN (SELECT ax1, sum(v) AS v FROM sig GROUP BY 1) b""")
+def outer_product(spark, sf_dir):
+    y = day_type(spark, sf_dir)
+    return rounded(transform.outer_product(y.groupBy("ax0").agg(F.sum("v").alias("v")), y.groupBy("ax1").agg(F.sum("v").alias("v"))), digits=3)
+
+
+@query(f"WITH {_DAY_TYPE} SELECT ax0, ax1, CAST(ax0 AS BIGINT) * 5 + ax1 AS flat, 0 AS batch, v FROM sig")
+def flatten_axes(spark, sf_dir):
+    """Row-major numbers of the cells, back to coordinates, and a further axis."""
+    g = day_type_graph(spark)
+    flat = day_type(spark, sf_dir).select(transform.flat_id(g).alias("flat"), "v")
+    return transform.expand_axis(flat.select(*transform.unflatten(F.col("flat"), g), "flat", "v"), "batch")
+
+
+# ---- preprocessing, links, encodings ------------------------------------------------------------------
+
+
+@query(f"""WITH {_DAY_TYPE}, p AS (SELECT ax0, ax1, CASE WHEN (ax0 + ax1) % 3 <> 0 THEN v END AS v FROM sig),
+s AS (SELECT avg(v) AS loc, stddev_pop(v) AS scale FROM p)
+SELECT ax0, ax1, v IS NOT NULL AS obs, round(coalesce((v - loc) / scale, 0), 4) + 0.0 AS v FROM p CROSS JOIN s""")
+def normalise(spark, sf_dir):
+    return rounded(signals.preprocess(partial(day_type(spark, sf_dir))).drop("loc", "scale"))
+
+
+@query(f"WITH {_DAY_TYPE} SELECT ax0, ax1, CAST(CASE WHEN (ax0 + ax1) % 3 <> 0 THEN v END AS DOUBLE) AS v FROM sig")
+def postprocess_round_trip(spark, sf_dir):
+    out = signals.postprocess(signals.preprocess(partial(day_type(spark, sf_dir))))
+    return out.select("ax0", "ax1", F.when(F.col("obs"), F.round("v", 6)).alias("v"))
+
+
+@query("SELECT vec_id, CAST(c AS INTEGER) AS c, CAST(CASE WHEN label = c THEN 1 ELSE 0 END AS DOUBLE) AS v FROM embeddings CROSS JOIN range(10) t(c)")
+def one_hot(spark, sf_dir):
+    return links.one_hot(signals.read(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", 10).select("vec_id", "c", "v")
+
+
+@query("""SELECT vec_id, CAST(c AS INTEGER) AS c, round(exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id), 6) AS p
+FROM (SELECT vec_id, unnest(range(10)) AS c, CAST(unnest(embedding[1:10]) AS DOUBLE) AS x FROM embeddings)""")
+def softmax(spark, sf_dir):
+    """Softmax of the first ten components, as an array function."""
+    first = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
+    out = signals.read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(links.softmax(first)).alias("c", "p"))
+    return rounded(out, "p", digits=6)
+
+
+@query("""SELECT vec_id, CAST(c AS INTEGER) AS c, round(exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id), 6) AS p
+FROM (SELECT vec_id, unnest(range(10)) AS c, CAST(unnest(embedding[1:10]) AS DOUBLE) AS x FROM embeddings)""")
+def softmax_rows(spark, sf_dir):
+    """Softmax over rows of one vector."""
+    rows = signals.read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 10)).alias("c", "x"))
+    return rounded(rows.select("vec_id", "c", links.softmax_over(F.col("x").cast("double"), ["vec_id"]).alias("p")), "p", digits=6)
+
+
+@query("""SELECT vec_id, CAST(arg_max(c, (x, -c)) AS INTEGER) AS c, CAST(arg_max(c, (x, -c)) AS INTEGER) AS by_array FROM (
+  SELECT vec_id, unnest(range(64)) AS c, unnest(embedding) AS x FROM embeddings) GROUP BY 1""")
+def argmax_decode(spark, sf_dir):
+    rows = signals.read(spark, sf_dir, "embeddings")
+    one = links.argmax(rows.select("vec_id", F.posexplode("embedding").alias("c", "x")), ["vec_id"], "c", "x")
+    return one.join(rows.select("vec_id", links.argmax_array(F.col("embedding")).alias("by_array")), "vec_id")
+
+
+@query("SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 6) AS p, CAST(embedding[1] > 0 AS INTEGER) AS label FROM embeddings")
+def logistic_link(spark, sf_dir):
+    f = F.col("embedding")[0].cast("double")
+    return rounded(signals.read(spark, sf_dir, "embeddings").select("vec_id", links.logistic(f).alias("p"), links.threshold(f).alias("label")), "p", digits=6)
+
+
+@query("""WITH c AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2)
+SELECT p.label AS a, q.label AS b, round(exp(-sum(pow(p.x - q.x, 2)) / (2 * 0.25)), 6) AS k FROM c p JOIN c q ON p.i = q.i GROUP BY 1, 2""")
+def rbf_kernel_pairs(spark, sf_dir):
+    """The kernel of all pairs of label centroids."""
+    return rounded(models.kernel_pairs(centroids(spark, sf_dir), 0.5, "label"), "k", digits=6)
+
+
+# ---- operator algebra ---------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_DAY_TYPE}, {_BASES}, {_SPECTRUM}
+SELECT a.i AS ax0, b.i AS ax1, round(sum(z * (2 * pow(lam0 + lam1, 2) + 1) * a.u * b.u), 3) + 0.0 AS v
+FROM spec JOIN b0 a ON a.k = k0 JOIN b1 b ON b.k = k1 GROUP BY 1, 2""")
+def operator_algebra(spark, sf_dir):
+    """(2 L L' + I) y, composed lazily."""
+    lap = linop.KroneckerSum(day_type_graph(spark))
+    return rounded((2 * (lap @ lap.T) + linop.Identity()) @ day_type(spark, sf_dir), digits=3)
+
+
+@query(_filter_sql("exp(-0.3 * lam0 - 0.4 * lam1)"))
+def operator_kronecker(spark, sf_dir):
+    """A Kronecker product of one kernel for each axis."""
+    g = day_type_graph(spark)
+    kernels = [(transform.axis_kernel(f, F.exp(-F.col("lam") * b)), f.n**2) for f, b in zip(g.factors, (0.3, 0.4))]
+    return rounded(linop.KroneckerProduct(tuple(kernels)).T @ day_type(spark, sf_dir))
+
+
+@query(f"WITH {_DAY_TYPE} SELECT ax0, ax1, round(v / 100 * (SELECT sum(o.v * o.v) / 100 FROM sig o WHERE o.ax0 = sig.ax0), 3) + 0.0 AS v FROM sig")
+def operator_mu_block(spark, sf_dir):
+    """mu mu' y for each day, with the types as classes."""
+    y = day_type(spark, sf_dir)
+    mu = y.select("ax0", "ax1", (F.col("v") / 100).alias("mu"))
+    return rounded(linop.MuBlock(mu, ("ax0",), "ax1").apply(y), digits=3)
+
+
+@query("""WITH x AS (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, l_tax * 10 AS c FROM lineitem),
+long AS (SELECT sum(a*a) AS aa, sum(a*b) AS ab, sum(a*c) AS ac, sum(b*b) AS bb, sum(b*c) AS bc, sum(c*c) AS cc FROM x)
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v, 2) AS v FROM (
+  SELECT 0 AS i, 0 AS j, aa AS v FROM long UNION ALL SELECT 0, 1, ab FROM long UNION ALL SELECT 0, 2, ac FROM long
+  UNION ALL SELECT 1, 0, ab FROM long UNION ALL SELECT 1, 1, bb FROM long UNION ALL SELECT 1, 2, bc FROM long
+  UNION ALL SELECT 2, 0, ac FROM long UNION ALL SELECT 2, 1, bc FROM long UNION ALL SELECT 2, 2, cc FROM long)""")
+def gram_matrix(spark, sf_dir):
+    items = signals.read(spark, sf_dir, "lineitem").select(F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10).alias("x"))
+    return rounded(linop.gram(items), digits=2)
+
+
+# ---- reconstruction -----------------------------------------------------------------------------------
+
+_SHRUNK = _filter_sql("exp(-0.8 * (lam0 + lam1)) / (exp(-0.8 * (lam0 + lam1)) + 0.5)")
+
+
+@query(_SHRUNK)
+def gsr_closed_form(spark, sf_dir):
+    """Everything observed: one filter, by tables alone."""
+    return rounded(rules.closed_form(day_type(spark, sf_dir), day_type_graph(spark), univariate("diffusion", 0.4), 0.5))
+
+
+_RICHARDSON = f"""WITH RECURSIVE {_DAY_TYPE}, {_BASES},
+k0 AS (SELECT a.i, b.i AS j, sum(exp(-0.8 * a.lam) * a.u * b.u) AS h FROM b0 a JOIN b0 b ON a.k = b.k GROUP BY 1, 2),
+k1 AS (SELECT a.i, b.i AS j, sum(exp(-0.8 * a.lam) * a.u * b.u) AS h FROM b1 a JOIN b1 b ON a.k = b.k GROUP BY 1, 2),
+seen AS (SELECT ax0, ax1, v FROM sig WHERE (ax0 + ax1) % 3 <> 0),
+stats AS (SELECT avg(v) AS loc, stddev_pop(v) AS scale FROM seen),
+o AS (SELECT ax0, ax1, (v - loc) / scale AS y FROM seen CROSS JOIN stats),
+k AS (SELECT p.ax0 AS p0, p.ax1 AS p1, q.ax0 AS q0, q.ax1 AS q1, a.h * b.h AS h
+  FROM o p CROSS JOIN o q JOIN k0 a ON a.i = p.ax0 AND a.j = q.ax0 JOIN k1 b ON b.i = p.ax1 AND b.j = q.ax1),
+step AS (
+  SELECT 0 AS n, ax0, ax1, CAST(0 AS DOUBLE) AS a FROM o
+  UNION ALL
+  SELECT s.n + 1, p.ax0, p.ax1, any_value(p.a) + 2 / (2 * 0.5 + 1) * (any_value(o.y) - 0.5 * any_value(p.a) - sum(k.h * s.a))
+  FROM step s JOIN k ON k.q0 = s.ax0 AND k.q1 = s.ax1 JOIN step p ON p.ax0 = k.p0 AND p.ax1 = k.p1 AND p.n = s.n
+  JOIN o ON o.ax0 = p.ax0 AND o.ax1 = p.ax1 WHERE s.n < 60 GROUP BY s.n, p.ax0, p.ax1),
+dual AS (SELECT ax0, ax1, a FROM step WHERE n = 60)
+SELECT c.ax0, c.ax1, round(sum(a.h * b.h * d.a) * any_value(scale) + any_value(loc), 3) + 0.0 AS v
+FROM sig c CROSS JOIN dual d CROSS JOIN stats JOIN k0 a ON a.i = c.ax0 AND a.j = d.ax0 JOIN k1 b ON b.i = c.ax1 AND b.j = d.ax1 GROUP BY 1, 2"""
+
+
+@query(_RICHARDSON)
+def gsr_partial(spark, sf_dir):
+    """A third of the cells missing: conjugate gradients in one task."""
+    return rounded(models.GSR(partial(day_type(spark, sf_dir)), day_type_graph(spark), univariate("diffusion", 0.4), 0.5).solve(), digits=3)
+
+
+@query(_RICHARDSON)
+def gsr_partial_tables(spark, sf_dir):
+    """The same by conjugate gradients over tables, as for signals that no task can hold."""
+    y = partial(day_type(spark, sf_dir))
+    stats = F.broadcast(signals.statistics(y))  # one row
+    normal = y.join(stats, how="cross").withColumn("v", (F.col("v") - F.col("loc")) / F.col("scale")).drop("loc", "scale")
+    out = distributed.reconstruct(normal, day_type_graph(spark), univariate("diffusion", 0.4), 0.5)
+    return rounded(signals.postprocess(out.join(stats, how="cross")), digits=3)
+
+
+@query(_RICHARDSON)
+def gsr_partial_dual(spark, sf_dir):
+    """The same through the observed cells alone."""
+    gamma = 0.5
+    model = models.GSR(partial(day_type(spark, sf_dir)), day_type_graph(spark), univariate("diffusion", 0.4), gamma)
+    return rounded(model._run(lambda y, s, x, prior, loc, scale: dense.gsr_dual(y, s, prior, gamma) * scale + loc), digits=3)
+
+
+@query()
+def gsr_planned(spark, sf_dir):
+    """Hours by types, reconstructed by the plan that the rules choose."""
+    events = signals.read(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("hour"), "event_type", "value")
+    y, dictionaries = signals.cube(events, ["hour", "event_type"], F.avg("value"))
+    n = dictionaries[0].count()
+    return rules.reconstruct(y, ProductGraph(Graph.chain(spark, n), Graph.complete(spark, TYPES)), multivariate("diffusion", 2.0, 0.3), 0.5)
+
+
+@query()
+def gsr_sampler(spark, sf_dir):
+    """Sampled and exact posterior variance of each cell."""
+    model = models.GSR(partial(day_type(spark, sf_dir)), day_type_graph(spark), univariate("diffusion", 0.4), 0.5)
+    sampled = model.estimate_marginal_variance(64, seed=1).withColumnRenamed("variance", "sampled")
+    return sampled.join(model.marginal_variance(), ["ax0", "ax1"])
+
+
+def _months(signal: DataFrame) -> np.ndarray:
+    """Covariates of the months: trend and season."""
+    n = np.arange(signal.agg(F.max("ax0")).first()[0] + 1)
+    return np.stack([n / 12, np.cos(2 * np.pi * n / 12), np.sin(2 * np.pi * n / 12)], 1)
+
+
+def _kernel_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return month_nation(spark, sf_dir).select(F.col("ax0").alias("t"), F.col("ax1").alias("ax0"), "v")
+
+
+@query()
+def kgr_orders(spark, sf_dir):
+    """Order values of months by nations: a kernel over months, regions as the graph."""
+    y = month_nation(spark, sf_dir)
+    return models.KGR(_kernel_signal(spark, sf_dir), region_graph(spark, sf_dir), univariate("diffusion", 0.2), 0.5, covariates=_months(y), kernel_std=1.0).solve()
+
+
+@query()
+def kgr_orders_variance(spark, sf_dir):
+    y = month_nation(spark, sf_dir)
+    model = models.KGR(_kernel_signal(spark, sf_dir), region_graph(spark, sf_dir), univariate("diffusion", 0.2), 0.5, covariates=_months(y), kernel_std=1.0)
+    return model.estimate_marginal_variance(8, seed=2)
+
+
+@query()
+def rnc_lineitem(spark, sf_dir):
+    """Mean prices with features: prediction and intercept of each cell."""
+    y = month_flag(spark, sf_dir)
+    return models.RNC(y, month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).solve()
+
+
+@query()
+def rnc_lineitem_weights(spark, sf_dir):
+    y = month_flag(spark, sf_dir)
+    return models.RNC(y, month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).weights()
+
+
+@query()
+def rnc_lineitem_variance(spark, sf_dir):
+    y = month_flag(spark, sf_dir)
+    return models.RNC(y, month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).estimate_marginal_variance(16, seed=3)
+
+
+def _kernel_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.ndarray]:
+    y = month_flag(spark, sf_dir)
+    return y.select(F.col("ax0").alias("t"), F.col("ax1").alias("ax0"), "v", "x"), _months(y)
+
+
+@query()
+def kgrnc_lineitem(spark, sf_dir):
+    y, months = _kernel_features(spark, sf_dir)
+    return models.KGRNC(y, Graph.complete(spark, 3), univariate("diffusion", 0.2), 0.5, lam=1.0, covariates=months, kernel_std=1.0).solve()
+
+
+def _high(signal: DataFrame, cut_at: float) -> DataFrame:
+    """1 for values over ``cut_at``, 0 for others, missing ones kept."""
+    return signal.withColumn("v", (F.col("v") > cut_at).cast("double"))
+
+
+@query()
+def lgsr_quality(spark, sf_dir):
+    """Whether the labelled documents of a source and language are mostly good; unlabelled cells are filled in."""
+    y = hour_quality(spark, sf_dir)
+    return models.LGSR(_high(y, 0.8), month_flag_graph(y), univariate("diffusion", 0.3), 0.5).solve()
+
+
+@query()
+def lkgr_orders(spark, sf_dir):
+    y = month_nation(spark, sf_dir)
+    middle = y.agg(F.percentile_approx("v", 0.5)).first()[0]
+    return models.LKGR(_high(_kernel_signal(spark, sf_dir), middle), region_graph(spark, sf_dir), univariate("diffusion", 0.2), 0.5, covariates=_months(y), kernel_std=1.0).solve()
+
+
+@query()
+def lrnc_lineitem(spark, sf_dir):
+    y = month_flag(spark, sf_dir)
+    middle = y.agg(F.percentile_approx("v", 0.5)).first()[0]
+    return models.LRNC(_high(y, middle), month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).solve(classify=True)
+
+
+def _thirds(signal: DataFrame) -> DataFrame:
+    low, high = signal.agg(F.percentile_approx("v", [1 / 3, 2 / 3])).first()[0]
+    return signal.withColumn("v", F.when(F.col("v").isNotNull(), (F.col("v") > low).cast("double") + (F.col("v") > high).cast("double")))
+
+
+@query()
+def multiclass_lgsr_events(spark, sf_dir):
+    y = partial(_thirds(day_type(spark, sf_dir)))
+    return models.MulticlassLGSR(y, day_type_graph(spark), univariate("diffusion", 0.4), 0.5, classes=3).solve()
+
+
+@query()
+def multiclass_lkgr_orders(spark, sf_dir):
+    y = month_nation(spark, sf_dir)
+    return models.MulticlassLKGR(_thirds(_kernel_signal(spark, sf_dir)), region_graph(spark, sf_dir), univariate("diffusion", 0.2), 0.5, classes=3, covariates=_months(y), kernel_std=1.0).solve(classify=True)
+
+
+@query()
+def multiclass_lrnc_lineitem(spark, sf_dir):
+    y = month_flag(spark, sf_dir)
+    return models.MulticlassLRNC(_thirds(y), month_flag_graph(y), univariate("diffusion", 0.4), 0.5, classes=3, lam=1.0).solve(classify=True)
+
+
+@query()
+def gsr_by_nation(spark, sf_dir):
+    """A problem for each nation: the months without orders are filled in, all nations in parallel."""
+    y = month_nation(spark, sf_dir).select(F.col("ax1").alias("nation"), "ax0", "v")
+    n = y.agg(F.max("ax0") + 1).first()[0]
+    return models.GSR(y, Graph.chain(spark, n), univariate("diffusion", 2.0), 0.5, by=("nation",)).solve()
