@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import unit_hash
+from .fingerprints import shingle_hashes
 
 _WORDS = re.compile(r"\w+")
 #: Verbs of saying and marks around quotations (fixed values).
 SAYING = frozenset("said says wrote writes called quoted quotes quote reads dijo dice escribió llamó citó dit écrit appelé cite sagte sagt schrieb nannte zitiert".split())
 QUOTES = "\"“”„«»‘’"
 WINDOW = 6
-STEM_LENGTHS = (4, 5, 6)
+STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 FUZZY_LENGTH = 5
 N_FEATURES = 6
 
@@ -79,9 +80,9 @@ class Matcher:
     def __init__(self, terms: list[Term], cache_size: int = 300_000) -> None:
         self.exact = {t.text: t for t in terms if not t.stem}
         self.stems = {t.text: t for t in terms if t.stem}
+        self.stem_lengths = sorted({len(x) for x in self.stems})
         self.trie: dict = {}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        self.halves: set[tuple[str, bool, int]] = set()
         for t in terms:
             if t.stem or len(t.text) < FUZZY_LENGTH or not t.text.isalpha():
                 continue
@@ -89,11 +90,12 @@ class Matcher:
             for letter in t.text:
                 node = node.setdefault(letter, {})
             node[""] = t
-            # with one edit at most, one half of the term is there unchanged
-            self.heads.add(t.text[: len(t.text) // 2])
-            self.tails.add(t.text[len(t.text) // 2 :])
-        self.head_lengths = sorted({len(x) for x in self.heads})
-        self.tail_lengths = sorted({len(x) for x in self.tails})
+            # with one edit at most, one half of the term is there unchanged, at its end of the word
+            n = len(t.text)
+            for size in (n - 1, n, n + 1):
+                self.halves.add((t.text[: n // 2], True, size))
+                self.halves.add((t.text[n // 2 :], False, size))
+        self.half_lengths = sorted({len(h) for h, _, _ in self.halves})
         self.known: dict[str, tuple[Term, bool] | None] = {}
         self.size = cache_size
 
@@ -109,10 +111,11 @@ class Matcher:
     def _match(self, word: str) -> tuple[Term, bool] | None:
         if word in self.exact:
             return self.exact[word], True
-        for n in STEM_LENGTHS:
-            if len(word) > n and word[:n] in self.stems:
-                return self.stems[word[:n]], True
-        if any(word[:n] in self.heads for n in self.head_lengths) or any(word[-n:] in self.tails for n in self.tail_lengths):
+        stems = [self.stems[word[:n]] for n in self.stem_lengths if len(word) > n and word[:n] in self.stems]
+        if stems:
+            return max(stems, key=lambda t: t.weight), True
+        size = len(word)
+        if any((word[:n], True, size) in self.halves or (word[-n:], False, size) in self.halves for n in self.half_lengths):
             return self._fuzzy(word)
         return None
 
@@ -162,10 +165,43 @@ def _log_odds(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
     return value - (1 / (pos + 0.5) + 1 / (neg + 0.5)) ** 0.5
 
 
-def choose_terms(counts: list[tuple[str, bool, int, int]], n_pos: int, n_neg: int, least: float = 2.0, max_terms: int = 2000) -> list[Term]:
-    """Terms that at least three toxic texts have and whose low log odds reach ``least``."""
+def candidates(counts: list[tuple[str, bool, int, int]], n_pos: int, n_neg: int, least: float = 2.5, limit: int = 3000) -> list[Term]:
+    """Terms that at least three toxic texts have and whose low log odds reach ``least``, the best first."""
     scored = [Term(t, stem, v) for t, stem, pos, neg in counts if pos >= 3 and (v := _log_odds(pos, neg, n_pos, n_neg)) >= least]
-    return sorted(scored, key=lambda t: (-t.weight, t.text))[:max_terms]
+    return sorted(scored, key=lambda t: (-t.weight, not t.stem, t.text))[:limit]
+
+
+def telling(counts: list) -> list:
+    """Counts without stems that stand for one word or for a longer stem, and without words that a stem stands for."""
+    pos = {(c["term"], c["stem"]): c["pos0"] + c["pos1"] for c in counts}
+    below: dict[str, int] = {}  # the most texts that one word, or one longer stem, of a stem has
+    for (term, stem), n in pos.items():
+        for size in (len(term) - 1,) if stem else STEM_LENGTHS:
+            if size < len(term):
+                below[term[:size]] = max(below.get(term[:size], 0), n if not stem else int(n * 1.2))
+    stems = {t for (t, stem), n in pos.items() if stem and n > 1.3 * below.get(t, 0)}
+    return [c for c in counts if (c["term"] in stems if c["stem"] else not any(len(c["term"]) > n and c["term"][:n] in stems for n in STEM_LENGTHS))]
+
+
+def cover(terms: list[Term], texts: list[list[int]], depth: int = 4, least: int = 3) -> list[Term]:
+    """The terms that it takes for every toxic text to have ``depth`` of them.
+
+    ``texts`` has the positions of the terms in each text. Terms are taken from the best; one is left out if
+    fewer than ``least`` of its texts still lack terms: words that happen to be in copies of toxic texts are
+    as telling as its terms, but add nothing.
+    """
+    having: dict[int, list[int]] = {}
+    for i, found in enumerate(texts):
+        for t in found:
+            having.setdefault(t, []).append(i)
+    lacking, chosen = [depth] * len(texts), []
+    for t, term in enumerate(terms):
+        mine = [i for i in having.get(t, ()) if lacking[i] > 0]
+        if len(mine) >= least:
+            chosen.append(term)
+            for i in mine:
+                lacking[i] -= 1
+    return chosen
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> np.ndarray:
@@ -216,6 +252,23 @@ def _term_counts(rows: DataFrame) -> DataFrame:
     return counts.groupBy("term", "stem").agg(*[F.sum(c).alias(c) for c in ("pos0", "neg0", "pos1", "neg1")])
 
 
+def _finder(lists: list[list[Term]]):
+    """A task that tells which terms of each list a text has."""
+    places = [{(t.text, t.stem): i for i, t in enumerate(terms)} for terms in lists]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[], [], []]
+            for text in batch.column("text").to_pylist():
+                words = {w for w in _WORDS.findall((text or "").lower()) if len(w) < 40}
+                keys = [*((w, False) for w in words), *{(w[:n], True) for w in words for n in STEM_LENGTHS if len(w) > n}]
+                for column, place in zip(columns, places):
+                    column.append(sorted(place[k] for k in keys if k in place))
+            yield pa.RecordBatch.from_arrays([batch.column("fold"), *(pa.array(c, pa.list_(pa.int32())) for c in columns)], names=["fold", "zero", "one", "both"])
+
+    return run
+
+
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, sample: int = 4000, doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model from labelled rows: ``labels`` has doc_id and toxic; ``learn_from`` tells the rows to use.
 
@@ -231,19 +284,32 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
         return Model((), (), n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.0)
     drawn = usable.where("toxic").orderBy("_draw", "_id").limit(sample).union(usable.where("not toxic").orderBy("_draw", "_id").limit(sample))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "_id")
-    rows = rows.select("text", "toxic", (unit_hash("_id", seed=8) < 0.5).cast("int").alias("fold")).persist()
+    # near copies count once: texts that agree in the least or in the greatest hash of their shingles
+    hashed = rows.withColumn("_s", shingle_hashes(F.coalesce("text", F.lit("")), 3))
+    hashed = hashed.withColumns({"_low": F.array_min("_s"), "_high": F.array_max("_s")}).drop("_s")
+    rows = hashed.dropDuplicates(["toxic", "_low"]).dropDuplicates(["toxic", "_high"])
+    rows = rows.select("text", "toxic", F.pmod("_low", F.lit(2)).cast("int").alias("fold")).persist()
     try:
         totals = {(t, f): n for t, f, n in rows.groupBy("toxic", "fold").count().collect()}
         n = {k: totals.get(k, 0) for k in ((True, 0), (False, 0), (True, 1), (False, 1))}
-        wanted = "pos0 + pos1 >= 3 and (pos0 + pos1 + 0.5) / {} >= 4 * (neg0 + neg1 + 0.5) / {}".format(n[True, 0] + n[True, 1] + 1, n[False, 0] + n[False, 1] + 1)
+        all_pos, all_neg = n[True, 0] + n[True, 1], n[False, 0] + n[False, 1]
+        wanted = f"pos0 + pos1 >= 3 and (pos0 + pos1 + 0.5) / {all_pos + 1} >= 4 * (neg0 + neg1 + 0.5) / {all_neg + 1}"
         counts = _term_counts(rows).where(wanted).orderBy(F.desc(F.expr("pos0 + pos1")), "term", "stem").limit(20_000).collect()
-        fits: list[tuple[list[Term], int]] = []
-        for other in (0, 1):  # the fold that is scored
-            own = 1 - other
-            fits.append((choose_terms([(c["term"], c["stem"], c[f"pos{own}"], c[f"neg{own}"]) for c in counts], n[True, own], n[False, own]), other))
+        counts = telling(counts)
+        lists = [
+            candidates([(c["term"], c["stem"], c["pos1"], c["neg1"]) for c in counts], n[True, 1], n[False, 1]),
+            candidates([(c["term"], c["stem"], c["pos0"], c["neg0"]) for c in counts], n[True, 0], n[False, 0]),
+            candidates([(c["term"], c["stem"], c["pos0"] + c["pos1"], c["neg0"] + c["neg1"]) for c in counts], all_pos, all_neg),
+        ]
+        found = rows.where("toxic").select("text", "fold").mapInArrow(_finder(lists), "fold int, zero array<int>, one array<int>, both array<int>").collect()
+        lexica = [  # for texts of fold 0, learned from fold 1; for fold 1; for texts that weren't seen
+            cover(lists[0], [r["zero"] for r in found if r["fold"] == 1]),
+            cover(lists[1], [r["one"] for r in found if r["fold"] == 0]),
+            cover(lists[2], [r["both"] for r in found]),
+        ]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matchers = {fold: Matcher(terms) for terms, fold in fits}
+            matchers = [Matcher(terms) for terms in lexica[:2]]
             for batch in batches:
                 found = [features(t, matchers[f]) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
@@ -256,8 +322,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
         return Model((), (), n_pos / (n_pos + n_neg))
     w = logistic(x, y)
     w[0] += math.log(n_pos / n_neg) - math.log(y.sum() / (len(y) - y.sum()))  # the sample has other shares than the labels
-    terms = choose_terms([(c["term"], c["stem"], c["pos0"] + c["pos1"], c["neg0"] + c["neg1"]) for c in counts], n[True, 0] + n[True, 1], n[False, 0] + n[False, 1])
-    return Model(tuple(terms), tuple(w.tolist()), 0.0)
+    return Model(tuple(lexica[2]), tuple(w.tolist()), 0.0)
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
