@@ -11,7 +11,8 @@ of the verified links, named by their smallest document id.
 Documents with equal shingle sets are collapsed first, so that copies cost one row each. In a bucket every
 document is compared with the smallest one, then, where a bucket holds more than one class, all documents
 of different classes by their registers, block against block; pairs that may reach the threshold (three
-standard deviations are allowed) are verified as well. There is no cap on buckets or candidates.
+standard deviations are allowed) are verified as well, unless a link has joined their classes already.
+There is no cap on buckets or candidates.
 
 Defined results: documents without a word, and null texts, are classes of their own; texts of less than
 five words are one shingle. Null ids get a null class. Ids are taken as unique: equal rows are one
@@ -184,31 +185,52 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _crossing(members: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of members of a bucket with different labels whose registers agree enough.
+    """Links (a, b) between members of a bucket with different labels, as many as it takes to join them.
 
-    members: bucket, size, doc, label, registers. A bucket is dealt into blocks; each pair of blocks is
-    one group, so that no group is larger than two blocks (and what chance adds).
+    members: bucket, band, size, doc, label, registers, shingles. A bucket is dealt into blocks; each pair
+    of blocks is one group, so that no group is larger than two blocks (and what chance adds). A pair is
+    looked at in the first band that it shares, if its registers agree enough, and verified unless links
+    found in this group already join its labels.
     """
     count = bands * rows
     least = (threshold - 3 * (threshold * (1 - threshold) / count) ** 0.5) * count
 
     def compare(table: pa.Table) -> pa.Table:
-        docs, labels = table["doc"].to_numpy(), table["label"].to_numpy()
-        own, i, j = table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+        docs, own = table["doc"].to_numpy(), table["block"].to_numpy()
+        i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
         registers = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(docs), count)
+        sets = [np.frombuffer(s, np.uint32) for s in table["shingles"].to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        names, labels = np.unique(table["label"].to_numpy(), return_inverse=True)
+        joined = list(range(len(names)))
+
+        def root(x: int) -> int:
+            while joined[x] != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[int, int]] = []
         for k in left:
             others = right[(labels[right] != labels[k]) & ((docs[right] > docs[k]) | (i != j))]
-            others = others[(registers[others] == registers[k]).sum(1) >= least]
-            found.append((np.full(len(others), docs[k]), docs[others]))
-        one, other = (np.concatenate([f[s] for f in found]) if found else np.empty(0, np.int64) for s in (0, 1))
-        return pa.table({"a": pa.array(np.minimum(one, other), pa.int64()), "b": pa.array(np.maximum(one, other), pa.int64())})
+            # the similarity is at most the ratio of the sizes
+            others = others[np.minimum(sizes[others], sizes[k]) >= threshold * np.maximum(sizes[others], sizes[k])]
+            same = registers[others] == registers[k]
+            near = same.sum(1) >= least
+            others, same = others[near], same[near]
+            others = others[same.reshape(-1, rows, bands).all(1).argmax(1) == band]
+            for o in others:
+                one, other = root(labels[k]), root(labels[o])
+                if one != other and similarity(sets[k], sets[o]) >= threshold:
+                    joined[one] = other
+                    found.append((int(docs[k]), int(docs[o])))
+        columns = list(zip(*found)) or [()] * 2
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", "doc", "label", "registers", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.select("bucket", "band", "doc", "label", "registers", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -218,7 +240,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     sets = sketched.groupBy("set_a", "set_b").agg(F.min("doc").alias("rep"))
     same = sketched.select("doc", "set_a", "set_b").join(sets, ["set_a", "set_b"]).select("doc", "rep")
     alone = sketched.join(sets, ["set_a", "set_b"]).where("doc = rep").drop("rep", "set_a", "set_b")
-    buckets = cut(alone.select("doc", F.explode("bands").alias("bucket")).distinct())
+    buckets = cut(alone.select("doc", F.posexplode("bands").alias("band", "bucket")).distinct())
     centres = buckets.groupBy("bucket").agg(F.min("doc").alias("centre"), F.count("*").alias("size")).where("size > 1")
     stars = buckets.join(centres, "bucket").where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
     shingles = sketched.select("doc", "shingles")
@@ -226,10 +248,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     links = cut(verified(stars, shingles, threshold))
     labels = components(links)
     # buckets that hold more than one class: all of their members, not only those next to the centre
-    labelled = buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
+    labelled = buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "band", "doc", F.coalesce("label", "doc").alias("label"))
     open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size")
-    members = labelled.join(open_buckets, "bucket").join(sketched.select("doc", "registers"), "doc")
-    crossing = cut(verified(_crossing(members, bands, rows, threshold), shingles, threshold))
+    members = labelled.join(open_buckets, "bucket").join(sketched.select("doc", "registers", "shingles"), "doc")
+    crossing = cut(_crossing(members, bands, rows, threshold))
     final = components(links.union(crossing).union(copies))
     out = df.select(F.col(doc_id).alias("doc_id")).join(final.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("label", F.col("doc_id").cast("long")).alias("class_id"))
