@@ -404,6 +404,94 @@ def gram_matrix(spark, sf_dir):
     return rounded(linop.gram(items), digits=2)
 
 
+@query(f"""WITH {_DAY_TYPE}, f AS (SELECT ax0, v / sum(v) OVER (PARTITION BY ax0) AS mu, ax1 AS c, ax0 / 30.0 AS x1, 1.0 AS x0 FROM sig),
+x AS (SELECT ax0, c, mu, unnest([0, 1]) AS i, unnest([x0, x1]) AS a FROM f)
+SELECT CAST(p.i AS INTEGER) AS i, p.c, CAST(q.i AS INTEGER) AS j, q.c AS d, round(sum(p.a * q.a * (CASE WHEN p.c = q.c THEN p.mu ELSE 0 END - p.mu * q.mu)), 4) + 0.0 AS v
+FROM x p JOIN x q ON p.ax0 = q.ax0 GROUP BY 1, 2, 3, 4""")
+def softmax_gram(spark, sf_dir):
+    """X' R X of class shares by day with the day as a feature, over all days."""
+    y = day_type(spark, sf_dir)
+    arrays = y.groupBy("ax0").agg(F.transform(F.array_sort(F.collect_list(F.struct("ax1", "v"))), lambda s: s["v"]).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, b: a + b)
+    rows = arrays.select(F.array(F.lit(1.0), F.col("ax0") / 30.0).alias("x"), F.transform("v", lambda x: x / total).alias("mu"))
+    return rounded(linop.softmax_gram(rows))
+
+
+@query("SELECT CAST(solver AS INTEGER) AS solver, CAST(0 AS DOUBLE) AS gap FROM range(4) t(solver)")
+def solver_agreement(spark, sf_dir):
+    """How far four solvers of one system (conjugate gradients plain and preconditioned, splitting, dual) are from a direct solution."""
+    gamma = 0.5
+
+    def run(y, s, x, prior, loc, scale):
+        h2 = dense.covariance(prior)
+        o = np.flatnonzero(s.ravel())
+        a, b = h2[np.ix_(o, o)] + gamma * np.eye(len(o)), y.ravel()[o]
+        want = np.linalg.solve(a, b)
+        phi, top = 1 / np.sqrt(np.diag(a)), 1.01 * np.abs(a).sum(1).max()
+        found = [
+            dense.conjugate_gradients(lambda v: a @ v, b)[0],
+            dense.preconditioned(lambda v: a @ v, lambda v: phi * v, lambda v: phi * v, b)[0],
+            dense.splitting(lambda v: v - a @ v / top, lambda v: v / top, b, 1e-10, 100_000)[0],
+            (b - dense.gsr(y, s, prior, gamma).ravel()[o]) / gamma,
+        ]
+        return np.array([[i, round(float(np.abs(f - want).max()), 4) + 0.0] for i, f in enumerate(found)])
+
+    model = models.GSR(partial(day_type(spark, sf_dir)), day_type_graph(spark), univariate("diffusion", 0.4), gamma)
+    return model._run(run, "solver double, gap double", cells=False).withColumn("solver", F.col("solver").cast("int"))
+
+
+@query("SELECT CAST(model AS INTEGER) AS model, true AS stationary FROM range(9) t(model)")
+def model_stationarity(spark, sf_dir):
+    """Whether the gradients of nine models' penalised likelihoods vanish at their solutions (squares up to 1e-5)."""
+    gamma, lam = 1.2, 5.0
+
+    def run(y, s, x, prior, loc, scale):
+        days, types = np.indices(y.shape)
+        x = np.stack([days / 30, types / 5, np.cos(days)], -1)
+        hot = np.eye(3)[np.digitize(y, [-0.5, 0.5])] * s[..., None]
+        label = s * (y > 0)
+        k, v = np.linalg.eigh(dense.rbf_kernel(np.arange(3.0)[:, None], 1.0))
+        kernel = prior.with_kernel(v, k)
+        y3, s3, l3, h3 = (np.stack([a, 0.5 * a if a is y else a, a]) for a in (y, s, label, hot))
+
+        def smooth(b, p):  # gamma H^-2 b, by the spectrum; gains are positive here
+            spectral = dense.Prior(p.bases, np.ones_like(p.gain))
+            extra = (1,) * (b.ndim - p.gain.ndim)
+            return gamma * spectral.to_vertices(spectral.to_spectrum(b) / (p.gain**2).reshape(p.gain.shape + extra))
+
+        def gap(r, b, p, w=None):
+            worst = np.abs(r + smooth(b, p)).max()
+            if w is not None:
+                m = x.reshape(-1, 3).T @ r.reshape(days.size, -1) + lam * w.reshape(3, -1)
+                worst = max(worst, np.abs(m).max())
+            return float(worst) ** 2 <= 1e-5
+
+        out = []
+        f = dense.gsr(s * y, s, prior, gamma)
+        out.append(gap(s * (f - y), f, prior))
+        f = dense.gsr(s3 * y3, s3, kernel, gamma)
+        out.append(gap(s3 * (f - y3), f, kernel))
+        b, w = dense.solve_rnc(s * y, s, x, prior, gamma, lam)
+        out.append(gap(s * (b + x @ w - y), b, prior, w))
+        f = dense.lgsr(label, s, prior, gamma)
+        out.append(gap(s * (dense.mu_logistic(f) - label), f, prior))
+        f = dense.lgsr(l3, s3, kernel, gamma)
+        out.append(gap(s3 * (dense.mu_logistic(f) - l3), f, kernel))
+        b, w = dense.lrnc(label, s, x, prior, gamma, lam)
+        out.append(gap(s * (dense.mu_logistic(b + x @ w) - label), b, prior, w))
+        f = dense.lgsr_multiclass(hot, s, prior, gamma)
+        out.append(gap(s[..., None] * (dense.mu_softmax(f) - hot), f, prior))
+        f = dense.lgsr_multiclass(h3, s3, kernel, gamma)
+        out.append(gap(s3[..., None] * (dense.mu_softmax(f) - h3), f, kernel))
+        b, w = dense.lrnc_multiclass(hot, s, x, prior, gamma, lam)
+        out.append(gap(s[..., None] * (dense.mu_softmax(b + x @ w) - hot), b, prior, w))
+        return np.array([[i, float(fine)] for i, fine in enumerate(out)])
+
+    model = models.GSR(partial(day_type(spark, sf_dir)), day_type_graph(spark), multivariate("diffusion", 0.3, 0.1), gamma)
+    out = model._run(run, "model double, fine double", cells=False)
+    return out.select(F.col("model").cast("int").alias("model"), (F.col("fine") == 1).alias("stationary"))
+
+
 # ---- reconstruction -----------------------------------------------------------------------------------
 
 _SHRUNK = _filter_sql("exp(-0.8 * (lam0 + lam1)) / (exp(-0.8 * (lam0 + lam1)) + 0.5)")

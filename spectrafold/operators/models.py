@@ -12,7 +12,7 @@ Kernel models have a leading axis ``t`` whose rows have covariates; cohesion mod
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -124,12 +124,17 @@ class Model:
         gamma, lam, mean = self.gamma, getattr(self, "lam", None), type(self)._mean
         return self._run(lambda y, s, x, prior, loc, scale: mean(y, s, x, prior, gamma, lam) * scale + loc)
 
-    def sample(self, n: int, seed: int = 0) -> DataFrame:
+    def sample(self, n: int, seed: int = 0, first: int = 0) -> DataFrame:
         """``n`` posterior draws: sample, the cells, v. Draws are spread over tasks, each with a seed of its own."""
-        spread = self.y.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        spread = self.y.withColumn("sample", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))))
         model = replace(self, y=spread, by=(*self.by, "sample"))
         return model._run_seeded(seed)
 
+    def generate_samples(self, n: int, seed: int = 0) -> Iterator[DataFrame]:
+        """The draws of ``sample`` one by one, each computed when it is used."""
+        for i in range(n):
+            yield self.sample(1, seed, i)
+
     def _run_seeded(self, seed: int) -> DataFrame:
         gamma, lam, draw = self.gamma, getattr(self, "lam", None), type(self)._draw
         inner = self.y.withColumn("_seed", F.xxhash64(F.lit(seed), *self.by))
