@@ -34,7 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut
+
 COMMON, LEAST_PAGES, THRESHOLD, GAMMA = 0.1, 4, 0.3, 0.9
+#: Trees of up to so many entries in all (40 bytes each) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ENTRIES = 200_000
 
 # Element names and marks (fixed values of the HTML standard and of common usage).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -267,7 +271,10 @@ def main_text(page: str | None, tree: dict[int, tuple[float, int]]) -> tuple[str
 
 def extract(df: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
     """``df`` with ``text``, the main text, and ``importance``, that of the elements it comes from."""
-    trees = style_tree(df, page, url).withColumnRenamed("host", "_host")
+    trees = cut(style_tree(df, page, url).withColumnRenamed("host", "_host"))
+    entries = trees.agg(F.coalesce(F.sum(F.size("tree")), F.lit(0))).first()[0]
+    if entries <= BROADCAST_ENTRIES:
+        trees = F.broadcast(trees)
     kept = [f for f in df.schema.fields if f.name not in ("text", "importance")]
     names = [f.name for f in kept]
     read = df.select(*[f"`{n}`" for n in names], F.col(page).alias("_page"), _host(url).alias("_host"))
