@@ -2,7 +2,8 @@
 
 Words and word beginnings that labelled toxic documents have much more often than others make a lexicon,
 held as a trie. A word of a text matches a term if the Levenshtein automaton of the word (one edit, for
-terms of five letters or more) and the trie share a path. The window around a match tells quotation (marks
+terms of five letters or more) and the trie share a path; for a beginning, the trie has the words of toxic
+texts that it stands for. The window around a match tells quotation (marks
 around it, or a verb of saying before it) from abuse. A logistic regression on what the matches of a text
 add up to gives the score; it is fitted on matches of lexica that were learned without the text.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ class Term:
     text: str
     stem: bool
     weight: float
+    #: The words of toxic texts that a stem stands for.
+    words: tuple[str, ...] = ()
 
 
 class Automaton:
@@ -83,18 +86,19 @@ class Matcher:
         self.stem_lengths = sorted({len(x) for x in self.stems})
         self.trie: dict = {}
         self.halves: set[tuple[str, bool, int]] = set()
-        for t in terms:
-            if t.stem or len(t.text) < FUZZY_LENGTH or not t.text.isalpha():
+        for t, spelling in ((t, s) for t in terms for s in (t.words if t.stem else (t.text,))):
+            if len(spelling) < FUZZY_LENGTH or not spelling.isalpha():
                 continue
             node = self.trie
-            for letter in t.text:
+            for letter in spelling:
                 node = node.setdefault(letter, {})
-            node[""] = t
+            if "" not in node or node[""].weight < t.weight:
+                node[""] = t
             # with one edit at most, one half of the term is there unchanged, at its end of the word
-            n = len(t.text)
+            n = len(spelling)
             for size in (n - 1, n, n + 1):
-                self.halves.add((t.text[: n // 2], True, size))
-                self.halves.add((t.text[n // 2 :], False, size))
+                self.halves.add((spelling[: n // 2], True, size))
+                self.halves.add((spelling[n // 2 :], False, size))
         self.half_lengths = sorted({len(h) for h, _, _ in self.halves})
         self.known: dict[str, tuple[Term, bool] | None] = {}
         self.size = cache_size
@@ -172,7 +176,10 @@ def candidates(counts: list[tuple[str, bool, int, int]], n_pos: int, n_neg: int,
 
 
 def telling(counts: list) -> list:
-    """Counts without stems that stand for one word or for a longer stem, and without words that a stem stands for."""
+    """Counts without stems that stand for one word or for a longer stem, and without words that a stem stands for.
+
+    The words come back as spellings of their stem (``spelt``).
+    """
     pos = {(c["term"], c["stem"]): c["pos0"] + c["pos1"] for c in counts}
     below: dict[str, int] = {}  # the most texts that one word, or one longer stem, of a stem has
     for (term, stem), n in pos.items():
@@ -183,6 +190,16 @@ def telling(counts: list) -> list:
     return [c for c in counts if (c["term"] in stems if c["stem"] else not any(len(c["term"]) > n and c["term"][:n] in stems for n in STEM_LENGTHS))]
 
 
+def spelt(terms: list[Term], words: list[str]) -> list[Term]:
+    """The terms, stems with those of the words that they stand for."""
+    found: dict[str, list[str]] = {t.text: [] for t in terms if t.stem}
+    for word in words:
+        for n in STEM_LENGTHS:
+            if len(word) > n and word[:n] in found:
+                found[word[:n]].append(word)
+    return [replace(t, words=tuple(sorted(found[t.text]))) if t.stem else t for t in terms]
+
+
 def cover(terms: list[Term], texts: list[list[int]], depth: int = 4, least: int = 3) -> list[Term]:
     """The terms that it takes for every toxic text to have ``depth`` of them.
 
@@ -289,12 +306,14 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     hashed = hashed.withColumns({"_low": F.array_min("_s"), "_high": F.array_max("_s")}).drop("_s")
     rows = hashed.dropDuplicates(["toxic", "_low"]).dropDuplicates(["toxic", "_high"])
     rows = rows.select("text", "toxic", F.pmod("_low", F.lit(2)).cast("int").alias("fold")).persist()
+    all_counts = None
     try:
         totals = {(t, f): n for t, f, n in rows.groupBy("toxic", "fold").count().collect()}
         n = {k: totals.get(k, 0) for k in ((True, 0), (False, 0), (True, 1), (False, 1))}
         all_pos, all_neg = n[True, 0] + n[True, 1], n[False, 0] + n[False, 1]
         wanted = f"pos0 + pos1 >= 3 and (pos0 + pos1 + 0.5) / {all_pos + 1} >= 4 * (neg0 + neg1 + 0.5) / {all_neg + 1}"
-        counts = _term_counts(rows).where(wanted).orderBy(F.desc(F.expr("pos0 + pos1")), "term", "stem").limit(20_000).collect()
+        all_counts = _term_counts(rows).persist()
+        counts = all_counts.where(wanted).orderBy(F.desc(F.expr("pos0 + pos1")), "term", "stem").limit(20_000).collect()
         counts = telling(counts)
         lists = [
             candidates([(c["term"], c["stem"], c["pos1"], c["neg1"]) for c in counts], n[True, 1], n[False, 1]),
@@ -307,6 +326,17 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
             cover(lists[1], [r["one"] for r in found if r["fold"] == 0]),
             cover(lists[2], [r["both"] for r in found]),
         ]
+        # the words of these stems, however rare, that toxic texts have more often than others
+        stems = sorted({t.text for terms in lexica for t in terms if t.stem})
+        stands = F.lit(False)
+        for size in STEM_LENGTHS:
+            stands |= (F.length("term") > size) & F.substring("term", 1, size).isin([t for t in stems if len(t) == size])
+        words = all_counts.where(~F.col("stem") & (F.length("term") >= FUZZY_LENGTH) & stands).where(f"(pos0 + pos1) * {all_neg} >= 4 * (neg0 + neg1) * {all_pos}").collect()
+        lexica = [
+            spelt(lexica[0], [c["term"] for c in words if c["pos1"] * n[False, 1] >= max(1, 4 * c["neg1"] * n[True, 1])]),
+            spelt(lexica[1], [c["term"] for c in words if c["pos0"] * n[False, 0] >= max(1, 4 * c["neg0"] * n[True, 0])]),
+            spelt(lexica[2], [c["term"] for c in words if c["pos0"] + c["pos1"]]),
+        ]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matchers = [Matcher(terms) for terms in lexica[:2]]
@@ -316,6 +346,8 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
 
         seen = rows.select("text", "toxic", "fold").mapInArrow(run, "x array<double>, toxic boolean").collect()
     finally:
+        if all_counts is not None:
+            all_counts.unpersist()
         rows.unpersist()
     x, y = np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float)
     if not len(y) or y.min() == y.max():
