@@ -10,9 +10,8 @@ of the verified links, named by their smallest document id.
 
 Documents with equal shingle sets are collapsed first, so that copies cost one row each. In a bucket every
 document is compared with the smallest one, then, where a bucket holds more than one class, all documents
-of different classes by their registers, block against block; pairs that may reach the threshold (three
-standard deviations are allowed) are verified as well, unless a link has joined their classes already.
-There is no cap on buckets or candidates.
+of different classes, block against block; every pair whose sizes allow the threshold is verified as well,
+unless a link has joined its classes already. There is no cap on buckets or candidates.
 
 Defined results: documents without a word, and null texts, are classes of their own; texts of less than
 five words are one shingle. Null ids get a null class. Ids are taken as unique: equal rows are one
@@ -105,11 +104,11 @@ def similarity(one: np.ndarray, other: np.ndarray) -> float:
 
 
 _SHINGLES: dict[int, Shingles] = {}
-_SKETCH = "doc long, set_a long, set_b long, bands array<long>, registers binary, shingles binary"
+_SKETCH = "doc long, set_a long, set_b long, bands array<long>, shingles binary"
 
 
 def sketches(df: DataFrame, doc_id: str, text: str, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """For each document with a word: a hash of its shingle set, band keys, registers and its sorted shingles."""
+    """For each document with a word: a hash of its shingle set, band keys and its sorted shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _SHINGLES.setdefault(words, Shingles(words))
@@ -141,10 +140,9 @@ def sketches(df: DataFrame, doc_id: str, text: str, words: int = WORDS, bands: i
                         pa.array(signed([x & low for x in whole_sets])),
                         pa.array(signed([x >> 64 for x in whole_sets])),
                         pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
-                        pa.array([r.tobytes() for r in owner.astype(np.uint16)], pa.binary()),
                         pa.array(sets, pa.binary()),
                     ],
-                    names=["doc", "set_a", "set_b", "bands", "registers", "shingles"],
+                    names=["doc", "set_a", "set_b", "bands", "shingles"],
                 )
 
     picked = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -184,45 +182,40 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _crossing(members: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
+def _crossing(members: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between members of a bucket with different labels, as many as it takes to join them.
 
-    members: bucket, band, size, doc, label, registers, shingles. A bucket is dealt into blocks; each pair
-    of blocks is one group, so that no group is larger than two blocks (and what chance adds). A pair is
-    looked at in the first band that it shares, if its registers agree enough, and verified unless links
-    found in this group already join its labels.
+    members: bucket, band, size, doc, label, bands, shingles. A bucket is dealt into blocks; each pair of
+    blocks is one group, so that no group is larger than two blocks (and what chance adds). A pair is
+    verified in the first band that it shares, unless links found in this group already join its labels.
     """
-    count = bands * rows
-    least = (threshold - 3 * (threshold * (1 - threshold) / count) ** 0.5) * count
 
     def compare(table: pa.Table) -> pa.Table:
         docs, own = table["doc"].to_numpy(), table["block"].to_numpy()
         i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
-        registers = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(docs), count)
+        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(docs), -1)[:, :band]  # those before this band
         sets = [np.frombuffer(s, np.uint32) for s in table["shingles"].to_pylist()]
         sizes = np.array([len(s) for s in sets])
-        names, labels = np.unique(table["label"].to_numpy(), return_inverse=True)
-        joined = list(range(len(names)))
-
-        def root(x: int) -> int:
-            while joined[x] != x:
-                joined[x] = x = joined[joined[x]]
-            return x
-
+        values, places = np.unique(np.concatenate(sets), return_inverse=True)
+        places = np.split(places, np.cumsum(sizes)[:-1])
+        marked = np.zeros(len(values), bool)
+        group = np.unique(table["label"].to_numpy(), return_inverse=True)[1]  # labels that links join become equal
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         found: list[tuple[int, int]] = []
         for k in left:
-            others = right[(labels[right] != labels[k]) & ((docs[right] > docs[k]) | (i != j))]
+            others = right[(group[right] != group[k]) & ((docs[right] > docs[k]) | (i != j))]
             # the similarity is at most the ratio of the sizes
             others = others[np.minimum(sizes[others], sizes[k]) >= threshold * np.maximum(sizes[others], sizes[k])]
-            same = registers[others] == registers[k]
-            near = same.sum(1) >= least
-            others, same = others[near], same[near]
-            others = others[same.reshape(-1, rows, bands).all(1).argmax(1) == band]
-            for o in others:
-                one, other = root(labels[k]), root(labels[o])
-                if one != other and similarity(sets[k], sets[o]) >= threshold:
-                    joined[one] = other
+            others = others[~(keys[others] == keys[k]).any(1)]
+            if not len(others):
+                continue
+            marked[places[k]] = True
+            starts = np.cumsum(sizes[others]) - sizes[others]
+            both = np.add.reduceat(marked[np.concatenate([places[o] for o in others])], starts, dtype=np.int64)
+            marked[places[k]] = False
+            for o in others[both / (sizes[k] + sizes[others] - both) >= threshold]:
+                if group[o] != group[k]:
+                    group[group == group[o]] = group[k]
                     found.append((int(docs[k]), int(docs[o])))
         columns = list(zip(*found)) or [()] * 2
         return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
@@ -230,7 +223,7 @@ def _crossing(members: DataFrame, bands: int, rows: int, threshold: float) -> Da
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", "band", "doc", "label", "registers", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.select("bucket", "band", "doc", "label", "bands", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -250,8 +243,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     # buckets that hold more than one class: all of their members, not only those next to the centre
     labelled = buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "band", "doc", F.coalesce("label", "doc").alias("label"))
     open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size")
-    members = labelled.join(open_buckets, "bucket").join(sketched.select("doc", "registers", "shingles"), "doc")
-    crossing = cut(_crossing(members, bands, rows, threshold))
+    members = labelled.join(open_buckets, "bucket").join(sketched.select("doc", "bands", "shingles"), "doc")
+    crossing = cut(_crossing(members, threshold))
     final = components(links.union(crossing).union(copies))
     out = df.select(F.col(doc_id).alias("doc_id")).join(final.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("label", F.col("doc_id").cast("long")).alias("class_id"))

@@ -2,7 +2,9 @@
 
 import random
 
-from spectrafold.llm import toxicity
+import numpy as np
+
+from spectrafold.llm import near_dedup, toxicity
 
 
 def inflected_texts(spark, endings):
@@ -31,3 +33,26 @@ def test_inflected_terms_are_matched_with_one_error(spark):
             for wrong in ("x" + word[1:], word[:2] + word[3:], word[:4] + "x" + word[4:]):
                 assert matcher.match(wrong) is not None and not matcher.match(wrong)[1], wrong
         assert matcher.match("xx" + seen[0][2:]) is None
+
+
+def test_near_copies_with_other_counts_of_a_line_are_linked(spark):
+    rng, rows, pairs, hashes = random.Random(9), [], [], near_dedup.Shingles().hashes
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+
+    def shared_bands(texts):
+        owner = near_dedup.prob_minhash([np.unique(hashes(t), return_counts=True) for t in texts], near_dedup.BANDS * near_dedup.ROWS)
+        return (owner[:, None] == owner[None]).reshape(len(texts), len(texts), near_dedup.ROWS, near_dedup.BANDS).all(2)
+
+    while len(pairs) < 5:
+        base, line = [word() for _ in range(104)], [word() for _ in range(5)]
+        edited = base[:-1] + [word()]
+        texts = [" ".join(base + line * 20), " ".join(edited + line * 5)]
+        # smaller ids in the buckets of the pair, not similar enough to link
+        texts += [" ".join(base[:76] + [word() for _ in range(28)] + line * (5 + i % 15)) for i in range(30)]
+        same = shared_bands(texts)
+        if same[0, 1].any() and not (same[0, 1] & ~same[0, 2:].any(0)).any():
+            first = len(pairs) * 100
+            pairs.append((first + 51, first + 50))
+            rows += [(first + (51 - i if i < 2 else i), t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[a] == got[b] for a, b in pairs] == [True] * 5
