@@ -1,11 +1,12 @@
 """Main text of web pages by site style trees and structural marks.
 
 The DOMs of one host are merged into a style tree: an element is known by its path, that is, for each
-step the sequence of child tags it stands in and its place there, so that equal layouts of pages meet. For
-each element that at least ``COMMON`` of the host's pages share (and ``LEAST_PAGES`` pages), the tree has its
-presentation importance (entropy of its child sequences over the pages, to the base of their number) and
-the importance of its content (entropy of its texts likewise; equal texts everywhere give 0). Rare
-elements have importance 1. In each page, importance is carried upwards as in the published method: with
+step the sequence of child tags it stands in and its place there, so that equal layouts of pages meet. Steps
+have classes and ids; where an id or a class with a digit is a page's own, the element is known by the path
+without ids and such classes. For each element that at least ``LEAST_PAGES`` pages of the host share, the
+tree has its presentation importance (entropy of its child sequences over the pages, to the base of their
+number) and the importance of its content (entropy of its texts likewise; equal texts everywhere give 0).
+Rarer elements have importance 1. In each page, importance is carried upwards as in the published method: with
 l child sequences, (1 - 0.9^l) of the own presentation and 0.9^l of the mean over the children. Branches
 under ``THRESHOLD`` are removed.
 
@@ -36,8 +37,8 @@ from pyspark.sql import types as T
 
 from .common import cut
 
-COMMON, LEAST_PAGES, THRESHOLD, GAMMA = 0.1, 4, 0.3, 0.9
-#: Trees of up to so many entries in all (40 bytes each) are broadcast; larger ones are joined by shuffle.
+LEAST_PAGES, THRESHOLD, GAMMA = 4, 0.3, 0.9
+#: Trees of up to so many entries in all (40 bytes each) go to all workers; larger ones are joined by host and key.
 BROADCAST_ENTRIES = 200_000
 
 # Element names and marks (fixed values of the HTML standard and of common usage).
@@ -56,35 +57,43 @@ NOISE_MARKS = frozenset(
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _MARKED = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_DIGIT = re.compile(r"\d")
 _TOKENS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
     """An element: children are nodes and strings."""
 
-    __slots__ = ("children", "key", "mark", "noise", "tag")
+    __slots__ = ("bare", "children", "key", "loose", "mark", "noise", "tag")
 
-    def __init__(self, tag: str, mark: str = "", noise: bool = False) -> None:
-        self.tag, self.mark, self.noise = tag, mark, noise
+    def __init__(self, tag: str, mark: str = "", noise: bool = False, bare: str = "") -> None:
+        self.tag, self.mark, self.noise, self.bare = tag, mark, noise, bare
         self.children: list[Node | str] = []
-        self.key = 0
+        self.key = self.loose = 0
 
     @property
     def style(self) -> str:
         """The sequence of child elements, text between them included."""
         return " ".join(c.tag + c.mark if isinstance(c, Node) else "#" for c in self.children)
 
+    @property
+    def bare_style(self) -> str:
+        """The same without what may be a page's own: ids, and classes with digits."""
+        return " ".join(c.tag + c.bare if isinstance(c, Node) else "#" for c in self.children)
+
     def text(self) -> str:
         return "".join(c if isinstance(c, str) else c.text() for c in self.children)
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """The class and id of a tag, and whether its attributes mark it as noise."""
-    mark, noise = "", False
+def _attributes(raw: str) -> tuple[str, bool, str]:
+    """The class and id of a tag, whether its attributes mark it as noise, and the classes without a digit."""
+    mark, noise, bare = "", False, ""
     for name, *values in _MARKED.findall(raw):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name in ("class", "id"):
             mark += ("." if name == "class" else "@") + value
+            if name == "class":
+                bare += "." + (" ".join(c for c in value.split() if not _DIGIT.search(c)) if _DIGIT.search(value) else value)
             noise |= not NOISE_MARKS.isdisjoint(_TOKENS.split(value))
         elif name == "role":
             noise |= value in NOISE_ROLES
@@ -94,7 +103,7 @@ def _attributes(raw: str) -> tuple[str, bool]:
             noise |= value == "true"
         else:
             noise |= "display:none" in value.replace(" ", "")
-    return mark, noise
+    return mark, noise, bare
 
 
 def parse(page: str) -> Node:
@@ -136,8 +145,8 @@ def parse(page: str) -> Node:
                         break
                 elif stack[i].tag in SCOPES:
                     break
-        mark, noise = _attributes(m[3]) if m[3] else ("", False)
-        node = Node(name, mark, noise or name in NOISE_TAGS)
+        mark, noise, bare = _attributes(m[3]) if m[3] else ("", False, "")
+        node = Node(name, mark, noise or name in NOISE_TAGS, bare)
         stack[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -149,20 +158,22 @@ def parse(page: str) -> Node:
 
 
 def assign_keys(root: Node) -> list[tuple[Node, bool]]:
-    """Give each element that the style tree holds its key; returns these, with whether they have inner elements.
+    """Give each element that the style tree holds its keys, with and without ids; returns these, with whether they have inner elements.
 
     Elements inside paragraphs, headings and other prose belong to their text.
     """
     out: list[tuple[Node, bool]] = []
-    root.key = xxhash.xxh64_intdigest(root.tag)
+    root.key = root.loose = xxhash.xxh64_intdigest(root.tag)
     rest = [root]
     while rest:
         node = rest.pop()
         inner = [c for c in node.children if isinstance(c, Node) and c.tag not in INLINE] if node.tag not in PROSE else []
         out.append((node, bool(inner)))
         base = xxhash.xxh64_intdigest(node.style, node.key) if inner else 0
+        loose = xxhash.xxh64_intdigest(node.bare_style, node.loose) if inner else 0
         for i, child in enumerate(inner):
             child.key = xxhash.xxh64_intdigest(f"{i} {child.tag}{child.mark}", base)
+            child.loose = xxhash.xxh64_intdigest(f"{i} {child.tag}{child.bare}", loose)
             rest.append(child)
     return out
 
@@ -178,9 +189,10 @@ def tree_rows(df: DataFrame, page: str, url: str) -> DataFrame:
                 for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     nodes = assign_keys(parse(text or ""))
                     for node, inner in nodes:
-                        kind, value = (1, xxhash.xxh64_intdigest(node.style)) if inner else (2, xxhash.xxh64_intdigest(" ".join(node.text().split())))
-                        k = (host, node.key, kind, value)
-                        counts[k] = counts.get(k, 0) + 1
+                        kind, value = (1, xxhash.xxh64_intdigest(node.bare_style)) if inner else (2, xxhash.xxh64_intdigest(" ".join(node.text().split())))
+                        for key in {node.key, node.loose}:
+                            k = (host, key, kind, value)
+                            counts[k] = counts.get(k, 0) + 1
                 columns = list(zip(*((h, k, kind, v, n) for (h, k, kind, v), n in counts.items()))) or [()] * 5
                 signed = lambda c: pa.array(np.array(c, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), signed(columns[1]), pa.array(columns[2], pa.int32()), signed(columns[3]), pa.array(columns[4], pa.int64())], names=["host", "key", "kind", "value", "n"])
@@ -194,23 +206,26 @@ def _host(url: str) -> F.Column:
 
 
 def style_tree(df: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
-    """host and its common elements: an array of (key, kind, importance, ways), ways being how many styles there are."""
+    """host, key, kind, importance, ways of the elements on enough pages, ways being how many styles there are."""
     rows = tree_rows(df, page, url)
-    pages = df.groupBy(_host(url).alias("host")).agg(F.count("*").alias("pages"))
     # -sum(p ln p) = ln m - sum(n ln n) / m
     by_key = rows.groupBy("host", "key", "kind").agg(F.sum("n").alias("m"), F.count("*").alias("ways"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    common = by_key.join(pages, "host").where((F.col("m") >= LEAST_PAGES) & (F.col("m") >= COMMON * F.col("pages")))
     importance = F.greatest(F.lit(0.0), F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")
-    # at most 1 / COMMON times the elements of one page for each host
-    return common.groupBy("host").agg(F.collect_list(F.struct("key", "kind", importance.alias("importance"), "ways")).alias("tree"))
+    return by_key.where(F.col("m") >= LEAST_PAGES).select("host", "key", "kind", importance.alias("importance"), "ways")
+
 
+#: (importance, ways) of an element by its key and kind.
+Tree = dict[tuple[int, int], tuple[float, int]]
 
-def importances(nodes: list[tuple[Node, bool]], tree: dict[int, tuple[float, int]]) -> dict[int, float]:
+
+def importances(nodes: list[tuple[Node, bool]], tree: Tree) -> dict[int, float]:
     """The importance of each element of a page, by id(node), from the leaves upwards."""
     out: dict[int, float] = {}
     for node, inner in reversed(nodes):
-        own, ways = tree.get(node.key, (1.0, 1))
-        if not inner or node.key not in tree:
+        kind = 1 if inner else 2
+        found = tree.get((node.key, kind)) or tree.get((node.loose, kind))
+        own, ways = found or (1.0, 1)
+        if not inner or not found:
             out[id(node)] = own
             continue
         below = [out[id(c)] for c in node.children if isinstance(c, Node) and id(c) in out]
@@ -236,7 +251,7 @@ def _roots(root: Node) -> list[Node]:
     return [root]
 
 
-def main_text(page: str | None, tree: dict[int, tuple[float, int]]) -> tuple[str, float]:
+def main_text(page: str | None, tree: Tree) -> tuple[str, float]:
     """The main text of a page, and the mean importance of the elements it was taken from."""
     if not page:
         return "", 0.0
@@ -269,33 +284,64 @@ def main_text(page: str | None, tree: dict[int, tuple[float, int]]) -> tuple[str
     return " ".join("".join(out).split()), sum(kept_weights) / len(kept_weights)
 
 
+def _page_trees(df: DataFrame, tree: DataFrame) -> DataFrame:
+    """_a, _b (the hashes of a page) and tree: the entries of its elements, joined by host and key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                at, keys = [], []
+                for i, text in enumerate(batch.column("_page").to_pylist()):
+                    found = {k for node, _ in assign_keys(parse(text or "")) for k in (node.key, node.loose)}
+                    at += [i] * len(found)
+                    keys += found
+                picked = batch.select(["_a", "_b", "_host"]).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], names=["_a", "_b", "host", "key"])
+
+    needed = df.select("_a", "_b", "_host", "_page").mapInArrow(run, "_a long, _b long, host string, key long").distinct()
+    return needed.join(tree, ["host", "key"]).groupBy("_a", "_b").agg(F.collect_list(F.struct("key", "kind", "importance", "ways")).alias("tree"))
+
+
 def extract(df: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
     """``df`` with ``text``, the main text, and ``importance``, that of the elements it comes from."""
-    trees = cut(style_tree(df, page, url).withColumnRenamed("host", "_host"))
-    entries = trees.agg(F.coalesce(F.sum(F.size("tree")), F.lit(0))).first()[0]
-    if entries <= BROADCAST_ENTRIES:
-        trees = F.broadcast(trees)
+    tree = cut(style_tree(df, page, url))
     kept = [f for f in df.schema.fields if f.name not in ("text", "importance")]
     names = [f.name for f in kept]
     read = df.select(*[f"`{n}`" for n in names], F.col(page).alias("_page"), _host(url).alias("_host"))
-    joined = read.join(trees, "_host", "left")
+    small = tree.count() <= BROADCAST_ENTRIES
+    spans: dict[str, tuple[int, int]] = {}
+    if small:
+        held = tree.toArrow().sort_by("host").combine_chunks()
+        hosts, starts = np.unique(held["host"].to_numpy(), return_index=True) if len(held) else ([], [])
+        spans = {h: (int(a), int(b)) for h, a, b in zip(hosts, starts, [*starts[1:], len(held)])}
+        columns = [held[c].to_numpy() for c in ("key", "kind", "importance", "ways")]
+    else:
+        read = read.withColumns({"_a": F.xxhash64("_host", "_page"), "_b": F.xxhash64(F.lit(1), "_page", "_host")})
+        read = read.join(_page_trees(read, tree), ["_a", "_b"], "left")
+        columns = []
     schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("importance", T.DoubleType())])
+    low = (1 << 64) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[int, tuple[float, int]]] = {}
+        known: dict[str, Tree] = {}
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 texts, weights = [], []
                 for i, (host, text) in enumerate(zip(batch.column("_host").to_pylist(), batch.column("_page").to_pylist())):
-                    if host not in known:
+                    if not small:
+                        mine = {(e["key"] & low, e["kind"]): (e["importance"], e["ways"]) for e in batch.column("tree")[i].as_py() or []}
+                    elif host in known:
+                        mine = known[host]
+                    else:
                         if len(known) > 200:
                             known.clear()
-                        entries = batch.column("tree")[i].as_py() or []
-                        known[host] = {e["key"] & (1 << 64) - 1: (e["importance"], e["ways"]) for e in entries}
-                    t, w = main_text(text, known[host])
+                        a, b = spans.get(host, (0, 0))
+                        mine = known[host] = {(k & low, kind): (x, n) for k, kind, x, n in zip(*(c[a:b].tolist() for c in columns))}
+                    t, w = main_text(text, mine)
                     texts.append(t)
                     weights.append(w)
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(weights, pa.float64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return read.mapInArrow(run, schema)

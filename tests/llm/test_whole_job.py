@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from spectrafold.llm import near_dedup, toxicity
+from spectrafold.llm import html_text, near_dedup, toxicity
 
 
 def inflected_texts(spark, endings):
@@ -56,3 +57,18 @@ def test_near_copies_with_other_counts_of_a_line_are_linked(spark):
             rows += [(first + (51 - i if i < 2 else i), t) for i, t in enumerate(texts)]
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[a] == got[b] for a, b in pairs] == [True] * 5
+
+
+@pytest.mark.parametrize("entries", [html_text.BROADCAST_ENTRIES, 0])
+def test_rare_templates_and_ids_of_pages(spark, monkeypatch, entries):
+    monkeypatch.setattr(html_text, "BROADCAST_ENTRIES", entries)
+    pages = []
+    for layout in range(20):  # each layout has a twentieth of the host's pages
+        for i in range(6):
+            name = f"{layout}x{i}"
+            own = f' id="post-{name}"' if layout % 2 else ""
+            body = f"<div{own}>" + "<i></i>" * layout + f"<div>Join our club</div><div>story {name}</div></div>"
+            pages.append((len(pages), "http://a.test/" + name, body))
+    rows = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(rows) == 120
+    assert {r["text"] for r in rows} == {"story " + r["url"].rsplit("/", 1)[1] for r in rows}
