@@ -124,7 +124,7 @@ def test_top_k(spark, ties):
     vectors = [(i, [float(np.float32(x)) for x in (rng.integers(-2, 3, 6) / 4 if ties else rng.standard_normal(6))]) for i in range(300)]
     vectors += [(350, None), (351, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (352, [float("nan")] * 6), (400, [0.0] * 6)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
-    got = topk_search.top_k(df, F.col("vec_id") % 50 == 0, candidates=64, queries=3)
+    got = topk_search.top_k(df, F.col("vec_id") % 50 == 0, candidates=64)
     assert {tuple(r) for r in got.collect()} == plain_top_k(vectors, 5)
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert topk_search.top_k(df.limit(1), F.col("vec_id") % 50 == 0).count() == 0
@@ -132,10 +132,33 @@ def test_top_k(spark, ties):
 
 def test_threshold_search_stops_early():
     rng = np.random.default_rng(5)
-    vectors = rng.integers(-20, 20, (2000, 4))
+    vectors = rng.integers(-20, 20, (20_000, 8))
     vectors[:5] = 4000
-    ids, scores = topk_search.Block(np.arange(2000), vectors).search(-1, np.array([3, 2, 1, 1]), 5)
-    assert ids.tolist() == [0, 1, 2, 3, 4] and set(scores.tolist()) == {28000}
+    block = topk_search.Block(np.arange(20_000), vectors)
+    place, ids, scores = block.search(np.array([-1, -2]), np.array([[3, 2, 1, 1, 0, 0, 0, 0], [1] * 8]), 5)
+    assert ids.tolist() == [0, 1, 2, 3, 4] * 2 and scores.tolist() == [28000] * 5 + [32000] * 5
+    assert block.scored < 0.05 * 2 * 20_000
+    block.scored = 0  # a floor that no candidate reaches ends the search at the list heads
+    assert len(block.search(np.array([-1]), np.ones((1, 8), int), 5, np.array([10**6]))[0]) == 0 and block.scored < 400
+
+
+def test_searches_with_floors_equal_plain_ones():
+    rng = np.random.default_rng(6)
+    for spread in (3, 1000):
+        vectors = rng.integers(-spread, spread, (700, 5)) // rng.integers(1, 40, (700, 1))
+        queries = rng.integers(-4, 5, (40, 5))
+        queries[0] = 0
+        want = [sorted((-int(s), i) for i, s in enumerate(vectors @ q) if i != at)[:4] for at, q in enumerate(queries)]
+        for floors in (None, np.array([-w[-1][0] for w in want])):
+            place, ids, scores = topk_search.Block(np.arange(700), vectors).search(np.arange(40), queries, 4, floors)
+            assert [sorted(zip((-scores[place == i]).tolist(), ids[place == i].tolist())) for i in range(40)] == want
+
+
+def test_top_k_edge_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 2.0]), (50, []), (51, []), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (None, [9.0, 9.0]), (2, [0.5] * 3000), (100, [0.25] * 3000)]
+    df = spark.createDataFrame([(i, v, "x", 1.0, 0) for i, v in rows], "vec_id long, embedding array<double>, q string, score double, block int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0, k=3, candidates=2).collect())
+    assert got == [(0, 1, 1, 131072), (0, 2, 1, 131072), (0, 3, 1, 65536), (50, 1, 51, 0), (100, 1, 2, 128 * 64 * 3000)]
 
 
 def test_url_lists(spark):
