@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def beside(df: DataFrame, *replaced: str) -> Column:
+    """All columns of ``df`` but those replaced, as one struct ``row``, so that no name of theirs meets an own one."""
+    names = {r.lower() for r in replaced}
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names]).alias("row")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is evaluated once for each row, also where a lambda uses it for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

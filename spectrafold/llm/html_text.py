@@ -11,21 +11,28 @@ l child sequences, (1 - 0.9^l) of the own presentation and 0.9^l of the mean ove
 under ``THRESHOLD`` are removed.
 
 Templates whose texts differ on every page can't be told from articles by entropy, and copies of one
-article look like a template. So elements that are marked as menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or reader comments, by tag, role, class or id, go as well; where a page has
-an article (or a main element), the text is taken from there; and paragraphs and headings of it are never
-removed for low importance.
+article look like a template. So the importance is evidence beside a prior (``PRIORS``) in log odds that tags,
+roles, classes and ids give: an unmarked branch goes if its importance is below ``THRESHOLD``; marks of
+menus, headers, footers, sidebars, notices, adverts, forms or reader comments make that stricter, marks of
+articles laxer; the importance can raise the log odds by 1 and lower them by 3. Scripts, styles, hidden
+elements and controls hold no text. Where a page has an article (or a main element), the text is taken from
+there; articles and paragraphs never go for low importance alone; a header inside an article leaves its
+headings. A page that would be left without text is read once more without the priors of classes, ids
+and forms, which a wrapper of the whole page may have.
 
 Defined results: null pages are empty; a page without text gives an empty string; unclosed and misnested
 tags are closed as browsers do for paragraphs and list items; the rest of a page after an unfinished tag
-is dropped. Null and malformed URLs share the empty host. Equal rows are extracted each. Columns are kept;
-``text`` and ``importance`` replace columns of these names.
+is dropped. Pages may be nested to any depth and be of any length. Null and malformed URLs share the empty
+host. Equal rows are extracted each; an empty table gives an empty table. Columns are kept, whatever their
+names; ``text`` and ``importance`` replace columns of these names.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import beside, cut
 
 LEAST_PAGES, THRESHOLD, GAMMA = 4, 0.3, 0.9
 #: Trees of up to so many entries in all (40 bytes each) go to all workers; larger ones are joined by host and key.
@@ -49,25 +56,35 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption td th"
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body article main section div nav td th select".split())
-NOISE_TAGS = frozenset("head script style noscript template iframe object svg canvas nav header footer aside form button select option textarea input dialog menu title".split())
+NO_TEXT = frozenset("head script style noscript template iframe object svg canvas button select option textarea input title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NOISE_TAGS = frozenset("nav header footer aside menu dialog".split())
+MAIN_TAGS = frozenset("article main".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 NOISE_MARKS = frozenset(
     "ad ads adv advert advertisement advertising sponsor sponsored promo banner sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup comment comments disqus respond share sharing social related recommended widget pagination".split()
 )
+MAIN_MARKS = frozenset("article story post entry content main body text".split())
+#: Words that make a class a state of the page ("no-sidebar") and not a mark of the element.
+STATES = frozenset("no not without has have with is hide show".split())
+#: Log odds that marks add: a tag or role, a class or id that is a mark, one that has a mark at an end.
+PRIORS = {"noise tag": -3.0, "main tag": 2.0, "form": -2.0, "noise name": -3.0, "noise part": -2.0, "main name": 2.0, "main part": 1.0, "prose": 3.0, "in main": 1.5}
+#: How far importance moves the log odds.
+LOWEST, HIGHEST = -3.0, 1.0
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_MARKED = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_MARKED = re.compile(r"(?<![\w:.-])(class|id|role|aria-hidden|hidden|style)(?![\w:.-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _DIGIT = re.compile(r"\d")
-_TOKENS = re.compile(r"[^a-z0-9]+")
+_PARTS = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An element: children are nodes and strings."""
+    """An element: children are nodes and strings. ``tagged`` and ``named``: the priors of its tag and role, and of its names."""
 
-    __slots__ = ("bare", "children", "key", "loose", "mark", "noise", "tag")
+    __slots__ = ("bare", "children", "empty", "key", "loose", "mark", "named", "tag", "tagged")
 
-    def __init__(self, tag: str, mark: str = "", noise: bool = False, bare: str = "") -> None:
-        self.tag, self.mark, self.noise, self.bare = tag, mark, noise, bare
+    def __init__(self, tag: str, mark: str = "", bare: str = "", empty: bool = False, tagged: float = 0.0, named: float = 0.0) -> None:
+        self.tag, self.mark, self.bare, self.empty, self.tagged, self.named = tag, mark, bare, empty, tagged, named
         self.children: list[Node | str] = []
         self.key = self.loose = 0
 
@@ -82,34 +99,67 @@ class Node:
         return " ".join(c.tag + c.bare if isinstance(c, Node) else "#" for c in self.children)
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, rest = [], [self]
+        while rest:
+            node = rest.pop()
+            if isinstance(node, str):
+                out.append(node)
+            else:
+                rest.extend(reversed(node.children))
+        return "".join(out)
 
 
-def _attributes(raw: str) -> tuple[str, bool, str]:
-    """The class and id of a tag, whether its attributes mark it as noise, and the classes without a digit."""
-    mark, noise, bare = "", False, ""
-    for name, *values in _MARKED.findall(raw):
+def name_prior(value: str) -> float:
+    """The log odds that the names of a class or id attribute give."""
+    noise = main = 0.0
+    for name in value.split():
+        parts = _PARTS.findall(name)
+        if not parts or not STATES.isdisjoint(parts):
+            continue
+        whole, ends = len(parts) == 1, {parts[0], parts[-1]}
+        if not NOISE_MARKS.isdisjoint(ends):
+            noise = min(noise, PRIORS["noise name" if whole else "noise part"])
+        elif not MAIN_MARKS.isdisjoint(ends):
+            main = max(main, PRIORS["main name" if whole else "main part"])
+    return noise + main
+
+
+def element(tag: str, raw: str) -> Node:
+    """An element by its tag and attributes."""
+    mark = bare = ""
+    empty = tag in NO_TEXT
+    tagged = PRIORS["noise tag"] if tag in NOISE_TAGS else PRIORS["main tag"] if tag in MAIN_TAGS else 0.0
+    named = PRIORS["form"] if tag == "form" else 0.0
+    for name, *values in _MARKED.findall(raw) if raw else ():
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name in ("class", "id"):
             mark += ("." if name == "class" else "@") + value
             if name == "class":
                 bare += "." + (" ".join(c for c in value.split() if not _DIGIT.search(c)) if _DIGIT.search(value) else value)
-            noise |= not NOISE_MARKS.isdisjoint(_TOKENS.split(value))
+            named += name_prior(value)
         elif name == "role":
-            noise |= value in NOISE_ROLES
+            tagged += PRIORS["noise tag"] if value in NOISE_ROLES else PRIORS["main tag"] if value in MAIN_TAGS else 0.0
         elif name == "hidden":
-            noise = True
+            empty = True
         elif name == "aria-hidden":
-            noise |= value == "true"
+            empty |= value == "true"
         else:
-            noise |= "display:none" in value.replace(" ", "")
-    return mark, noise, bare
+            empty |= "display:none" in value.replace(" ", "")
+    if tag in ("html", "body"):  # the whole page
+        empty, tagged, named = False, 0.0, 0.0
+    return Node(tag, mark, bare, empty, tagged, named)
 
 
 def parse(page: str) -> Node:
     """The tree of a page; character references are decoded."""
     root = Node("#page")
     stack, at = [root], 0
+    opened: Counter[str] = Counter()  # how often each tag is on the stack
+
+    def close(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     while True:
         m = _TAG.search(page, at)
         piece = page[at : m.start() if m else len(page)]
@@ -127,26 +177,25 @@ def parse(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            if name == "p" and not any(n.tag == "p" for n in stack):
+            if not opened[name]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if name in INLINE and stack[i].tag not in INLINE:
                     break
             continue
         if name in CLOSES_P or name in SIBLINGS:
             ends = SIBLINGS.get(name, {"p"})
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[e] for e in ends) else ():
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    close(i)
                     if name not in ("tr",):
                         break
                 elif stack[i].tag in SCOPES:
                     break
-        mark, noise, bare = _attributes(m[3]) if m[3] else ("", False, "")
-        node = Node(name, mark, noise or name in NOISE_TAGS, bare)
+        node = element(name, m[3])
         stack[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -155,6 +204,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif name not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[name] += 1
 
 
 def assign_keys(root: Node) -> list[tuple[Node, bool]]:
@@ -167,7 +217,7 @@ def assign_keys(root: Node) -> list[tuple[Node, bool]]:
     rest = [root]
     while rest:
         node = rest.pop()
-        inner = [c for c in node.children if isinstance(c, Node) and c.tag not in INLINE] if node.tag not in PROSE else []
+        inner = [c for c in node.children if isinstance(c, Node) and c.tag not in INLINE and c.tag not in VOID] if node.tag not in PROSE else []
         out.append((node, bool(inner)))
         base = xxhash.xxh64_intdigest(node.style, node.key) if inner else 0
         loose = xxhash.xxh64_intdigest(node.bare_style, node.loose) if inner else 0
@@ -219,36 +269,97 @@ Tree = dict[tuple[int, int], tuple[float, int]]
 
 
 def importances(nodes: list[tuple[Node, bool]], tree: Tree) -> dict[int, float]:
-    """The importance of each element of a page, by id(node), from the leaves upwards."""
+    """The importance of each element of a page that the tree has, by id(node), from the leaves upwards."""
     out: dict[int, float] = {}
+    known: dict[int, float] = {}
     for node, inner in reversed(nodes):
         kind = 1 if inner else 2
         found = tree.get((node.key, kind)) or tree.get((node.loose, kind))
-        own, ways = found or (1.0, 1)
-        if not inner or not found:
-            out[id(node)] = own
-            continue
-        below = [out[id(c)] for c in node.children if isinstance(c, Node) and id(c) in out]
-        share = GAMMA**ways
-        out[id(node)] = (1 - share) * own + share * (sum(below) / len(below) if below else 1.0)
-    return out
-
-
-def _roots(root: Node) -> list[Node]:
-    """The outermost articles, or else main elements, that aren't noise; or else the whole page."""
-    for wanted in ("article", "main"):
-        found, rest = [], [root]
+        value, ways = found or (1.0, 1)
+        if inner and found:
+            below = [out[id(c)] for c in node.children if isinstance(c, Node) and id(c) in out and not c.empty]
+            share = GAMMA**ways
+            value = (1 - share) * value + share * (sum(below) / len(below) if below else 1.0)
+        out[id(node)] = value
+        if found:
+            known[id(node)] = value
+    return known
+
+
+#: The log odds of an unmarked element without evidence: importance under the threshold brings them below 0.
+_BASE = math.log((1 - THRESHOLD) / THRESHOLD)
+
+
+class Judge:
+    """Tells which elements of a page stay. ``names``: whether classes, ids and forms count."""
+
+    def __init__(self, weight: dict[int, float], names: bool) -> None:
+        self.weight, self.names, self.inside = weight, names, False
+
+    def keeps(self, node: Node) -> bool:
+        if node.empty or node.tag in VOID:  # a void element parts words
+            return not node.empty
+        odds = node.tagged + (node.named if self.names else 0.0)
+        if odds >= 0:
+            odds += PRIORS["prose"] if node.tag in PROSE or node.tag in INLINE else PRIORS["in main"] if self.inside else 0.0
+        odds += _BASE
+        importance = self.weight.get(id(node))
+        if importance is not None:
+            low, high = math.exp(LOWEST), math.exp(HIGHEST)
+            ratio = importance / (1 - importance) if importance < 1 else high
+            evidence = math.log(min(max(ratio, low), high))
+            # an article is never a template, however many copies of it the host has
+            odds += max(0.0, evidence) if node.tag in ("html", "body", "article", "main") else evidence
+        return odds >= 0
+
+    def roots(self, root: Node) -> list[Node]:
+        """The outermost articles, or else main elements, that stay; or else the whole page. Forms may wrap them."""
+        for wanted in ("article", "main"):
+            found, rest = [], [root]
+            while rest:
+                node = rest.pop()
+                if node is not root and not self.keeps(node) and (node.empty or node.tag != "form"):
+                    # a branch of low importance may hold an article, a marked one may not
+                    if node.empty or node.tagged < 0 or self.names and node.named < 0:
+                        continue
+                if node.tag == wanted and self.keeps(node):
+                    found.append(node)
+                else:
+                    rest += [c for c in reversed(node.children) if isinstance(c, Node)]
+            if found:
+                return found
+        return [root]
+
+    def text(self, roots: list[Node]) -> str:
+        """The texts of what stays, in page order."""
+        out: list[str] = []
+        rest: list[Node | str] = list(reversed(roots))
         while rest:
             node = rest.pop()
-            if node.noise:
+            if isinstance(node, str):
+                out.append(node)
                 continue
-            if node.tag == wanted:
-                found.append(node)
-            else:
-                rest += [c for c in reversed(node.children) if isinstance(c, Node)]
-        if found:
-            return found
-    return [root]
+            gap = "" if node.tag in INLINE else " "
+            out.append(gap)
+            rest.append(gap)
+            for child in reversed(node.children):
+                if isinstance(child, str) or self.keeps(child):
+                    rest.append(child)
+                elif self.inside and child.tag == "header" and not child.empty:
+                    rest.extend(reversed(headings(child)))
+        return " ".join("".join(out).split())
+
+
+def headings(node: Node) -> list[Node]:
+    """The headings in an element."""
+    found, rest = [], [node]
+    while rest:
+        one = rest.pop()
+        if one.tag in HEADINGS:
+            found.append(one)
+        else:
+            rest += [c for c in reversed(one.children) if isinstance(c, Node) and not c.empty]
+    return found
 
 
 def main_text(page: str | None, tree: Tree) -> tuple[str, float]:
@@ -256,59 +367,40 @@ def main_text(page: str | None, tree: Tree) -> tuple[str, float]:
     if not page:
         return "", 0.0
     root = parse(page)
-    nodes = assign_keys(root)
-    weight = importances(nodes, tree)
-    roots = _roots(root)
-    kept_weights = [weight.get(id(n), 1.0) for n in roots]
-    out: list[str] = []
-
-    def walk(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                out.append(child)
-            elif not child.noise:
-                low = child.tag not in PROSE and child.tag not in INLINE and weight.get(id(child), 1.0) < THRESHOLD
-                # an article is never a template, however many copies of it the host has
-                if low and child.tag not in ("html", "body", "article", "main", "br", "hr"):
-                    continue
-                if child.tag in INLINE:
-                    walk(child)
-                else:
-                    out.append(" ")
-                    walk(child)
-                    out.append(" ")
-
-    for r in roots:
-        out.append(" ")
-        walk(r)
-    return " ".join("".join(out).split()), sum(kept_weights) / len(kept_weights)
+    weight = importances(assign_keys(root), tree)
+    for names in (True, False):
+        judge = Judge(weight, names)
+        roots = judge.roots(root)
+        judge.inside = roots[0].tag in MAIN_TAGS
+        text = judge.text(roots)
+        if text:
+            break
+    return text, sum(weight.get(id(n), 1.0) for n in roots) / len(roots)
 
 
 def _page_trees(df: DataFrame, tree: DataFrame) -> DataFrame:
-    """_a, _b (the hashes of a page) and tree: the entries of its elements, joined by host and key."""
+    """a, b (the hashes of a page) and tree: the entries of its elements, joined by host and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 at, keys = [], []
-                for i, text in enumerate(batch.column("_page").to_pylist()):
+                for i, text in enumerate(batch.column("page").to_pylist()):
                     found = {k for node, _ in assign_keys(parse(text or "")) for k in (node.key, node.loose)}
                     at += [i] * len(found)
                     keys += found
-                picked = batch.select(["_a", "_b", "_host"]).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], names=["_a", "_b", "host", "key"])
+                picked = batch.select(["a", "b", "host"]).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], names=["a", "b", "host", "key"])
 
-    needed = df.select("_a", "_b", "_host", "_page").mapInArrow(run, "_a long, _b long, host string, key long").distinct()
-    return needed.join(tree, ["host", "key"]).groupBy("_a", "_b").agg(F.collect_list(F.struct("key", "kind", "importance", "ways")).alias("tree"))
+    needed = df.select("a", "b", "host", "page").mapInArrow(run, "a long, b long, host string, key long").distinct()
+    return needed.join(tree, ["host", "key"]).groupBy("a", "b").agg(F.collect_list(F.struct("key", "kind", "importance", "ways")).alias("tree"))
 
 
 def extract(df: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
     """``df`` with ``text``, the main text, and ``importance``, that of the elements it comes from."""
     tree = cut(style_tree(df, page, url))
-    kept = [f for f in df.schema.fields if f.name not in ("text", "importance")]
-    names = [f.name for f in kept]
-    read = df.select(*[f"`{n}`" for n in names], F.col(page).alias("_page"), _host(url).alias("_host"))
+    read = df.select(beside(df, "text", "importance"), F.col(page).alias("page"), _host(url).alias("host"))
     small = tree.count() <= BROADCAST_ENTRIES
     spans: dict[str, tuple[int, int]] = {}
     if small:
@@ -317,10 +409,10 @@ def extract(df: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
         spans = {h: (int(a), int(b)) for h, a, b in zip(hosts, starts, [*starts[1:], len(held)])}
         columns = [held[c].to_numpy() for c in ("key", "kind", "importance", "ways")]
     else:
-        read = read.withColumns({"_a": F.xxhash64("_host", "_page"), "_b": F.xxhash64(F.lit(1), "_page", "_host")})
-        read = read.join(_page_trees(read, tree), ["_a", "_b"], "left")
+        read = read.withColumns({"a": F.xxhash64("host", "page"), "b": F.xxhash64(F.lit(1), "page", "host")})
+        read = read.join(_page_trees(read, tree), ["a", "b"], "left").select("row", "page", "host", "tree")
         columns = []
-    schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("importance", T.DoubleType())])
+    schema = T.StructType([read.schema["row"], T.StructField("text", T.StringType()), T.StructField("importance", T.DoubleType())])
     low = (1 << 64) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +421,7 @@ def extract(df: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 texts, weights = [], []
-                for i, (host, text) in enumerate(zip(batch.column("_host").to_pylist(), batch.column("_page").to_pylist())):
+                for i, (host, text) in enumerate(zip(batch.column("host").to_pylist(), batch.column("page").to_pylist())):
                     if not small:
                         mine = {(e["key"] & low, e["kind"]): (e["importance"], e["ways"]) for e in batch.column("tree")[i].as_py() or []}
                     elif host in known:
@@ -342,6 +434,6 @@ def extract(df: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
                     t, w = main_text(text, mine)
                     texts.append(t)
                     weights.append(w)
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(weights, pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(weights, pa.float64())], names=schema.names)
 
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(run, schema).select("row.*", "text", "importance")
