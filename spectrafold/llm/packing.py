@@ -3,17 +3,19 @@
 Documents become token ids by a ``tokenizers`` file, followed by one end id. What fills whole sequences
 is cut off first; the rests of a group of documents are spread over windows by Karmarkar-Karp multiway
 differencing: the two partial partitions with the greatest imbalance are merged largest sum to smallest
-sum, until one is left, whose windows are nearly equal. Windows over the capacity are mended by cutting
-their last pieces and moving the excess to windows with room; where cutting is not allowed, or no window
-has room, the number of windows rises and the differencing runs anew.
+sum, until one is left, whose windows are nearly equal. Whenever a window exceeds the capacity, the number
+of windows rises and the differencing runs anew, until all windows hold. Where documents may be cut, the
+emptiest windows are then dissolved into the room that the others have, so that hardly any padding is left.
 
 A group is closed when it holds exactly ``group_windows`` full windows; the token run beyond that is
 carried into the next group. The last group of a partition of the input gives the full windows that its
 tokens fill, and short sequences at powers of two for the rest, which need no padding. Documents are
 packed where they are read: no shuffle, and the memory of one group at a time.
 
-Null texts count as empty: such a document has the end id only. Equal rows are packed each. Columns other
-than the id and the text are left out, whatever their names.
+Null texts count as empty: such a document has the end id only. Null ids are kept. Equal rows, and rows of
+one id, are packed each. A document longer than a window gives whole windows and a rest; a text of any
+length is tokenised at once. An empty table gives no pieces. Columns other than the id and the text are
+left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -151,30 +153,33 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     """Karmarkar-Karp: the positions of ``sizes`` in each of so many windows of nearly equal sums."""
     if windows == 1:
         return [list(range(len(sizes)))]
-    heap: list[tuple[int, int, list[int], list]] = []
-    for i, size in enumerate(sizes):
-        heap.append((-size, i, [size] + [0] * (windows - 1), [i] + [None] * (windows - 1)))
+    partial: list[np.ndarray | None] = []  # the ascending window sums of each partial partition
+    for size in sizes:
+        sums = np.zeros(windows, np.int64)
+        sums[-1] = size
+        partial.append(sums)
+    heap = [(-size, i) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    tie = len(sizes)
+    merges: list[tuple[int, int, np.ndarray]] = []
     while len(heap) > 1:
-        _, _, sums, members = heapq.heappop(heap)
-        _, _, other, others = heapq.heappop(heap)
-        merged = [a + b for a, b in zip(sums, reversed(other))]
-        held = [m if o is None else o if m is None else (m, o) for m, o in zip(members, reversed(others))]
-        order = sorted(range(windows), key=merged.__getitem__, reverse=True)
-        sums, members = [merged[i] for i in order], [held[i] for i in order]
-        heapq.heappush(heap, (sums[-1] - sums[0], tie, sums, members))
-        tie += 1
-    out = []
-    for member in heap[0][3] if heap else [None] * windows:
-        found, rest = [], [member]
-        while rest:
-            m = rest.pop()
-            if isinstance(m, tuple):
-                rest += m
-            elif m is not None:
-                found.append(m)
-        out.append(sorted(found))
+        (_, i), (_, j) = heapq.heappop(heap), heapq.heappop(heap)
+        merged = partial[i] + partial[j][::-1]
+        order = merged.argsort(kind="stable")
+        sums = merged[order]
+        partial[i] = partial[j] = None
+        heapq.heappush(heap, (int(sums[0] - sums[-1]), len(partial)))
+        partial.append(sums)
+        merges.append((i, j, order))
+    # from the last partition back: the window of each place of the two that it was merged from
+    window: dict[int, np.ndarray] = {heap[0][1]: np.arange(windows)} if heap else {}
+    for at in range(len(merges) - 1, -1, -1):
+        i, j, order = merges[at]
+        places = np.empty(windows, np.int64)
+        places[order] = window.pop(len(sizes) + at)
+        window[i], window[j] = places, places[::-1]
+    out: list[list[int]] = [[] for _ in range(windows)]
+    for i in range(len(sizes)):
+        out[window[i][-1]].append(i)
     return out
 
 
@@ -183,33 +188,29 @@ Piece = tuple[int, int, int]  # document, start, length
 
 def pack_group(pieces: list[Piece], capacity: int, cut: bool = True) -> list[list[Piece]]:
     """Windows of at most ``capacity`` tokens that hold all pieces, each of which fits one window."""
-    total = sum(p[2] for p in pieces)
-    count = max(1, -(-total // capacity))
+    sizes = [p[2] for p in pieces]
+    least = count = max(1, -(-sum(sizes) // capacity))
     while True:
-        windows = [[pieces[i] for i in w] for w in differencing([p[2] for p in pieces], count)]
-        room = [capacity - sum(p[2] for p in w) for w in windows]
-        if min(room) >= 0:
-            return [w for w in windows if w]
-        if cut and sum(room) >= 0:
+        held = differencing(sizes, count)
+        sums = [sum(sizes[i] for i in w) for w in held]
+        over = sum(s - capacity for s in sums if s > capacity)
+        if not over:
             break
-        count += 1
-    moved: list[Piece] = []
-    for w, r in zip(windows, room):
-        while r < 0:
-            doc, start, length = w.pop()
-            keep = max(0, length + r)
-            if keep:
-                w.append((doc, start, keep))
-            moved.append((doc, start + keep, length - keep))
-            r += length - keep
-    for w, r in zip(windows, room):
-        while r > 0 and moved:
-            doc, start, length = moved.pop()
-            take = min(r, length)
+        count += -(-over // capacity)  # at most so many windows more hold what is over
+    order = sorted(range(count), key=lambda w: -sums[w])
+    windows = [[pieces[i] for i in held[w]] for w in order]
+    if not cut:
+        return [w for w in windows if w]
+    windows, rest = windows[:least], [p for w in windows[least:] for p in w]
+    for w, s in zip(windows, (sums[i] for i in order)):
+        room = capacity - s
+        while room and rest:
+            doc, start, length = rest.pop()
+            take = min(room, length)
             w.append((doc, start, take))
             if take < length:
-                moved.append((doc, start + take, length - take))
-            r -= take
+                rest.append((doc, start + take, length - take))
+            room -= take
     return [w for w in windows if w]
 
 

@@ -58,16 +58,53 @@ def test_word_tokens_equal_the_library():
             assert list(memoryview(ids).cast("I")) == [*library.encode(text, add_special_tokens=False).ids, 1], text
 
 
-def test_differencing_is_balanced_and_windows_hold():
-    sizes = [random.Random(4).randint(1, 2000) for _ in range(60)]
-    sums = [sum(sizes[i] for i in w) for w in packing.differencing(sizes, 10)]
-    assert sum(sums) == sum(sizes) and max(sums) - min(sums) < 400
-    pieces = [(i, 0, s) for i, s in enumerate(sizes)]
-    for cut in (True, False):
-        windows = packing.pack_group(pieces, 2048, cut)
-        assert all(sum(p[2] for p in w) <= 2048 for w in windows)
-        assert sum(p[2] for w in windows for p in w) == sum(sizes)
-    assert len(packing.pack_group(pieces, 2048, True)) == -(-sum(sizes) // 2048)
+def plain_differencing(sizes, windows):
+    """The descending window sums of Karmarkar-Karp, straight from its description; of equal ones the earlier made first."""
+    parts = [(s, i, [s] + [0] * (windows - 1)) for i, s in enumerate(sizes)]
+    for made in range(len(sizes), 2 * len(sizes) - 1):
+        parts.sort(key=lambda p: (-p[0], p[1]))
+        (_, _, one), (_, _, other) = parts.pop(0), parts.pop(0)
+        merged = sorted((a + b for a, b in zip(one, reversed(other))), reverse=True)
+        parts.append((merged[0] - merged[-1], made, merged))
+    return parts[0][2]
+
+
+def test_differencing_equals_its_description():
+    rng = random.Random(4)
+    for windows in (2, 3, 8, 30):
+        for n in (1, 2, 40, 150):
+            sizes = [rng.randint(1, 3000) for _ in range(n)]
+            held = packing.differencing(sizes, windows)
+            assert sorted(i for w in held for i in w) == list(range(n))
+            assert sorted((sum(sizes[i] for i in w) for w in held), reverse=True) == plain_differencing(sizes, windows)
+    assert packing.differencing([], 2) == [[], []] and packing.differencing([5, 4], 1) == [[0, 1]]
+
+
+def test_the_window_count_rises_until_all_windows_hold():
+    rng = random.Random(5)
+    for high in (300, 1100, 2048):
+        sizes = [rng.randint(1, high) for _ in range(120)]
+        pieces = [(i, 0, s) for i, s in enumerate(sizes)]
+        least = -(-sum(sizes) // 2048)
+        for cut in (True, False):
+            windows = packing.pack_group(pieces, 2048, cut)
+            assert all(0 < sum(p[2] for p in w) <= 2048 for w in windows)
+            assert sorted((d, s + k) for w in windows for d, s, n in w for k in range(n)) == [(d, k) for d, _, n in pieces for k in range(n)]
+            assert len(windows) == least if cut else len(windows) >= least
+    pieces = [(i, 0, 1500) for i in range(40)]
+    assert len(packing.pack_group(pieces, 2048, False)) == 40 and len(packing.pack_group(pieces, 2048, True)) == 30
+
+
+def test_the_count_rises_on_the_way_of_the_query(monkeypatch):
+    tried = []
+    plain = packing.differencing
+    monkeypatch.setattr(packing, "differencing", lambda sizes, windows: tried.append(windows) or plain(sizes, windows))
+    packer, rng = packing.Packer(2048, 64), random.Random(6)
+    sequences = [s for d in range(3000) for s in packer.add(d, rng.randint(1, 900))] + list(packer.end())
+    assert max(tried) > 64  # full groups of 64 windows' tokens need more windows before any cut
+    lengths = [sum(p[2] for p in s) for s in sequences]
+    padding = sum(2048 - n for n in lengths if n & (n - 1))
+    assert padding == 0 and max(lengths) == 2048
 
 
 def test_packing_covers_every_token(spark):
@@ -188,3 +225,19 @@ def test_components(spark):
 def test_digests_of_packed_ids(text):
     ids = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"), 1).encode([text])[0]
     assert zlib.crc32(ids) >= 0 and hashlib.sha256(ids).hexdigest()
+
+
+def test_packing_of_odd_tables(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(1, "hello world", 5, "s")] * 2 + [(1, "other", None, None), (None, "null id", 1, "x"), (2, None, 2, "y"), (3, "", 3, ""), (4, "long text " * 60_000, 4, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start long, sequence_id string")
+    got = packing.pack(df, path).collect()
+    library = Tokenizer.from_file(path)
+    want = sorted((str(i), len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, _, _ in rows)
+    assert sorted((str(r["doc_id"]), r["doc_tokens"]) for r in got if r["start"] == 0) == want
+    assert sum(r["length"] for r in got) == sum(n for _, n in want)
+    assert packing.pack(df.limit(0), path).count() == 0
+    lengths = {}
+    for r in got:
+        lengths[r["sequence_id"]] = lengths.get(r["sequence_id"], 0) + r["length"]
+    assert all(n <= 2048 for n in lengths.values()) and sum(2048 - n for n in lengths.values() if n & (n - 1)) <= 0.02 * sum(n for _, n in want)
