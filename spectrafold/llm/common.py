@@ -36,6 +36,19 @@ def beside(df: DataFrame, *replaced: str) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names]).alias("row")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have: ``name``, with underscores as needed."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A hash of all columns of a row that can be hashed (maps can't)."""
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is evaluated once for each row, also where a lambda uses it for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -51,5 +64,17 @@ def unit_hash(*cols: str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 40)) / float(1 << 40)
 
 
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has one row for each key, where any share of ``big`` may have one key.
+
+    The rows of a key are dealt by ``by`` over as many salts as there are shuffle partitions; each salt that a
+    key really has gets a copy of its row of ``small``. Meant for tables of this package (a column ``_salt``).
+    """
+    salts = shuffle_partitions(big.sparkSession)
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(F.lit(11), by), F.lit(salts)).cast("int"))
+    copies = salted.select(*on, "_salt").distinct().join(small, on)
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
