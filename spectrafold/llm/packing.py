@@ -44,7 +44,7 @@ _MARKS = ",.!?;:"
 
 
 #: A comma or full stop that belongs to a run of marks, which is one word.
-_RUN = re.compile(r"(?:[^\w\s]|_)[,.] ").search
+_RUN = re.compile(r"[,.] (?:(?<=[^\w\s][,.] )|(?<=_[,.] ))").search
 
 
 def _spaced(text: str) -> str:
@@ -91,7 +91,7 @@ class WordTokens:
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words. Words of Latin letters are encoded many at once and told apart by their last tokens."""
         out: dict[str, bytes] = {}
-        plain = [w for w in words if w.isalpha() and max(w) < "\u0100"]
+        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0100")]
         for start in range(0, len(plain), 1000):
             chunk = plain[start : start + 1000]
             found = self.tokenizer.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0]
@@ -109,21 +109,22 @@ class WordTokens:
     def _learn(self, words: set[str]) -> None:
         """Add words to the recent ones, from the older ones or by the tokenizer."""
         recent, older = self._recent, self._older
+        if older:
+            known = words & older.keys()
+            recent.update((w, older[w]) for w in known)
+            words = words - known
+        wanted = {w for w in words if w.isalpha() and w.islower()}  # words as they are
         new: dict[str, tuple[str, str]] = {}
-        for word in words:
-            if word in older:
-                recent[word] = older[word]
-                continue
+        for word in words - wanted:
             core = word.rstrip(_MARKS)
             if core and core[-1].isalpha() and "'" not in word and "<|" not in word:
                 new[word] = (core.lower() if core.isascii() else core, word[len(core) :])
             else:
                 new[word] = (word, "")
-        wanted = {part for pair in new.values() for part in pair if part} - recent.keys()
-        for part in wanted & older.keys():
-            recent[part] = older[part]
-            wanted.discard(part)
-        recent.update(self._encode_words(list(wanted)))
+        parts = {part for pair in new.values() for part in pair if part} - recent.keys()
+        known = parts & older.keys()
+        recent.update((w, older[w]) for w in known)
+        recent.update(self._encode_words(list(wanted | parts - known)))
         for word, (core, marks) in new.items():
             recent[word] = recent[core] + (recent[marks] if marks else b"")
 
