@@ -3,17 +3,22 @@
 Words and word beginnings that labelled toxic documents have much more often than others make a lexicon,
 held as a trie. A word of a text matches a term if the Levenshtein automaton of the word (one edit, for
 terms of five letters or more) and the trie share a path; for a beginning, the trie has the words of toxic
-texts that it stands for. The window around a match tells quotation (marks
-around it, or a verb of saying before it) from abuse. A logistic regression on what the matches of a text
-add up to gives the score; it is fitted on matches of lexica that were learned without the text.
+texts that it stands for. The window around a match tells quotation (a pair of marks around it, or a verb
+of saying before it) from abuse. A logistic regression on what the matches of a text add up to gives the
+score; it is fitted on matches of lexica that were learned without the text.
+
+Terms have to be in at least three of the texts learned from and reach a bound on their low log odds; of
+these a text keeps up to four, the most telling first (``cover``), so that words which merely occur in the
+same texts don't join the lexicon. Near copies in the sample count once, the one with the smallest id.
 
 Learning uses a sample of the labelled rows whose size is bounded by ``sample``; scoring reads whole texts.
 The matcher and the fit don't see labels, language, source or id.
 
 Defined results: null and empty texts have no matches; without labels of both kinds every score is the
-share of toxic labels (0 if there are none). Rows with null labels aren't learned from; equal label rows
-count each. All columns of the scored rows are kept; ``score`` and ``predicted`` replace columns of these
-names.
+share of toxic labels (0 if there are none), also for an empty table. Rows with null labels or ids aren't
+learned from; equal label rows, and rows of one id, count each; ties of terms go to the longer list of
+texts, then to the alphabet. Texts and words may be of any length. All columns of the scored rows are kept,
+whatever their names, equal rows each; ``score`` and ``predicted`` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -29,17 +34,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import unit_hash
+from .common import beside, unit_hash
 from .fingerprints import shingle_hashes
 
 _WORDS = re.compile(r"\w+")
+_MARKS = re.compile(r"[\"“”„«»‘’]|\n\s*\n")
 #: Verbs of saying and marks around quotations (fixed values).
 SAYING = frozenset("said says wrote writes called quoted quotes quote reads dijo dice escribió llamó citó dit écrit appelé cite sagte sagt schrieb nannte zitiert".split())
-QUOTES = "\"“”„«»‘’"
+OPENING = {"“": "”", "„": "“”", "«": "»", "‘": "’", "\"": "\"", "»": "«"}
 WINDOW = 6
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 FUZZY_LENGTH = 5
 N_FEATURES = 6
+#: Least hashes of a text by which near copies in the sample are told.
+SKETCH = 16
 
 
 @dataclass(frozen=True)
@@ -137,6 +145,23 @@ class Matcher:
         return (best, False) if best else None
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where quotations begin and end: pairs of marks in one paragraph. An apostrophe opens and closes nothing."""
+    found, start, ends = [], -1, ""
+    for m in _MARKS.finditer(text):
+        mark, at = m[0], m.start()
+        if mark[0] == "\n":
+            start = -1
+        elif start >= 0 and mark in ends:
+            inside = mark == "’" and at + 1 < len(text) and text[at - 1].isalnum() and text[at + 1].isalnum()
+            if not inside:  # of a word, as in it’s
+                found.append((start, at))
+                start = -1
+        elif start < 0 and mark in OPENING:
+            start, ends = at, OPENING[mark]
+    return found
+
+
 def features(text: str | None, matcher: Matcher) -> list[float]:
     """What the matches of a text add up to, quotations apart from the rest."""
     low = (text or "").lower()
@@ -145,13 +170,11 @@ def features(text: str | None, matcher: Matcher) -> list[float]:
     hits = [(i, m) for i, w in enumerate(words) if (m := known[w] if w in known else match(w))]
     if not hits:
         return [0.0] * (N_FEATURES - 1) + [math.log1p(len(words))]
-    spans = [m.span() for m in _WORDS.finditer(low)]
+    spans, quotes = [m.span() for m in _WORDS.finditer(low)], quotations(low)
     weight = fuzzy = quoted = near = 0.0
     terms, last = set(), -1000
     for i, (term, as_written) in hits:
-        start, end = spans[max(0, i - WINDOW)][0], spans[min(len(words) - 1, i + WINDOW)][1]
-        before, after = low[start : spans[i][0]], low[spans[i][1] : end]
-        marks = any(c in before for c in QUOTES) and any(c in after for c in QUOTES)
+        marks = any(start < spans[i][0] and spans[i][1] <= end for start, end in quotes)
         if marks or SAYING.intersection(words[max(0, i - WINDOW) : i]):
             quoted += 1
             continue
@@ -169,10 +192,10 @@ def _log_odds(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
     return value - (1 / (pos + 0.5) + 1 / (neg + 0.5)) ** 0.5
 
 
-def candidates(counts: list[tuple[str, bool, int, int]], n_pos: int, n_neg: int, least: float = 2.5, limit: int = 3000) -> list[Term]:
+def candidates(counts: list[tuple[str, bool, int, int]], n_pos: int, n_neg: int, least: float = 2.5) -> list[Term]:
     """Terms that at least three toxic texts have and whose low log odds reach ``least``, the best first."""
     scored = [Term(t, stem, v) for t, stem, pos, neg in counts if pos >= 3 and (v := _log_odds(pos, neg, n_pos, n_neg)) >= least]
-    return sorted(scored, key=lambda t: (-t.weight, not t.stem, t.text))[:limit]
+    return sorted(scored, key=lambda t: (-t.weight, not t.stem, t.text))
 
 
 def telling(counts: list) -> list:
@@ -257,7 +280,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             counts: dict[tuple[str, bool], list[int]] = {}
             for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
-                words = {w for w in _WORDS.findall((text or "").lower()) if len(w) < 40}
+                words = set(_WORDS.findall((text or "").lower()))
                 stems = {w[:n] for w in words for n in STEM_LENGTHS if len(w) > n}
                 for key in [*((w, False) for w in words), *((s, True) for s in stems)]:
                     counts.setdefault(key, [0, 0, 0, 0])[2 * fold + (not toxic)] += 1
@@ -277,7 +300,7 @@ def _finder(lists: list[list[Term]]):
         for batch in batches:
             columns: list[list] = [[], [], []]
             for text in batch.column("text").to_pylist():
-                words = {w for w in _WORDS.findall((text or "").lower()) if len(w) < 40}
+                words = set(_WORDS.findall((text or "").lower()))
                 keys = [*((w, False) for w in words), *{(w[:n], True) for w in words for n in STEM_LENGTHS if len(w) > n}]
                 for column, place in zip(columns, places):
                     column.append(sorted(place[k] for k in keys if k in place))
@@ -286,6 +309,22 @@ def _finder(lists: list[list[Term]]):
     return run
 
 
+def distinct_texts(rows: list) -> list[tuple]:
+    """(toxic, _id, _t) of the rows that are no near copies of one before them: of one label, with half a sketch in common."""
+    kept: list[tuple] = []
+    having: dict[tuple[bool, int], list[int]] = {}
+    for r in sorted(rows, key=lambda r: (r["toxic"], r["_id"], r["_t"])):
+        shared: dict[int, int] = {}
+        for h in r["_s"]:
+            for at in having.get((r["toxic"], h), ()):
+                shared[at] = shared.get(at, 0) + 1
+        if max(shared.values(), default=0) * 2 <= len(r["_s"]):
+            for h in r["_s"]:
+                having.setdefault((r["toxic"], h), []).append(len(kept))
+            kept.append((r["toxic"], r["_id"], r["_t"]))
+    return kept
+
+
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, sample: int = 4000, doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model from labelled rows: ``labels`` has doc_id and toxic; ``learn_from`` tells the rows to use.
 
@@ -300,12 +339,15 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     if not n_pos or not n_neg:
         return Model((), (), n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.0)
     drawn = usable.where("toxic").orderBy("_draw", "_id").limit(sample).union(usable.where("not toxic").orderBy("_draw", "_id").limit(sample))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "_id")
-    # near copies count once: texts that agree in the least or in the greatest hash of their shingles
-    hashed = rows.withColumn("_s", shingle_hashes(F.coalesce("text", F.lit("")), 3))
-    hashed = hashed.withColumns({"_low": F.array_min("_s"), "_high": F.array_max("_s")}).drop("_s")
-    rows = hashed.dropDuplicates(["toxic", "_low"]).dropDuplicates(["toxic", "_high"])
-    rows = rows.select("text", "toxic", F.pmod("_low", F.lit(2)).cast("int").alias("fold")).persist()
+    read = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(drawn.distinct()), "_id")
+    hashes = F.array_sort(F.array_distinct(shingle_hashes(F.coalesce("text", F.lit("")), 3)))
+    read = read.select("_id", "text", "toxic", "_draw", F.xxhash64("text").alias("_t"), F.slice(hashes, 1, SKETCH).alias("_s")).persist()
+    # one id may have many rows: no more than ``sample`` of each label go to the driver, as a few numbers each
+    first = lambda label: read.where(label).select("toxic", "_draw", "_id", "_t", "_s").orderBy("_draw", "_id", "_t").limit(sample).collect()
+    kept = distinct_texts(first("toxic") + first("not toxic"))
+    key = ["toxic", "_id", "_t"]
+    kept = docs.sparkSession.createDataFrame(kept, read.select(*key).schema)
+    rows = read.join(F.broadcast(kept), key).dropDuplicates(key).select("text", "toxic", F.pmod(F.col("_s")[0], F.lit(2)).cast("int").alias("fold")).persist()
     all_counts = None
     try:
         totals = {(t, f): n for t, f, n in rows.groupBy("toxic", "fold").count().collect()}
@@ -313,7 +355,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
         all_pos, all_neg = n[True, 0] + n[True, 1], n[False, 0] + n[False, 1]
         wanted = f"pos0 + pos1 >= 3 and (pos0 + pos1 + 0.5) / {all_pos + 1} >= 4 * (neg0 + neg1 + 0.5) / {all_neg + 1}"
         all_counts = _term_counts(rows).persist()
-        counts = all_counts.where(wanted).orderBy(F.desc(F.expr("pos0 + pos1")), "term", "stem").limit(20_000).collect()
+        counts = all_counts.where(wanted).orderBy(F.desc(F.expr("pos0 + pos1")), "term", "stem").collect()
         counts = telling(counts)
         lists = [
             candidates([(c["term"], c["stem"], c["pos1"], c["neg1"]) for c in counts], n[True, 1], n[False, 1]),
@@ -349,6 +391,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
         if all_counts is not None:
             all_counts.unpersist()
         rows.unpersist()
+        read.unpersist()
     x, y = np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float)
     if not len(y) or y.min() == y.max():
         return Model((), (), n_pos / (n_pos + n_neg))
@@ -359,16 +402,15 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``score`` (0 to 1) and ``predicted`` (1 from one half)."""
-    kept = [f for f in df.schema.fields if f.name not in ("score", "predicted")]
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
-    names = [f.name for f in kept]
+    read = df.select(beside(df, "score", "predicted"), F.col(text).alias("text"))
+    schema = T.StructType([read.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(list(model.terms))
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                scores = pa.array([model.score(t, matcher) for t in batch.column(text).to_pylist()], pa.float64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), scores], names=schema.names)
+                scores = pa.array([model.score(t, matcher) for t in batch.column("text").to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column("row"), scores], names=schema.names)
 
-    return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return read.mapInArrow(run, schema).select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
