@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import model_oracles
 from .functions import links
 from .functions.filters import NAMES, Filter, custom, multivariate, univariate
 from .operators import dense, distributed, linop, models, transform
@@ -573,11 +574,14 @@ def _kernel_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return month_nation(spark, sf_dir).select(F.col("ax0").alias("t"), F.col("ax1").alias("ax0"), "v")
 
 
-@query()
+MODELS = model_oracles.oracles(_DAY_TYPE)
+
+
+@query(MODELS["kgr_orders"])
 def kgr_orders(spark, sf_dir):
     """Order values of months by nations: a kernel over months, regions as the graph."""
     y = month_nation(spark, sf_dir)
-    return models.KGR(_kernel_signal(spark, sf_dir), region_graph(spark, sf_dir), univariate("diffusion", 0.2), 0.5, covariates=_months(y), kernel_std=1.0).solve()
+    return rounded(models.KGR(_kernel_signal(spark, sf_dir), region_graph(spark, sf_dir), univariate("diffusion", 0.2), 0.5, covariates=_months(y), kernel_std=1.0).solve(), digits=3)
 
 
 @query()
@@ -587,17 +591,17 @@ def kgr_orders_variance(spark, sf_dir):
     return model.estimate_marginal_variance(8, seed=2)
 
 
-@query()
+@query(MODELS["rnc_lineitem"])
 def rnc_lineitem(spark, sf_dir):
     """Mean prices with features: prediction and intercept of each cell."""
     y = month_flag(spark, sf_dir)
-    return models.RNC(y, month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).solve()
+    return rounded(models.RNC(y, month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).solve(), "v", "b", digits=3)
 
 
-@query()
+@query(MODELS["rnc_lineitem_weights"])
 def rnc_lineitem_weights(spark, sf_dir):
     y = month_flag(spark, sf_dir)
-    return models.RNC(y, month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).weights()
+    return rounded(models.RNC(y, month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).weights(), "w")
 
 
 @query()
@@ -611,10 +615,10 @@ def _kernel_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.nd
     return y.select(F.col("ax0").alias("t"), F.col("ax1").alias("ax0"), "v", "x"), _months(y)
 
 
-@query()
+@query(MODELS["kgrnc_lineitem"])
 def kgrnc_lineitem(spark, sf_dir):
     y, months = _kernel_features(spark, sf_dir)
-    return models.KGRNC(y, Graph.complete(spark, 3), univariate("diffusion", 0.2), 0.5, lam=1.0, covariates=months, kernel_std=1.0).solve()
+    return rounded(models.KGRNC(y, Graph.complete(spark, 3), univariate("diffusion", 0.2), 0.5, lam=1.0, covariates=months, kernel_std=1.0).solve(), "v", "b", digits=3)
 
 
 def _high(signal: DataFrame, cut_at: float) -> DataFrame:
@@ -622,21 +626,21 @@ def _high(signal: DataFrame, cut_at: float) -> DataFrame:
     return signal.withColumn("v", (F.col("v") > cut_at).cast("double"))
 
 
-@query()
+@query(MODELS["lgsr_quality"])
 def lgsr_quality(spark, sf_dir):
     """Whether the labelled documents of a source and language are mostly good; unlabelled cells are filled in."""
     y = hour_quality(spark, sf_dir)
-    return models.LGSR(_high(y, 0.8), month_flag_graph(y), univariate("diffusion", 0.3), 0.5).solve()
+    return rounded(models.LGSR(_high(y, 0.8), month_flag_graph(y), univariate("diffusion", 0.3), 0.5).solve(), digits=3)
 
 
-@query()
+@query(MODELS["lkgr_orders"])
 def lkgr_orders(spark, sf_dir):
     y = month_nation(spark, sf_dir)
     middle = y.agg(F.percentile_approx("v", 0.5)).first()[0]
-    return models.LKGR(_high(_kernel_signal(spark, sf_dir), middle), region_graph(spark, sf_dir), univariate("diffusion", 0.2), 0.5, covariates=_months(y), kernel_std=1.0).solve()
+    return rounded(models.LKGR(_high(_kernel_signal(spark, sf_dir), middle), region_graph(spark, sf_dir), univariate("diffusion", 0.2), 0.5, covariates=_months(y), kernel_std=1.0).solve(), digits=3)
 
 
-@query()
+@query(MODELS["lrnc_lineitem"])
 def lrnc_lineitem(spark, sf_dir):
     y = month_flag(spark, sf_dir)
     middle = y.agg(F.percentile_approx("v", 0.5)).first()[0]
@@ -648,19 +652,20 @@ def _thirds(signal: DataFrame) -> DataFrame:
     return signal.withColumn("v", F.when(F.col("v").isNotNull(), (F.col("v") > low).cast("double") + (F.col("v") > high).cast("double")))
 
 
-@query()
+@query(MODELS["multiclass_lgsr_events"])
 def multiclass_lgsr_events(spark, sf_dir):
     y = partial(_thirds(day_type(spark, sf_dir)))
-    return models.MulticlassLGSR(y, day_type_graph(spark), univariate("diffusion", 0.4), 0.5, classes=3).solve()
+    shares = models.MulticlassLGSR(y, day_type_graph(spark), univariate("diffusion", 0.4), 0.5, classes=3).solve()
+    return rounded(shares.select("ax0", "ax1", F.posexplode("p").alias("c", "p")), "p", digits=3)
 
 
-@query()
+@query(MODELS["multiclass_lkgr_orders"])
 def multiclass_lkgr_orders(spark, sf_dir):
     y = month_nation(spark, sf_dir)
     return models.MulticlassLKGR(_thirds(_kernel_signal(spark, sf_dir)), region_graph(spark, sf_dir), univariate("diffusion", 0.2), 0.5, classes=3, covariates=_months(y), kernel_std=1.0).solve(classify=True)
 
 
-@query()
+@query(MODELS["multiclass_lrnc_lineitem"])
 def multiclass_lrnc_lineitem(spark, sf_dir):
     y = month_flag(spark, sf_dir)
     return models.MulticlassLRNC(_thirds(y), month_flag_graph(y), univariate("diffusion", 0.4), 0.5, classes=3, lam=1.0).solve(classify=True)
