@@ -329,19 +329,19 @@ def one_hot(spark, sf_dir):
 
 
 @query("""SELECT vec_id, CAST(c AS INTEGER) AS c, round(exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id), 6) AS p
-FROM (SELECT vec_id, unnest(range(10)) AS c, CAST(unnest(embedding[1:10]) AS DOUBLE) AS x FROM embeddings)""")
+FROM (SELECT vec_id, unnest(range(64)) AS c, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)""")
 def softmax(spark, sf_dir):
-    """Softmax of the first ten components, as an array function."""
-    first = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
-    out = signals.read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(links.softmax(first)).alias("c", "p"))
+    """Softmax of each vector, as an array function."""
+    whole = F.transform("embedding", lambda x: x.cast("double"))
+    out = signals.read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(links.softmax(whole)).alias("c", "p"))
     return rounded(out, "p", digits=6)
 
 
 @query("""SELECT vec_id, CAST(c AS INTEGER) AS c, round(exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id), 6) AS p
-FROM (SELECT vec_id, unnest(range(10)) AS c, CAST(unnest(embedding[1:10]) AS DOUBLE) AS x FROM embeddings)""")
+FROM (SELECT vec_id, unnest(range(64)) AS c, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)""")
 def softmax_rows(spark, sf_dir):
     """Softmax over rows of one vector."""
-    rows = signals.read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 10)).alias("c", "x"))
+    rows = signals.read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("c", "x"))
     return rounded(rows.select("vec_id", "c", links.softmax_over(F.col("x").cast("double"), ["vec_id"]).alias("p")), "p", digits=6)
 
 
@@ -353,10 +353,12 @@ def argmax_decode(spark, sf_dir):
     return one.join(rows.select("vec_id", links.argmax_array(F.col("embedding")).alias("by_array")), "vec_id")
 
 
-@query("SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 6) AS p, CAST(embedding[1] > 0 AS INTEGER) AS label FROM embeddings")
+@query("""SELECT vec_id, CAST(c AS INTEGER) AS c, round(1 / (1 + exp(-x)), 6) AS p, CAST(x > 0 AS INTEGER) AS label
+FROM (SELECT vec_id, unnest(range(64)) AS c, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)""")
 def logistic_link(spark, sf_dir):
-    f = F.col("embedding")[0].cast("double")
-    return rounded(signals.read(spark, sf_dir, "embeddings").select("vec_id", links.logistic(f).alias("p"), links.threshold(f).alias("label")), "p", digits=6)
+    rows = signals.read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("c", "x"))
+    f = F.col("x").cast("double")
+    return rounded(rows.select("vec_id", "c", links.logistic(f).alias("p"), links.threshold(f).alias("label")), "p", digits=6)
 
 
 @query("""WITH c AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2)
@@ -677,3 +679,214 @@ def gsr_by_nation(spark, sf_dir):
     y = month_nation(spark, sf_dir).select(F.col("ax1").alias("nation"), "ax0", "v")
     n = y.agg(F.max("ax0") + 1).first()[0]
     return models.GSR(y, Graph.chain(spark, n), univariate("diffusion", 2.0), 0.5, by=("nation",)).solve()
+
+
+# ---- further constructors, operators and model state ----------------------------------------------------
+
+_PEERS = "SELECT a.n_nationkey AS i, b.n_nationkey AS j, CAST(1 AS DOUBLE) AS w FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey"
+_PEER_DEGREES = f"SELECT CAST(i AS INTEGER) AS node, sum(w) AS degree FROM ({_PEERS}) GROUP BY 1"
+
+
+def _peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adjacency matrix of nations of one region, as a table."""
+    nation = signals.read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    other = nation.select(F.col("n_nationkey").alias("j"), "n_regionkey")
+    return nation.join(other, "n_regionkey").where("n_nationkey <> j").select(F.col("n_nationkey").alias("i"), "j", F.lit(1.0).alias("w"))
+
+
+@query(_PEER_DEGREES)
+def graph_from_adjacency(spark, sf_dir):
+    return Graph.of(adjacency=_peers(spark, sf_dir)).degrees()
+
+
+class _Network:
+    """What the library uses of a networkx graph."""
+
+    def __init__(self, nodes: list, edges: list) -> None:
+        self.nodes, self._edges = nodes, edges
+
+    def edges(self, data: bool = False) -> list:
+        return [(a, b, {"weight": w}) if data else (a, b) for a, b, w in self._edges]
+
+
+@query(_PEER_DEGREES)
+def graph_from_network(spark, sf_dir):
+    """From a networkx graph whose nodes are the nations in order (25 of them at every size)."""
+    rows = _peers(spark, sf_dir).where("i < j").collect()
+    return Graph.of(spark, network=_Network(list(range(25)), [(r["i"], r["j"], r["w"]) for r in rows])).degrees()
+
+
+_LATTICE = """SELECT i * 6 + j AS src, p * 6 + q AS dst, CAST(1 AS DOUBLE) AS w FROM range(5) a(i), range(6) b(j), range(5) c(p), range(6) d(q)
+WHERE abs(i - p) + abs(j - q) = 1"""
+
+
+@query(_LATTICE)
+def product_from_matrices(spark, sf_dir):
+    """A lattice from the adjacency matrices of its factors."""
+    paths = [np.eye(n, k=1) + np.eye(n, k=-1) for n in (5, 6)]
+    return ProductGraph.from_adjacency(*paths, spark=spark).edges()
+
+
+@query(_LATTICE)
+def product_from_laplacians(spark, sf_dir):
+    laps = [np.diag([1.0] + [2.0] * (n - 2) + [1.0]) - np.eye(n, k=1) - np.eye(n, k=-1) for n in (5, 6)]
+    return ProductGraph.from_laplacian(*laps, spark=spark).edges()
+
+
+@query(_LATTICE)
+def product_from_whole_adjacency(spark, sf_dir):
+    """The factors found again in the Kronecker sum of their adjacency matrices."""
+    whole = ProductGraph.lattice(spark, 5, 6).edges().select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
+    return ProductGraph.of((5, 6), adjacency=whole).edges()
+
+
+@query(_LATTICE)
+def product_from_whole_laplacian(spark, sf_dir):
+    from .operators.graphs import adjacency_to_laplacian
+
+    edges = ProductGraph.lattice(spark, 5, 6).edges().select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
+    return ProductGraph.of((5, 6), laplacian=adjacency_to_laplacian(edges)).edges()
+
+
+@query("SELECT CAST(a AS INTEGER) AS axis, CAST(n - 1 AS BIGINT) AS least, true AS fine FROM (VALUES (0, 7), (1, 9)) t(a, n)")
+def product_random_connected(spark, sf_dir):
+    """Whether each random factor is connected: edges enough, and no smaller sum of squares than one constant vector allows."""
+    g = ProductGraph.random_connected(spark, 7, 9, seed=4)
+    rows = [(a, f.n - 1, bool(f.edges.count() // 2 >= f.n - 1 and np.sum(f.lam < 1e-9) == 1)) for a, f in enumerate(g.factors)]
+    return spark.createDataFrame(rows, "axis int, least long, fine boolean")
+
+
+@query(f"WITH {_DAY_TYPE} SELECT ax0, ax1, v FROM sig")
+def pandas_round_trip(spark, sf_dir):
+    """A signal to a pandas frame with labels, and back."""
+    y = day_type(spark, sf_dir)
+    frame = signals.to_pandas(y, [list(range(DAYS)), ["a", "b", "c", "d", "e"]])
+    return signals.from_pandas(spark, frame)[0]
+
+
+@query(_filter_sql("exp(-0.4 * (lam0 + lam1))"))
+def filter_with_new_beta(spark, sf_dir):
+    return rounded(transform.filter_signal(day_type(spark, sf_dir), day_type_graph(spark), univariate("diffusion", 2.0).with_beta(0.4)))
+
+
+@query(_filter_sql("exp(-0.4 * (lam0 + lam1))"))
+def filter_by_attributes(spark, sf_dir):
+    """The filter from the arrays that graphs decompose into when they are asked for."""
+    y, g = day_type(spark, sf_dir), day_type_graph(spark)
+    back = [linop.KroneckerProduct(tuple((_matrix(spark, m), f.n**2) for f, m in zip(g.factors, ms))) for ms in ([f.u * np.exp(-0.4 * f.lam) for f in g.factors], [f.u.T for f in g.factors])]
+    return rounded(back[0] @ (back[1] @ y))
+
+
+def _matrix(spark: SparkSession, m: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(m) for j, v in enumerate(row)], "i int, j int, u double")
+
+
+@query(f"WITH {_DAY_TYPE} SELECT ax0, ax1, round(v * (1 + ax0), 3) + 0.0 AS v, round(v, 3) + 0.0 AS back FROM sig")
+def operator_diagonal(spark, sf_dir):
+    """A diagonal operator and its inverse."""
+    y = day_type(spark, sf_dir)
+    d = linop.Diagonal(y.select("ax0", "ax1", (1.0 + F.col("ax0")).alias("d")), ("ax0", "ax1"))
+    both = (d @ y).join((d.inverse() @ (d.T @ y)).withColumnRenamed("v", "back"), ["ax0", "ax1"])
+    return rounded(both, "v", "back", digits=3)
+
+
+_TWO_CLASSES = f"{_DAY_TYPE}, twin AS (SELECT ax0, ax1, 0 AS c, v FROM sig UNION ALL SELECT ax0, ax1, 1, -2 * v FROM sig)"
+
+
+@query(f"""WITH {_DAY_TYPE}, {_BASES}, {_SPECTRUM}
+SELECT a.i AS ax0, b.i AS ax1, c, round(sum(z * (CASE c WHEN 0 THEN 1 ELSE -2 END) * pow(lam0 + lam1, 2) * a.u * b.u), 3) + 0.0 AS v
+FROM spec CROSS JOIN (VALUES (0), (1)) t(c) JOIN b0 a ON a.k = k0 JOIN b1 b ON b.k = k1 GROUP BY 1, 2, 3""")
+def operator_expanded(spark, sf_dir):
+    """An operator on each class apart: its power, transpose and conjugate."""
+    y = day_type(spark, sf_dir)
+    both = y.withColumn("c", F.lit(0)).unionByName(y.withColumn("c", F.lit(1)).withColumn("v", -2 * F.col("v")))
+    return rounded((linop.Expanded(linop.KroneckerSum(day_type_graph(spark))).T.conj ** 2) @ both, digits=3)
+
+
+@query(f"WITH {_TWO_CLASSES} SELECT ax0, ax1, c, round(v / 4, 3) + 0.0 AS v FROM twin")
+def operator_inverses(spark, sf_dir):
+    """The inverse of a scaled inverse transform, on each class apart, behind the transform's own."""
+    y, g = day_type(spark, sf_dir), day_type_graph(spark)
+    both = y.withColumn("c", F.lit(0)).unionByName(y.withColumn("c", F.lit(1)).withColumn("v", -2 * F.col("v")))
+    op = linop.Expanded(linop.Scale(linop.Compose((linop.Fourier(g), linop.Identity())), 4.0))
+    return rounded(linop.Fourier(g) @ (op.inverse() @ both), digits=3)
+
+
+@query(f"WITH {_DAY_TYPE} SELECT ax0, ax1, CAST(CASE WHEN ax0 IN (0, 29) THEN 1 ELSE 2 END + 4 AS DOUBLE) AS v FROM sig")
+def operator_entries(spark, sf_dir):
+    """The diagonal of the Laplacian of the product, from all of its entries."""
+    g = day_type_graph(spark)
+    return linop.KroneckerSum(g).entries_on_diagonal(g)
+
+
+_FEATURES = f"{_DAY_TYPE}, x AS (SELECT ax0, ax1, CAST(m AS INTEGER) AS m, CASE m WHEN 0 THEN 1.0 ELSE ax0 / 30.0 END AS x FROM sig CROSS JOIN range(2) t(m))"
+
+
+def _features(y: DataFrame) -> linop.Features:
+    return linop.Features(y.select("ax0", "ax1", F.array(F.lit(1.0), F.col("ax0") / 30.0).alias("x")), ("ax0", "ax1"))
+
+
+@query(f"""WITH {_FEATURES}, l AS (SELECT s.ax0, s.ax1, coalesce(sum(s.v - o.v), 0) AS v
+  FROM sig s LEFT JOIN sig o ON (abs(s.ax0 - o.ax0) = 1 AND s.ax1 = o.ax1) OR (s.ax0 = o.ax0 AND s.ax1 <> o.ax1) GROUP BY 1, 2)
+SELECT m, round(2 * sum(l.v * x), 3) + 0.0 AS v FROM l JOIN x USING (ax0, ax1) GROUP BY 1""")
+def operator_cross_block(spark, sf_dir):
+    """The transpose of (Laplacian, features, scaled identity) on a signal: weights."""
+    y = day_type(spark, sf_dir)
+    block = linop.QXBlock(linop.KroneckerSum(day_type_graph(spark)), _features(y), linop.Scale(linop.Identity(), 2.0))
+    return rounded(block.T @ y, digits=3)
+
+
+@query(f"""WITH {_FEATURES}, w AS (SELECT m, sum(v * x) AS w FROM sig JOIN x USING (ax0, ax1) GROUP BY 1)
+SELECT ax0, ax1, round(3 * sig.v + sum(x.x * w.w), 2) + 0.0 AS v FROM sig JOIN x USING (ax0, ax1) JOIN w USING (m) GROUP BY ax0, ax1, sig.v""")
+def operator_block(spark, sf_dir):
+    """The cells of [[3 I, X], [X', I]] applied to (y, X' y), between block diagonal operators that undo one another."""
+    y = day_type(spark, sf_dir)
+    x, one = _features(y), linop.Identity()
+    block = linop.Block(linop.Scale(one, 3.0), x, x.T, one).T
+    scaling = linop.BlockDiagonal(linop.Scale(one, 5.0), linop.Scale(one, 5.0))
+    cells, weights = block.apply(*scaling.inverse().apply(y, x.T @ y))
+    return rounded(scaling.T.apply(cells, weights)[0], digits=2)
+
+
+@query(_RICHARDSON)
+def gsr_changed(spark, sf_dir):
+    """A model whose parameters were changed after it was made."""
+    model = models.GSR(partial(day_type(spark, sf_dir)), day_type_graph(spark), univariate("diffusion", 9.0), 7.0)
+    return rounded(model.with_gamma(0.5).with_beta(0.4).solve(), digits=3)
+
+
+@query(MODELS["gsr_variance"])
+def gsr_variance(spark, sf_dir):
+    """The exact posterior variance of each cell."""
+    model = models.GSR(partial(day_type(spark, sf_dir)), day_type_graph(spark), univariate("diffusion", 0.4), 0.5)
+    return rounded(model.marginal_variance(), "variance", digits=3)
+
+
+@query(MODELS["rnc_predictor"])
+def rnc_predictor(spark, sf_dir):
+    """Intercepts plus features times weights, from one solution."""
+    y = month_flag(spark, sf_dir)
+    fitted = models.RNC(y, month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).with_lam(1.0).fit()
+    return rounded(fitted.predictor(y), "f", digits=3)
+
+
+@query("SELECT CAST(m AS INTEGER) AS model, true AS fine FROM range(4) t(m)")
+def sampled_variances(spark, sf_dir):
+    """Whether the variances of 300 draws of four Gaussian models are within a fifth of the exact ones on average."""
+    y = month_flag(spark, sf_dir).where("ax0 < 12")
+    y = y.withColumn("v", F.when((F.col("ax0") + F.col("ax1")) % 3 != 0, F.col("v")))
+    graph, kernel = ProductGraph(Graph.chain(spark, 12), Graph.complete(spark, 3)), Graph.complete(spark, 3)
+    months, g = _months(y), univariate("diffusion", 0.4)
+    timed = y.select(F.col("ax0").alias("t"), F.col("ax1").alias("ax0"), "v", "x")
+    made = [
+        models.GSR(y.drop("x"), graph, g, 0.5),
+        models.KGR(timed.drop("x"), kernel, g, 0.5, covariates=months),
+        models.RNC(y, graph, g, 0.5, lam=1.0),
+        models.KGRNC(timed, kernel, g, 0.5, lam=1.0, covariates=months),
+    ]
+    rows = []
+    for i, m in enumerate(made):
+        both = m.estimate_marginal_variance(300, seed=i).withColumnRenamed("variance", "sampled").join(m.marginal_variance(), m.axes)
+        ratio = both.agg(F.avg(F.col("sampled") / F.col("variance"))).first()[0]
+        rows.append((i, bool(0.8 < ratio < 1.25)))
+    return spark.createDataFrame(rows, "model int, fine boolean")

@@ -15,9 +15,9 @@ def logistic(f: Column) -> Column:
 
 def softmax(f: Column) -> Column:
     """Softmax of an array of class values, shifted by their maximum so that it can't overflow."""
-    top = F.array_max(f)
-    powers = F.transform(f, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  evaluated once for each row
+    powers = once(F.array_max(f), lambda top: F.transform(f, lambda x: F.exp(x - top)))
+    return once(powers, lambda p: once(F.aggregate(p, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(p, lambda x: x / total)))
 
 
 def softmax_over(value: Column, cell: Sequence[str]) -> Column:

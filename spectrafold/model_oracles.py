@@ -148,7 +148,21 @@ def oracles(day_type: str) -> dict[str, str]:
     kernel_flags = kernel(MONTH_FLAG, SEASONS, complete(0.2), NORMAL, 0.5, 1.0)
     rnc = solved(flags(NORMAL), "f", 1.0, 3000)
     events = kernel(from_signal(day_type), chain(0.4), complete(0.4), f"CASE WHEN (i0 + i1) % 3 <> 0 THEN {THIRDS} END", 0.5, None)
+    partial = kernel(from_signal(day_type), chain(0.4), complete(0.4), f"CASE WHEN (i0 + i1) % 3 <> 0 THEN (v - (SELECT avg(v) FROM raw WHERE (i0 + i1) % 3 <> 0)) END", 0.5, None)
     return {
+        "gsr_variance": f"""{partial},
+seen AS (SELECT var_pop(v) AS s2 FROM raw WHERE (i0 + i1) % 3 <> 0),
+every AS (SELECT list(k ORDER BY id) AS ks FROM rows_),
+step AS (
+  SELECT 0 AS n, list_transform(ks, lambda k: list_transform(k, lambda x: CAST(0 AS DOUBLE))) AS us FROM every
+  UNION ALL
+  SELECT n + 1, list_transform(us, lambda u, c: list_transform(ko, lambda k, i: u[i] + 2 / (2 + l) * (ks[c][i] - list_dot_product(k, u) - u[i])))
+  FROM step CROSS JOIN mat CROSS JOIN every WHERE n < 60),
+last AS (SELECT us FROM step WHERE n = 60),
+own AS (SELECT p.i0, p.i1, a.h * b.h / 0.5 AS d FROM cells p JOIN h0 a ON a.i = p.i0 AND a.j = p.i0 JOIN h1 b ON b.i = p.i1 AND b.j = p.i1)
+SELECT i0 AS ax0, i1 AS ax1, round((d - list_dot_product(k, us[rank])) * s2, 3) + 0.0 AS variance
+FROM (SELECT *, row_number() OVER (ORDER BY id) AS rank FROM rows_) JOIN own USING (i0, i1) CROSS JOIN last CROSS JOIN seen""",
+        "rnc_predictor": f"{rnc} {cells_of(GRID, 'round(f * scale + loc, 3) + 0.0 AS f')}",
         "kgr_orders": f"{solved(seasons(NORMAL), 'f', 1.0, 800)} {cells_of(KERNEL, VALUE)}",
         "rnc_lineitem": f"{rnc} {cells_of(GRID, VALUE, 'round(b * scale + loc, 3) + 0.0 AS b')}",
         "rnc_lineitem_weights": f"""{rnc} SELECT CAST(m AS INTEGER) AS m, round(list_dot_product(xs, a) * scale, 4) + 0.0 AS w

@@ -3,7 +3,8 @@
 A graph is its number of nodes and a table of directed edges (src, dst, w) with both directions of every
 edge. A product graph is the list of its factors; its nodes are tuples of factor nodes and are never
 listed. Chains, loops and complete graphs know their spectra in closed form, so that their basis tables
-are expressions over ``range``; other graphs are decomposed by numpy up to ``DENSE_NODES`` nodes.
+are expressions over ``range``; other graphs are decomposed by numpy up to ``DENSE_NODES`` nodes. No array
+of more nodes is made for any graph.
 """
 
 from __future__ import annotations
@@ -47,6 +48,25 @@ class Graph:
         out._check()
         return out
 
+    @classmethod
+    def of(cls, spark: SparkSession | None = None, *, adjacency=None, laplacian=None, network=None) -> Graph:
+        """From exactly one of an adjacency matrix, a Laplacian and a networkx graph."""
+        if sum(x is not None for x in (adjacency, laplacian, network)) != 1:
+            raise ValueError("exactly one of adjacency, laplacian and network is expected")
+        if network is not None:
+            return cls.from_networkx(network, spark)
+        return cls.from_adjacency(adjacency, spark=spark) if adjacency is not None else cls.from_laplacian(laplacian, spark=spark)
+
+    @classmethod
+    def from_networkx(cls, network, spark: SparkSession | None = None, weight: str = "weight") -> Graph:
+        """From a networkx graph (anything with ``nodes`` and ``edges(data=True)``): nodes in their order, weights of 1 where unset."""
+        if not hasattr(network, "nodes") or not hasattr(network, "edges"):
+            raise ValueError("a networkx graph is expected")
+        place = {node: i for i, node in enumerate(network.nodes)}
+        rows = [(place[a], place[b], float(data.get(weight, 1.0))) for a, b, data in network.edges(data=True)]
+        spark = spark or SparkSession.getActiveSession()
+        return cls.from_edges(spark.createDataFrame(rows, "src int, dst int, w double"), len(place), w="w")
+
     @classmethod
     def from_adjacency(cls, a: DataFrame | np.ndarray, n: int | None = None, spark: SparkSession | None = None) -> Graph:
         """From a matrix, or a table (i, j, w) of its entries; it must be symmetric without a diagonal."""
@@ -139,11 +159,11 @@ class Graph:
     def _dense(self) -> tuple[np.ndarray, np.ndarray]:
         """Frequencies and basis as arrays, in ascending order of frequency."""
         n, k = self.n, np.arange(self.n)
+        if n > DENSE_NODES:
+            raise ValueError(f"a graph of more than {DENSE_NODES} nodes isn't decomposed; use a polynomial filter")
         if self.kind in ("chain", "complete"):
             u = np.sqrt(np.where(k > 0, 2.0, 1.0) / n) * np.cos(np.pi * (k[:, None] + 0.5) * k / n)
             return (2 - 2 * np.cos(np.pi * k / n) if self.kind == "chain" else np.where(k > 0, float(n), 0.0)), u
-        if n > DENSE_NODES:
-            raise ValueError(f"a graph of more than {DENSE_NODES} nodes isn't decomposed; use a polynomial filter")
         lap = np.zeros((n, n))
         for i, j, w in self.laplacian().collect():  # at most DENSE_NODES squared entries
             lap[i, j] = w
@@ -153,6 +173,15 @@ class Graph:
     def lam(self) -> np.ndarray:
         return self._dense[0]
 
+    def neighbours(self) -> DataFrame:
+        """node, near: for each node with edges the list of (dst, w)."""
+        return self.edges.groupBy(F.col("src").alias("node")).agg(F.collect_list(F.struct("dst", "w")).alias("near"))
+
+    @property
+    def closed(self) -> bool:
+        """Whether the spectrum is known without a decomposition."""
+        return self.kind in ("chain", "loop", "complete")
+
     @property
     def u(self) -> np.ndarray:
         return self._dense[1]
@@ -208,6 +237,41 @@ class ProductGraph:
     def from_laplacian(cls, *matrices: DataFrame | np.ndarray, spark: SparkSession | None = None) -> ProductGraph:
         return cls(*(Graph.from_laplacian(a, spark=spark) for a in matrices))
 
+    @classmethod
+    def from_networkx(cls, *networks, spark: SparkSession | None = None) -> ProductGraph:
+        return cls(*(Graph.from_networkx(g, spark) for g in networks))
+
+    @classmethod
+    def of(cls, shape: tuple[int, ...] | None = None, spark: SparkSession | None = None, *, adjacency=None, laplacian=None, graphs=None) -> ProductGraph:
+        """From exactly one of a list of graphs and a whole adjacency matrix or Laplacian, which is a Kronecker sum over ``shape``."""
+        if sum(x is not None for x in (adjacency, laplacian, graphs)) != 1:
+            raise ValueError("exactly one of adjacency, laplacian and graphs is expected")
+        if graphs is not None:
+            return cls(*graphs)
+        if shape is None or len(shape) < 2:
+            raise ValueError("a product matrix needs the shape of at least two factors")
+        table, n = _entries(adjacency if adjacency is not None else laplacian, math.prod(shape), spark)
+        if n != math.prod(shape):
+            raise ValueError("the matrix doesn't have the size of the shape")
+        if laplacian is not None:
+            check_laplacian(table)
+            table = laplacian_to_adjacency(table)
+        else:
+            check_adjacency(table)
+        factors, step = [], math.prod(shape)
+        for size in shape:
+            step //= size
+            # edges along this axis where all others are at 0
+            along = table.where(f"w <> 0 and i % {step} = 0 and j % {step} = 0 and i < {step * size} and j < {step * size}")
+            along = along.select((F.col("i") / step).cast("int").alias("i"), (F.col("j") / step).cast("int").alias("j"), "w")
+            factors.append(Graph.from_adjacency(along, size))
+        out = cls(*factors)
+        made = out.edges().select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("w2"))
+        differs = table.join(made, ["i", "j"], "full_outer").where("abs(coalesce(w, 0) - coalesce(w2, 0)) > 1e-9")
+        if differs.limit(1).count():
+            raise ValueError("the matrix isn't a Kronecker sum over the shape")
+        return out
+
     @classmethod
     def lattice(cls, spark: SparkSession, *ns: int) -> ProductGraph:
         return cls(*(Graph.chain(spark, n) for n in ns))
@@ -260,6 +324,15 @@ def grid(graph: AnyGraph) -> DataFrame:
     return out
 
 
+def inside(signal: DataFrame, graph: AnyGraph) -> DataFrame:
+    """The signal, whose coordinates must be nodes of the graph: others fail the query rather than vanish in a join."""
+    for a, n in enumerate(graph.shape):
+        at = F.col(f"ax{a}")
+        wrong = F.raise_error(F.concat(F.lit(f"ax{a} is outside of the {n} nodes of the graph: "), F.coalesce(at.cast("string"), F.lit("null"))))
+        signal = signal.withColumn(f"ax{a}", F.when(at.between(0, n - 1), at).otherwise(wrong.cast("int")))
+    return signal
+
+
 def spanning_tree(points: np.ndarray) -> set[tuple[int, int]]:
     """Edges of the Euclidean minimum spanning tree (Prim)."""
     n = len(points)

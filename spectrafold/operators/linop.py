@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import AnyGraph, axes
@@ -27,6 +27,24 @@ class LinOp:
     def T(self) -> LinOp:  # noqa: N802
         raise NotImplementedError
 
+    @property
+    def conj(self) -> LinOp:
+        """The complex conjugate: all operators here are real."""
+        return self
+
+    def inverse(self) -> LinOp:
+        raise NotImplementedError(f"{type(self).__name__} has no inverse here")
+
+    def matrix(self, graph: AnyGraph) -> DataFrame:
+        """All entries, for small graphs: the input cell as in0, in1, ..., the output cell as ax0, ax1, ..."""
+        return operator_matrix(self, graph)
+
+    def entries_on_diagonal(self, graph: AnyGraph) -> DataFrame:
+        """The diagonal as a signal, for small graphs."""
+        names = axes(graph)
+        same = reduce(lambda a, b: a & b, [F.col(a) == F.col(f"in{i}") for i, a in enumerate(names)])
+        return self.matrix(graph).where(same).select(*names, "v")
+
     def __matmul__(self, other: LinOp | DataFrame) -> LinOp | DataFrame:
         return self.apply(other) if isinstance(other, DataFrame) else Compose((self, other))
 
@@ -54,6 +72,9 @@ class Scale(LinOp):
     def T(self) -> LinOp:  # noqa: N802
         return Scale(self.op.T, self.factor)
 
+    def inverse(self) -> Scale:
+        return Scale(self.op.inverse(), 1 / self.factor)
+
 
 @dataclass(frozen=True)
 class Sum(LinOp):
@@ -79,6 +100,9 @@ class Compose(LinOp):
     def T(self) -> LinOp:  # noqa: N802
         return Compose(tuple(p.T for p in reversed(self.parts)))
 
+    def inverse(self) -> Compose:
+        return Compose(tuple(p.inverse() for p in reversed(self.parts)))
+
 
 class Identity(LinOp):
     def apply(self, signal: DataFrame) -> DataFrame:
@@ -88,6 +112,9 @@ class Identity(LinOp):
     def T(self) -> LinOp:  # noqa: N802
         return self
 
+    def inverse(self) -> LinOp:
+        return self
+
 
 @dataclass(frozen=True)
 class KroneckerProduct(LinOp):
@@ -135,6 +162,9 @@ class Fourier(LinOp):
     def T(self) -> LinOp:  # noqa: N802
         return Fourier(self.graph, not self.forward)
 
+    def inverse(self) -> Fourier:
+        return self.T
+
 
 @dataclass(frozen=True)
 class Diagonal(LinOp):
@@ -166,8 +196,9 @@ class MuBlock(LinOp):
     def apply(self, signal: DataFrame) -> DataFrame:
         mu = self.table.select(*self.cell, self.klass, F.col("mu").alias("_mu"))
         both = signal.join(mu, [*self.cell, self.klass])
-        dots = both.groupBy(*self.cell).agg(F.sum(F.col("v") * F.col("_mu")).alias("_dot"))
-        return both.join(dots, list(self.cell)).withColumn("v", F.col("_mu") * F.col("_dot")).select(*signal.columns)
+        # the classes of a cell, for each value of other keys
+        cell = Window.partitionBy(*[c for c in signal.columns if c not in (self.klass, "v")])
+        return both.withColumn("v", F.col("_mu") * F.sum(F.col("v") * F.col("_mu")).over(cell)).select(*signal.columns)
 
     @property
     def T(self) -> LinOp:  # noqa: N802
@@ -190,6 +221,12 @@ class Expanded(LinOp):
     def T(self) -> LinOp:  # noqa: N802
         return Expanded(self.op.T)
 
+    def inverse(self) -> Expanded:
+        return Expanded(self.op.inverse())
+
+    def __pow__(self, power: int) -> Expanded:
+        return Expanded(self.op**power)
+
 
 @dataclass(frozen=True)
 class Features(LinOp):
@@ -247,6 +284,24 @@ class Block:
         return Block(self.a11.T, self.a21.T, self.a12.T, self.a22.T)
 
 
+@dataclass(frozen=True)
+class BlockDiagonal:
+    """One operator on cells and one on weights."""
+
+    cells: LinOp
+    weights: LinOp
+
+    def apply(self, cells: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return self.cells.apply(cells), self.weights.apply(weights)
+
+    @property
+    def T(self) -> BlockDiagonal:  # noqa: N802
+        return BlockDiagonal(self.cells.T, self.weights.T)
+
+    def inverse(self) -> BlockDiagonal:
+        return BlockDiagonal(self.cells.inverse(), self.weights.inverse())
+
+
 def gram(features: DataFrame, weight: str | None = None) -> DataFrame:
     """i, j, v: X' diag(weight) X of a table with an array column x; one aggregation with partial sums."""
     w = F.col(weight) if weight else F.lit(1.0)

@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import Filter
+from ..plans.lineage import cut
+from ..sources.signals import require_double
 from . import dense
-from .graphs import AnyGraph, axes
+from .graphs import DENSE_NODES, AnyGraph, axes
 from .transform import gain_array
 
 CELLS = 5_000_000
@@ -46,8 +48,11 @@ class Model:
         missing = {*self.axes, "v", *self.by} - set(self.y.columns)
         if missing:
             raise ValueError(f"the signal lacks columns {sorted(missing)}")
+        require_double(self.y, "v", *(["x"] if "x" in self.y.columns else []))
         if int(np.prod(self.shape)) > CELLS:
             raise ValueError(f"more than {CELLS} cells; use distributed.reconstruct")
+        if max(self.graph.shape) > DENSE_NODES:
+            raise ValueError(f"an axis of more than {DENSE_NODES} nodes; use distributed.reconstruct")
 
     def with_gamma(self, gamma: float) -> Model:
         return replace(self, gamma=gamma)
@@ -66,17 +71,20 @@ class Model:
     def prior(self) -> dense.Prior:
         return dense.Prior(tuple(f.u for f in self.graph.factors), gain_array(self.graph, self.filter))
 
-    def _run(self, solve: Callable, outputs: str = "v double", cells: bool = True) -> DataFrame:
+    def _run(self, solve: Callable, outputs: str = "v double", cells: bool = True, seed: int | None = None) -> DataFrame:
         """Scatter each problem to arrays, solve, and give rows again.
 
-        ``solve`` takes (observed values with 0 for missing ones, mask, features or None, prior, the number of
-        the problem) and returns an array with the outputs on its last axis.
+        ``solve`` takes (observed values with 0 for missing ones, mask, features or None, prior, location, scale,
+        and with a seed a random generator of the problem's own) and returns an array with the outputs on its last
+        axis.
         """
         shape, names, by, prior, normalised = self.shape, self.axes, list(self.by), self.prior(), self.normalised
         columns = [c.split()[0] for c in outputs.split(", ")]
         one = not by
         signal = self.y.withColumn("_one", F.lit(0)) if one else self.y
         keys = ["_one"] if one else by
+        if seed is not None:
+            signal, keys = signal.withColumn("_seed", F.xxhash64(F.lit(seed), *by)), ["_seed", *keys]
         has_x = "x" in signal.columns
 
         def problem(frame: pd.DataFrame) -> pd.DataFrame:
@@ -100,7 +108,8 @@ class Model:
                     raise ValueError("every cell needs features without nulls")
                 x = np.zeros((*shape, features.shape[1]))
                 x[at] = features
-            out = solve(y, s, x, prior, loc, scale)
+            drawn = () if seed is None else (np.random.default_rng(int(frame["_seed"].iloc[0]) & (1 << 63) - 1),)
+            out = solve(y, s, x, prior, loc, scale, *drawn)
             if cells:
                 grid = np.indices(shape).reshape(len(shape), -1)
                 table = {n: g.astype(np.int32) for n, g in zip(names, grid)}
@@ -115,7 +124,7 @@ class Model:
         kinds = {f.name: f.dataType.simpleString() for f in signal.schema.fields}
         schema = ", ".join([f"`{k}` {kinds[k]}" for k in reversed(keys)] + ([f"{a} int" for a in names] if cells else []) + [outputs])
         out = signal.select(*keys, *names, "v", *(["x"] if has_x else [])).groupBy(*keys).applyInPandas(problem, schema)
-        return out.drop("_one") if one else out
+        return out.drop("_one", "_seed")
 
     # ---- Gaussian models: subclasses give _mean and _draw in normalised units ----------------------------
 
@@ -127,47 +136,15 @@ class Model:
     def sample(self, n: int, seed: int = 0, first: int = 0) -> DataFrame:
         """``n`` posterior draws: sample, the cells, v. Draws are spread over tasks, each with a seed of its own."""
         spread = self.y.withColumn("sample", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))))
+        gamma, lam, draw = self.gamma, getattr(self, "lam", None), type(self)._draw
         model = replace(self, y=spread, by=(*self.by, "sample"))
-        return model._run_seeded(seed)
+        return model._run(lambda y, s, x, prior, loc, scale, rng: draw(y, s, x, prior, gamma, lam, rng) * scale + loc, seed=seed)
 
     def generate_samples(self, n: int, seed: int = 0) -> Iterator[DataFrame]:
         """The draws of ``sample`` one by one, each computed when it is used."""
         for i in range(n):
             yield self.sample(1, seed, i)
 
-    def _run_seeded(self, seed: int) -> DataFrame:
-        gamma, lam, draw = self.gamma, getattr(self, "lam", None), type(self)._draw
-        inner = self.y.withColumn("_seed", F.xxhash64(F.lit(seed), *self.by))
-        model = replace(self, y=inner, by=("_seed", *self.by))
-        shape, names, by, prior = model.shape, model.axes, list(self.by), model.prior()
-        has_x = "x" in inner.columns
-
-        def problem(frame: pd.DataFrame) -> pd.DataFrame:
-            at = tuple(frame[a].to_numpy(int) for a in names)
-            v = frame["v"].to_numpy(float)
-            seen = ~np.isnan(v)
-            loc = v[seen].mean() if seen.any() else 0.0
-            scale = (v[seen].std() if seen.any() else 1.0) or 1.0
-            y, s = np.zeros(shape), np.zeros(shape)
-            inside = tuple(a[seen] for a in at)
-            y[inside], s[inside] = (v[seen] - loc) / scale, 1.0
-            x = None
-            if has_x:
-                x = np.zeros((*shape, len(frame["x"].iloc[0])))
-                x[at] = np.array(frame["x"].tolist(), float)
-            rng = np.random.default_rng(int(frame["_seed"].iloc[0]) & (1 << 63) - 1)
-            out = draw(y, s, x, prior, gamma, lam, rng) * scale + loc
-            table = {n: g.astype(np.int32) for n, g in zip(names, np.indices(shape).reshape(len(shape), -1))}
-            result = pd.DataFrame(table | {"v": out.ravel()})
-            for k in by:
-                result.insert(0, k, frame[k].iloc[0])
-            return result
-
-        kinds = {f.name: f.dataType.simpleString() for f in inner.schema.fields}
-        schema = ", ".join([f"`{k}` {kinds[k]}" for k in reversed(by)] + [f"{a} int" for a in names] + ["v double"])
-        picked = inner.select("_seed", *by, *names, "v", *(["x"] if has_x else []))
-        return picked.groupBy("_seed", *by).applyInPandas(problem, schema)
-
     def estimate_marginal_variance(self, n: int = 100, seed: int = 0) -> DataFrame:
         """The mean squared distance of draws from the posterior mean, in each cell."""
         keys = [*self.by, *self.axes]
@@ -175,6 +152,13 @@ class Model:
         gap = F.pow(F.col("v") - F.col("_mean"), F.lit(2))
         return self.sample(n, seed).join(mean, keys).groupBy(*keys).agg(F.avg(gap).alias("variance"))
 
+    def marginal_variance(self) -> DataFrame:
+        """The exact posterior variance of each cell of a Gaussian model, for small graphs."""
+        if not self.normalised:
+            raise NotImplementedError("this model has no Gaussian posterior")
+        gamma, lam = self.gamma, getattr(self, "lam", None)
+        return self._run(lambda y, s, x, prior, loc, scale: dense.marginal_variance(s, prior, gamma, x if lam is not None else None, lam) * scale**2, "variance double")
+
     @staticmethod
     def _mean(y, s, x, prior, gamma, lam):
         raise NotImplementedError("this model has no Gaussian posterior")
@@ -196,11 +180,6 @@ class GSR(Model):
     def _draw(y, s, x, prior, gamma, lam, rng):
         return dense.sample_gsr(y, s, prior, gamma, rng)
 
-    def marginal_variance(self) -> DataFrame:
-        """The exact posterior variance, for small graphs."""
-        gamma = self.gamma
-        return self._run(lambda y, s, x, prior, loc, scale: dense.marginal_variance(s, prior, gamma) * scale**2, "variance double")
-
 
 class _Kernel:
     """A leading axis ``t`` with covariates."""
@@ -266,15 +245,42 @@ class RNC(_Cohesion, Model):
 
         return self._run(run, "v double, b double")
 
-    def weights(self) -> DataFrame:
-        """m, w: the weight of each feature in the signal's units."""
+    def fit(self) -> Fitted:
+        """Prediction, intercepts and weights of one solution."""
         gamma, lam = self.gamma, self.lam
 
         def run(y, s, x, prior, loc, scale):
-            w = dense.solve_rnc(y, s, x, prior, gamma, lam)[1] * scale
-            return np.stack([np.arange(len(w)), w], -1)
+            b, w = dense.solve_rnc(y, s, x, prior, gamma, lam)
+            cells = np.stack([(b + x @ w) * scale + loc, b * scale + loc], -1).reshape(-1, 2).astype(object)
+            carried = np.full((len(cells), 1), None, object)
+            carried[0, 0] = (w * scale).tolist()  # the weights of a problem come with its first cell
+            return np.concatenate([cells, carried], 1)
+
+        out = cut(self._run(run, "v double, b double, w array<double>"))
+        return Fitted(out.drop("w"), out.where("w is not null").select(*self.by, F.posexplode("w").alias("m", "w")))
 
-        return self._run(run, "m double, w double", cells=False).withColumn("m", F.col("m").cast("int"))
+    def weights(self) -> DataFrame:
+        """m, w: the weight of each feature in the signal's units."""
+        return self.fit().weights
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """A solved regression: cells (the axes, v, b) and weights (m, w), both in the signal's units."""
+
+    cells: DataFrame
+    weights: DataFrame
+
+    def predictor(self, features: DataFrame) -> DataFrame:
+        """F = b + X w of each cell, with the features x of a table with the same axis columns."""
+        by = [c for c in self.weights.columns if c not in ("m", "w")]
+        keys = [c for c in self.cells.columns if c not in ("v", "b")]
+        listed = self.weights.groupBy(*by) if by else self.weights.groupBy()
+        ordered = listed.agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "w"))), lambda p: p["w"]).alias("w"))
+        cells = self.cells.join(features.select(*keys, "x"), keys)
+        both = cells.join(ordered, by) if by else cells.join(F.broadcast(ordered), how="cross")  # one row of weights
+        dot = F.aggregate(F.zip_with("x", "w", lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q)
+        return both.select(*keys, (F.col("b") + dot).alias("f"))
 
 
 @dataclass(frozen=True)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import Filter
 from ..plans.lineage import cut
-from .graphs import BROADCAST_ROWS, AnyGraph, Graph, axes, grid
+from .graphs import BROADCAST_ROWS, AnyGraph, Graph, axes, grid, inside
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -39,6 +39,7 @@ def _order(graph: AnyGraph) -> list[int]:
 
 def gft(signal: DataFrame, graph: AnyGraph, value: str = "v") -> DataFrame:
     """The graph Fourier transform: the axis columns become frequency numbers."""
+    signal = inside(signal, graph)
     for a in _order(graph):
         f = graph.factors[a]
         signal = mode_product(signal, f.basis(), f"ax{a}", "i", "k", f.n * f.n, value)
@@ -83,29 +84,70 @@ def scale_spectral(signal: DataFrame, graph: AnyGraph, gain: Column, value: str
     return rgft(scaled, graph, value)
 
 
+#: Axes of more nodes than this have no basis tables (n * n rows); filters along them are polynomials.
+SPECTRAL_NODES = 20_000
+
+
 def filter_signal(signal: DataFrame, graph: AnyGraph, g: Filter, power: float | None = None, value: str = "v") -> DataFrame:
     """g(L) applied to a signal, or a power of it.
 
     A separable filter is one matrix for each axis, so that an axis takes one join and sum instead of two.
+    Univariate filters on graphs with an axis of more than ``SPECTRAL_NODES`` nodes are Chebyshev polynomials.
     """
-    lams = [F.col(f"lam{a}") for a in range(graph.ndim)]
-    if g.separable and g.name == "diffusion" and (power is None or power > 0):
-        betas = g.beta if g.multivariate else g.beta * graph.ndim
-        if len(betas) != graph.ndim:
-            raise ValueError(f"the filter is made for {len(betas)} axes, the graph has {graph.ndim}")
-        for a in _order(graph):
-            kernel = axis_kernel(graph.factors[a], F.exp(-F.col("lam") * (betas[a] * (power or 1))))
-            signal = mode_product(signal, kernel, f"ax{a}", "i", "j", graph.factors[a].n ** 2, value)
-        return signal
-    gain = g.column(*lams)
+    if max(graph.shape) > SPECTRAL_NODES and not g.multivariate:
+        return chebyshev(signal, graph, g, value=value, power=power)
+    matrices = kernels(graph, g, power)
+    if matrices is not None:
+        return apply_kernels(inside(signal, graph), matrices, value)
+    gain = g.column(*[F.col(f"lam{a}") for a in range(graph.ndim)])
     return scale_spectral(signal, graph, gain if power is None else F.pow(gain, F.lit(float(power))), value)
 
 
+def kernels(graph: AnyGraph, g: Filter, power: float | None = None) -> list[tuple[str, DataFrame, int]] | None:
+    """(axis, kernel, rows) of each axis for a filter that is a product over the axes, the smallest first; else None."""
+    if not (g.separable and g.name == "diffusion" and (power is None or power > 0)):
+        return None
+    betas = g.beta if g.multivariate else g.beta * graph.ndim
+    if len(betas) != graph.ndim:
+        raise ValueError(f"the filter is made for {len(betas)} axes, the graph has {graph.ndim}")
+    return [(f"ax{a}", axis_kernel(graph.factors[a], F.exp(-F.col("lam") * (betas[a] * (power or 1)))), graph.factors[a].n ** 2) for a in _order(graph)]
+
+
+def apply_kernels(signal: DataFrame, matrices: list[tuple[str, DataFrame, int]], value: str = "v") -> DataFrame:
+    for axis, kernel, rows in matrices:
+        signal = mode_product(signal, kernel, axis, "i", "j", rows, value)
+    return signal
+
+
 def axis_kernel(factor: Graph, gain: Column) -> DataFrame:
-    """i, j, u: the matrix of a gain (a column of lam) on one factor."""
-    left = factor.basis().join(_small(factor.spectrum(), factor.n), "k").select("i", "k", (F.col("u") * gain).alias("a"))
-    right = factor.basis().select(F.col("i").alias("j"), "k", F.col("u").alias("b"))
-    return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("u"))
+    """i, j, u: the matrix of a gain (a column of lam) on one factor, in n * n steps for closed spectra.
+
+    A loop's kernel depends on i - j alone; a chain's is the sum of such a function at i - j and i + j + 1; a
+    complete graph's has one value on the diagonal and one beside it.
+    """
+    n, spark = factor.n, factor.spark
+    if not factor.closed:  # at most DENSE_NODES frequencies
+        g = np.array([r[0] for r in factor.spectrum().orderBy("k").select(gain.cast("double")).collect()])
+        k = (factor.u * g) @ factor.u.T
+        return spark.createDataFrame([(i, j, float(k[i, j])) for i in range(n) for j in range(n)], "i int, j int, u double")
+    pairs = spark.range(n).select(F.col("id").cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if factor.kind == "complete":
+        two = spark.range(2).select((F.col("id") * float(n)).alias("lam")).select("lam", gain.alias("g"))
+        two = two.agg(F.sum(F.when(F.col("lam") == 0, F.col("g"))).alias("g0"), F.sum(F.when(F.col("lam") > 0, F.col("g"))).alias("g1"))
+        two = two.select("g0", F.coalesce("g1", F.lit(0.0)).alias("g1"))
+        u = (F.col("g0") - F.col("g1")) / n + F.when(F.col("i") == F.col("j"), F.col("g1")).otherwise(0.0)
+        return pairs.join(F.broadcast(two), how="cross").select("i", "j", u.alias("u"))  # one row
+    period, half = (2 * n, 0.5) if factor.kind == "chain" else (n, 1.0)
+    turns = F.col("k") if factor.kind == "chain" else F.ceil(F.col("k") / 2)
+    weight = F.when(F.col("k") == 0, 1 / n).otherwise(2 / n) * half if factor.kind == "chain" else F.lit(1 / n)
+    waves = factor.spectrum().select(turns.alias("f"), (gain * weight).alias("g")).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(period - 1))))
+    c = waves.groupBy("m").agg(F.sum(F.col("g") * F.cos(2 * np.pi / period * F.pmod(F.col("f") * F.col("m"), F.lit(period)))).alias("c"))
+    held = _small(c, period)
+    near = pairs.withColumn("m", F.abs(F.col("i") - F.col("j"))).join(held, "m").select("i", "j", F.col("c").alias("u"))
+    if factor.kind == "loop":
+        return near
+    mirrored = _small(c.select(F.col("m").alias("m2"), F.col("c").alias("c2")), period)
+    return near.withColumn("m2", F.col("i") + F.col("j") + 1).join(mirrored, "m2").select("i", "j", (F.col("u") + F.col("c2")).alias("u"))
 
 
 def laplacian_product(signal: DataFrame, graph: AnyGraph, value: str = "v") -> DataFrame:
@@ -164,24 +206,47 @@ def unflatten(flat: Column, graph: AnyGraph) -> list[Column]:
     return out[::-1]
 
 
-def chebyshev(signal: DataFrame, graph: AnyGraph, g: Filter, degree: int = 20, value: str = "v") -> DataFrame:
+#: Steps of a recurrence between two cuts of its lineage.
+CUT_EVERY = 5
+
+
+def chebyshev(signal: DataFrame, graph: AnyGraph, g: Filter, degree: int = 20, value: str = "v", power: float | None = None) -> DataFrame:
     """g(L) for a univariate filter by a Chebyshev polynomial: edge joins only, for graphs too large to decompose.
 
-    The three-term recurrence is cut at the checkpoint folder after every step.
+    A step of the three-term recurrence is one pass: each cell sends its value to its neighbours (lists joined
+    by node, broadcast where they are small) and itself, and one sum gathers them. The state is cut at the
+    checkpoint folder every few steps.
     """
     if g.multivariate:
         raise ValueError("a polynomial in the whole Laplacian takes a univariate filter")
     # no frequency exceeds twice the largest degree; the axes add up
     top = sum(2 * (f.degrees().agg(F.max("degree")).first()[0] or 0.0) for f in graph.factors) or 1.0
     nodes = np.cos(np.pi * (np.arange(degree + 1) + 0.5) / (degree + 1))
-    values = g.array((nodes + 1) * top / 2)
+    values = g.array((nodes + 1) * top / 2) ** (1.0 if power is None else power)
     c = [2 / (degree + 1) * float((values * np.cos(j * np.arccos(nodes))).sum()) for j in range(degree + 1)]
-    keys = [k for k in signal.columns if k != value]
-    state = signal.select(*keys, F.col(value).alias("_a"), F.lit(None).cast("double").alias("_b"), (F.col(value) * (c[0] / 2)).alias("_out"))
+    names, keys = axes(graph), [k for k in signal.columns if k != value]
+    near = [cut(f.neighbours()) if f.kind == "edges" else f.neighbours() for f in graph.factors]
+    sizes = [{"chain": 3, "loop": 3}.get(f.kind, f.n) * f.n for f in graph.factors]
+
+    def step(state: DataFrame, j: int) -> DataFrame:
+        moved = F.array(F.struct(*names, (F.col("_a") * F.lit(0.0)).alias("l"), F.col("_a").alias("a"), F.col("_b").alias("b"), F.col("_out").alias("o")))
+        zero = F.lit(0.0)
+        for a, (lists, size) in enumerate(zip(near, sizes)):
+            state = state.join(_small(lists.select(F.col("node").alias(f"ax{a}"), F.col("near").alias(f"_near{a}")), size), f"ax{a}", "left")
+            lists_of = F.coalesce(F.col(f"_near{a}"), F.array().cast("array<struct<dst:int,w:double>>"))
+            at = lambda e, a=a: [e["dst"].cast("int").alias(n) if n == f"ax{a}" else F.col(n).alias(n) for n in names]
+            sent = F.transform(lists_of, lambda e: F.struct(*at(e), (-e["w"] * F.col("_a")).alias("l"), zero.alias("a"), zero.alias("b"), zero.alias("o")))
+            own = F.array(F.struct(*names, (F.aggregate(lists_of, zero, lambda x, e: x + e["w"]) * F.col("_a")).alias("l"), zero.alias("a"), zero.alias("b"), zero.alias("o")))
+            moved = F.concat(moved, sent, own)
+        others = [k for k in keys if k not in names]
+        sums = state.select(*others, F.inline(moved)).groupBy(*keys).agg(*[F.sum(x).alias(x) for x in "labo"])
+        scaled = F.col("l") * (2 / top) - F.col("a")
+        new = scaled if j == 1 else 2 * scaled - F.col("b")
+        return sums.select(*keys, new.alias("_a"), F.col("a").alias("_b"), (F.col("o") + new * c[j]).alias("_out"))
+
+    state = inside(signal, graph).select(*keys, F.col(value).cast("double").alias("_a"), F.lit(0.0).alias("_b"), (F.col(value) * (c[0] / 2)).alias("_out"))
     for j in range(1, degree + 1):
-        lv = laplacian_product(state.select(*keys, F.col("_a").alias(value)), graph, value).withColumnRenamed(value, "_l")
-        scaled = F.col("_l") * (2 / top) - F.col("_a")
-        new = scaled if j == 1 else 2 * scaled - F.col("_b")
-        state = state.join(lv, keys).select(*keys, new.alias("_n"), F.col("_a").alias("_b"), "_out").select(*keys, F.col("_n").alias("_a"), "_b", (F.col("_out") + F.col("_n") * c[j]).alias("_out"))
-        state = cut(state)  # each step reads the state several times
+        state = step(state, j)
+        if j % CUT_EVERY == 0 and j < degree:
+            state = cut(state)
     return state.select(*keys, F.col("_out").alias(value)).select(*signal.columns)

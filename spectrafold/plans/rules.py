@@ -12,12 +12,14 @@ from ..functions.filters import Filter, multivariate, univariate
 from ..operators import distributed
 from ..operators.graphs import DENSE_NODES, AnyGraph
 from ..operators.models import CELLS, GSR
-from ..operators.transform import scale_spectral
+from ..operators.transform import SPECTRAL_NODES, chebyshev, scale_spectral
 
 
 def closed_form(y: DataFrame, graph: AnyGraph, g: Filter, gamma: float) -> DataFrame:
     """The reconstruction of a fully observed signal: one filter, g^2 / (g^2 + gamma), one Catalyst plan."""
     gain = g.column(*[F.col(f"lam{a}") for a in range(graph.ndim)])
+    if max(graph.shape) > SPECTRAL_NODES and not g.multivariate:
+        return chebyshev(y, graph, Filter("custom", (1.0,), False, custom=lambda lam, _: shrinkage(_gain(g, lam), gamma)))
     return scale_spectral(y, graph, shrinkage(gain, gamma))
 
 
@@ -26,10 +28,10 @@ def shrinkage(gain: Column, gamma: float) -> Column:
 
 
 def choose(graph: AnyGraph, fully_observed: bool) -> str:
-    """filter (all observed), task (a problem fits one task) or tables (it doesn't)."""
+    """filter (all observed), task (a problem and the bases of its axes fit one task) or tables (they don't)."""
     if fully_observed:
         return "filter"
-    return "task" if math.prod(graph.shape) <= CELLS else "tables"
+    return "task" if math.prod(graph.shape) <= CELLS and max(graph.shape) <= DENSE_NODES else "tables"
 
 
 def reconstruct(y: DataFrame, graph: AnyGraph, g: Filter, gamma: float) -> DataFrame:

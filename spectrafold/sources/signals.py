@@ -20,6 +20,14 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def require_double(df: DataFrame, *columns: str) -> None:
+    """Raise TypeError unless the columns are doubles or arrays of doubles."""
+    for c in columns:
+        kind = df.schema[c].dataType.simpleString()
+        if kind not in ("double", "array<double>"):
+            raise TypeError(f"column {c} is {kind}, not double")
+
+
 def axis(df: DataFrame, label: str, number: str = "ax") -> DataFrame:
     """number, label: the distinct labels in order, numbered from 0.
 

@@ -1,8 +1,10 @@
 """Keeping a filtered signal fresh from a stream of rows.
 
-Rows are counted by event-time window and category with a watermark, so that late rows up to ``delay``
-still count. The counts of all windows so far are the state, whose size is that of the grid, not of the
-stream; after each micro-batch the grid is filtered anew.
+Rows are counted by event-time window and category with a watermark: rows up to ``delay`` late still count,
+later ones don't, and the stream's state of closed windows goes. Each micro-batch gives the counts that
+changed; they are merged into a table of all windows so far beside the stream's checkpoint, one version for
+each batch, so that a batch that runs again writes the same version. The table has the size of the grid, not of
+the stream; the grid is then filtered anew.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.filters import Filter
-from ..operators.graphs import ProductGraph, grid
+from ..operators.graphs import ProductGraph, grid, inside
 from ..operators.transform import filter_signal
 from ..sources.signals import axis
 
@@ -28,18 +30,31 @@ def windowed_counts(rows: DataFrame, time: str, category: str, window: str = "1
 
 def to_signal(counts: DataFrame, graph: ProductGraph) -> DataFrame:
     """The last windows by categories as a signal on the graph; windows and categories without rows are 0."""
-    n0, n1 = graph.shape
+    n0 = graph.shape[0]
     starts = counts.select("start").distinct().orderBy(F.desc("start")).limit(n0)
     kept = counts.join(starts, "start")
     cells = kept.join(axis(kept, "start", "ax0").withColumnRenamed("label", "start"), "start").join(axis(counts, "category", "ax1").withColumnRenamed("label", "category"), "category")
-    return grid(graph).join(cells.where(F.col("ax1") < n1).select("ax0", "ax1", F.col("n").cast("double").alias("v")), ["ax0", "ax1"], "left").fillna(0.0, ["v"])
+    cells = inside(cells.select("ax0", "ax1", F.col("n").cast("double").alias("v")), graph)  # a category too many fails
+    return grid(graph).join(cells, ["ax0", "ax1"], "left").fillna(0.0, ["v"])
 
 
 def refresh(rows: DataFrame, time: str, category: str, graph: ProductGraph, g: Filter, sink: Callable[[DataFrame, int], None], checkpoint: str, window: str = "1 day", delay: str = "1 hour") -> StreamingQuery:
-    """Start a query that hands the filtered signal of all counts so far to ``sink`` after each micro-batch."""
-
-    def batch(counts: DataFrame, number: int) -> None:
+    """Start a query that hands the filtered signal of all counts so far to ``sink`` after each micro-batch.
+
+    ``checkpoint`` is a folder in a store that all executors reach.
+    """
+    version = lambda number: f"{checkpoint}/counts/{number}"
+
+    def batch(changed: DataFrame, number: int) -> None:
+        changed = changed.select("start", "category", "n")
+        if number:
+            before = changed.sparkSession.read.parquet(version(number - 1))
+            # null-safe: rows without a category are one category
+            same = (F.col("old.start") == F.col("new.start")) & F.col("old.category").eqNullSafe(F.col("new.category"))
+            changed = before.alias("old").join(changed.alias("new"), same, "left_anti").unionByName(changed)
+        changed.write.mode("overwrite").parquet(version(number))
+        counts = changed.sparkSession.read.parquet(version(number))
         sink(filter_signal(to_signal(counts, graph), graph, g), number)
 
     counts = windowed_counts(rows, time, category, window, delay)
-    return counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(batch).start()
+    return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(batch).start()
