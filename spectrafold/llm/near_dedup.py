@@ -106,6 +106,19 @@ def prob_minhash(docs: list[tuple[np.ndarray, np.ndarray]], registers: int) -> n
     return owner.reshape(count, registers)
 
 
+def portions(docs: list[tuple[np.ndarray, np.ndarray]], shingles: int = 100_000) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The documents in portions of about so many shingles, so that few long ones don't take much memory at once."""
+    part, size = [], 0
+    for doc in docs:
+        part.append(doc)
+        size += len(doc[0])
+        if size >= shingles:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def similarity(one: np.ndarray, other: np.ndarray) -> float:
     """Jaccard similarity of two arrays of distinct values."""
     both = len(np.intersect1d(one, other, assume_unique=True))
@@ -169,7 +182,7 @@ def sketches(df: DataFrame, doc_id: str, text: str, words: int = WORDS, bands: i
                 ids = batch.column(0)
                 found = [np.unique(shingles.hashes(t if known else None), return_counts=True) for known, t in zip(ids.is_valid().to_pylist(), batch.column(1).to_pylist())]
                 docs = [(s, c.astype(float)) for s, c in found if len(s)]
-                owner = prob_minhash(docs, bands * rows)
+                owner = np.concatenate([np.empty((0, bands * rows), np.uint64), *(prob_minhash(part, bands * rows) for part in portions(docs))])
                 keys = np.zeros((len(docs), bands), np.uint64)
                 with np.errstate(over="ignore"):
                     for r in range(rows):
@@ -216,10 +229,12 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     names = [f"{c}_{s}" for s in "ab" for c in ("shingles", "weights")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in names]
-            keep = [Shingled(x, v).links(Shingled(y, w), threshold) for x, v, y, w in zip(*columns)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 128):
+                batch = whole.slice(start, 128)
+                columns = [batch.column(n).to_pylist() for n in names]
+                keep = [Shingled(x, v).links(Shingled(y, w), threshold) for x, v, y, w in zip(*columns)]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda s: sets.select(F.col("doc").alias(s), F.col("shingles").alias(f"shingles_{s}"), F.col("weights").alias(f"weights_{s}"))
     held = spread_join(pairs, side("a"), ["a"], "b").join(side("b"), "b").select("a", "b", *names)
@@ -268,6 +283,10 @@ def _crossing(members: DataFrame, threshold: float) -> DataFrame:
         values, places = np.unique(np.concatenate([h.shingles for h in held]), return_inverse=True)
         places = np.split(places, np.cumsum(sizes)[:-1])
         marked = np.zeros(len(values), bool)
+        # shares of the weight: the sum of the lesser shares bounds the probability Jaccard similarity from above
+        shares = [(np.ones(len(h.shingles)) if h.weights is None else h.weights) for h in held]
+        shares = [w / w.sum() for w in shares]
+        part = np.zeros(len(values))
         group = np.unique(table["label"].to_numpy(), return_inverse=True)[1]  # labels that links join become equal
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         found: list[tuple] = []
@@ -281,10 +300,19 @@ def _crossing(members: DataFrame, threshold: float) -> DataFrame:
                 continue
             marked[places[k]] = True
             starts = np.cumsum(sizes[others]) - sizes[others]
-            both = np.add.reduceat(marked[np.concatenate([places[o] for o in others])], starts, dtype=np.int64)
+            where = np.concatenate([places[o] for o in others])
+            both = np.add.reduceat(marked[where], starts, dtype=np.int64)
             marked[places[k]] = False
-            for o, alike in zip(others, both / (sizes[k] + sizes[others] - both)):
-                if group[o] != group[k] and (alike >= threshold or held[k].weighted(held[o]) >= threshold):
+            links = both / (sizes[k] + sizes[others] - both) >= threshold
+            open_ = ~links
+            if not (plain[k] and plain[others].all()):
+                part[places[k]] = shares[k]
+                open_ &= np.add.reduceat(np.minimum(part[where], np.concatenate([shares[o] for o in others])), starts) >= threshold - 1e-9
+                part[places[k]] = 0
+            else:
+                open_[:] = False
+            for o, linked in zip(others[links | open_], links[links | open_]):
+                if group[o] != group[k] and (linked or held[k].weighted(held[o]) >= threshold):
                     group[group == group[o]] = group[k]
                     found.append((docs[k], docs[o]))
         columns = list(zip(*found)) or [()] * 2
