@@ -3,14 +3,16 @@
 A text is its letters in lower case, anything else being one blank, as runs of one to three characters
 (hashed into ``BUCKETS``), weighted by (1 + log tf) * idf and scaled to length one. Document frequencies
 are counted over all rows that may be learned from. The weights are trained by follow-the-regularised-
-leader with an absolute and a squared penalty on a sample of rows, whose expected size is ``sample`` for
-each language; a fifth of the sample is held back, and the temperature that suits its labels best divides
+leader with an absolute and a squared penalty on a sample of at most ``sample`` rows of each language, and
+about ``total`` of all; a fifth of it is held back, and the temperature that suits its labels best divides
 the scores before they become probabilities.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is everything where no
 row can be learned from. Rows with a null language are not learned from. With one language, that is the
-answer for every text with a letter. Of more than ``max_languages`` languages the most frequent are
-learned. All columns are kept; ``lang_pred`` and ``score`` replace columns of these names.
+answer for every text with a letter. Of equally likely languages the first in the alphabet is told. Rows are
+drawn by a hash of id and text, so that null and repeated ids are no special case; equal rows are predicted
+each. Texts may be of any length; an empty table gives an empty one. All columns are kept, whatever their
+names; ``lang_pred`` and ``score`` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import unit_hash
+from .common import beside, unit_hash
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -138,16 +140,16 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int, float]], languages: t
     return Model(languages, rows, w[rows], idf, t)
 
 
-def learn(docs: DataFrame, learn_from: Column | None = None, sample: int = 800, max_languages: int = 1000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
+def learn(docs: DataFrame, learn_from: Column | None = None, sample: int = 800, total: int = 20_000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
     """A model from the rows of ``docs`` with a language for which ``learn_from`` holds."""
     usable = docs.where(F.col(lang).isNotNull())
     if learn_from is not None:
         usable = usable.where(learn_from)
-    sizes = usable.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = usable.groupBy(F.col(lang).alias("lang")).count().collect()
     if not sizes:
         return None
     languages = tuple(sorted(r["lang"] for r in sizes))
-    picked = usable.select(F.col(text).alias("text"), F.col(lang).alias("lang"), unit_hash(doc_id, seed=2).alias("draw"))
+    picked = usable.select(F.col(text).alias("text"), F.col(lang).alias("lang"), unit_hash(doc_id, text, seed=2).alias("draw"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = np.zeros(BUCKETS, np.int64), 0
@@ -161,12 +163,15 @@ def learn(docs: DataFrame, learn_from: Column | None = None, sample: int = 800,
 
     counted = picked.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     n = {r["bucket"]: r["n"] for r in counted}
-    total = n.pop(-1, 0)
+    rows_counted = n.pop(-1, 0)
     df = np.zeros(BUCKETS)
     df[list(n)] = list(n.values())
-    idf = np.log((1 + total) / (1 + df)) + 1
+    idf = np.log((1 + rows_counted) / (1 + df)) + 1
 
-    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in sizes], "lang string, rate double")
+    sample = max(1, min(sample, total // len(languages)))
+    # twice as many are drawn as expected, of which the first of each language are taken
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * sample / r["count"])) for r in sizes], "lang string, rate double")
+    first = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,8 +182,9 @@ def learn(docs: DataFrame, learn_from: Column | None = None, sample: int = 800,
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.binary(), pa.string(), pa.float64()))], names=["b", "c", "lang", "u"])
 
-    # one row for each of at most max_languages languages
-    drawn = picked.join(F.broadcast(rates), "lang").where("draw < rate").select("text", "lang", (F.col("draw") / F.col("rate")).alias("u"))
+    # one row for each language
+    drawn = picked.join(F.broadcast(rates), "lang").where("draw < rate").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample)
+    drawn = drawn.select("text", "lang", (F.xxhash64(F.lit(3), "text", "draw").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).alias("u"))
     rows = sorted(drawn.mapInArrow(sampled, "b binary, c binary, lang string, u double").collect(), key=lambda r: (r["u"], r["lang"], bytes(r["b"]), bytes(r["c"])))
     place = {k: i for i, k in enumerate(languages)}
     samples = [(np.frombuffer(r["b"], np.uint16).astype(np.int64), np.frombuffer(r["c"], np.uint32).astype(float), place[r["lang"]], r["u"]) for r in rows]
@@ -187,9 +193,8 @@ def learn(docs: DataFrame, learn_from: Column | None = None, sample: int = 800,
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``, the calibrated probability of that language."""
-    kept = [f for f in df.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    names = [f.name for f in kept]
+    read = df.select(beside(df, "lang_pred", "score"), F.col(text).alias("text"))
+    schema = T.StructType([read.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model is not None:
@@ -199,7 +204,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 best, scores = [], []
-                for t in batch.column(text).to_pylist():
+                for t in batch.column("text").to_pylist():
                     found = grams(t) if model is not None else None
                     if found is None:
                         best.append(UNKNOWN)
@@ -210,6 +215,6 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                     k = int(p.argmax())
                     best.append(model.languages[k])
                     scores.append(float(p[k]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
+    return read.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
