@@ -9,9 +9,10 @@ is counted before the shuffle, and meets its occurrences in a join that Spark ca
 
 Defined results: null texts stay null and have no lines; documents of fewer than three lines keep all of
 them; blank lines count as lines; equal rows (same id, same text) are one document, and each of them gets
-that document's result; rows with the same id and other texts are ordered by a hash of the text. A text
-that loses all lines becomes empty. All columns are kept, ``text`` changed; ``n_lines`` and ``n_removed``
-are added, and replace columns of these names.
+that document's result; rows with the same id and other texts are ordered by a hash of the text; null ids
+come first. A text that loses all lines becomes empty. Texts may have any number of lines of any length; an
+empty table gives an empty one. All columns are kept, whatever their names, ``text`` changed; ``n_lines``
+and ``n_removed`` are added, and replace columns of these names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import beside, let
 
 
 def _windows(lines: Column, width: int) -> Column:
@@ -36,26 +37,27 @@ def _windows(lines: Column, width: int) -> Column:
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """``df`` without the lines that later occurrences of repeated windows cover."""
-    key = [F.xxhash64(F.col(doc_id), F.col(text)).alias("_k"), F.xxhash64(F.lit(1), F.col(doc_id), F.col(text)).alias("_l")]
-    lines = F.split(F.col(text), "\n")
+    keys = {"k": F.xxhash64("d", "t"), "l": F.xxhash64(F.lit(1), "d", "t")}  # of a document, in 128 bits
+    rows = df.select(beside(df, "n_lines", "n_removed"), F.col(doc_id).alias("d"), F.col(text).alias("t")).withColumns(keys)
+    lines = F.split("t", "\n")
     found = (
-        df.select(F.col(doc_id).alias("_d"), *key, lines.alias("_lines"))
-        .where(F.size("_lines") >= width)
-        .select("_d", "_k", "_l", F.explode(_windows(F.col("_lines"), width)).alias("_w"))
-        .select("_d", "_k", "_l", "_w.*")
+        rows.select("d", "k", "l", lines.alias("lines"))
+        .where(F.size("lines") >= width)
+        .select("d", "k", "l", F.explode(_windows(F.col("lines"), width)).alias("w"))
+        .select("d", "k", "l", "w.*")
     )
-    place = F.struct("_d", "_k", "_l", "pos")
-    first = found.groupBy("a", "b").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    later = found.join(first, ["a", "b"]).where(place > F.col("_first"))
-    covered = later.groupBy("_k", "_l").agg(F.collect_set("pos").alias("_starts"))
-    out = df.drop("n_lines", "n_removed").withColumns({"_k": key[0], "_l": key[1]}).join(covered, ["_k", "_l"], "left")
-    gone = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (width - 1))))
+    place = F.struct("d", "k", "l", "pos")
+    first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = found.join(first, ["a", "b"]).where(place > F.col("first"))
+    covered = later.groupBy("k", "l").agg(F.collect_set("pos").alias("starts"))
+    gone = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1))))
     left = let(lines, lambda x: let(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda k: F.struct(F.array_join(F.transform(k, lambda i: F.get(x, i)), "\n").alias("text"), F.size(k).alias("n"))))
-    out = out.withColumn("_left", F.when(F.col("_starts").isNotNull(), left))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-    names = [c for c in df.columns if c not in ("n_lines", "n_removed")]
+    out = rows.join(covered, ["k", "l"], "left").withColumn("left", F.when(F.col("starts").isNotNull(), left))
+    n_lines = F.when(F.col("t").isNull(), 0).otherwise(F.size(lines))
+    names = [c for c in df.columns if c.lower() not in ("n_lines", "n_removed")]
+    changed = F.when(F.col("left").isNull(), F.col("t")).otherwise(F.col("left.text"))
     return out.select(
-        *[F.when(F.col("_left").isNull(), F.col(text)).otherwise(F.col("_left.text")).alias(text) if c == text else F.col(f"`{c}`") for c in names],
+        *[(changed if c == text else F.col("row").getField(c)).alias(c) for c in names],
         n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("_left").isNull(), 0).otherwise(n_lines - F.col("_left.n")).cast("long").alias("n_removed"),
+        F.when(F.col("left").isNull(), 0).otherwise(n_lines - F.col("left.n")).cast("long").alias("n_removed"),
     )
