@@ -3,7 +3,8 @@
 A sketch keeps every hash of a document's shingles (five words; all words of a shorter text) that lies
 below a fixed fraction of the hash range. Sketches of parts of a corpus merge by union, and the share of
 one sketch found in another estimates containment whatever the two sizes. A text none of whose hashes
-lies below the fraction keeps its smallest hash, so that no sketch is empty.
+lies below the fraction keeps its smallest hash, so that no sketch is empty; ``merge`` drops such hashes
+where a part has others, so that the merged sketch is that of the whole.
 
 ``fingerprint`` works on a column; ``compare_with_next`` also sketches an edited text of each document and
 compares it, and the document that follows, with the document. Followers are found on ids alone, by a
@@ -11,7 +12,8 @@ range sort; the heads of the following texts are then joined by key.
 
 Defined results: null texts count as empty; an empty text has one shingle, the empty word. Equal rows (same
 id, same text) count once; rows with the same id and other texts follow one another by a hash of the text;
-null ids come last. A single document is its own follower.
+null ids come last. A single document is its own follower; an empty table gives none. Texts may be of any
+length. Columns other than the id and the text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,20 +35,24 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     return let(split, lambda w: F.transform(starts(w), lambda i: F.xxhash64(F.slice(w, i, words))))
 
 
+def _below(hashes: Column, fraction: float) -> Column:
+    return F.filter(hashes, lambda h: h < F.lit(-(1 << 63) + int(fraction * (1 << 64)))) if fraction < 1 else hashes
+
+
 def sketch(text: Column, fraction: float = FRACTION, words: int = WORDS) -> Column:
     """The sorted, distinct hashes below ``fraction`` of the range, or the smallest one."""
-    limit = -(1 << 63) + int(fraction * (1 << 64))
 
     def low(hashes: Column) -> Column:
-        kept = F.filter(hashes, lambda h: h < F.lit(limit)) if fraction < 1 else hashes
+        kept = _below(hashes, fraction)
         return let(kept, lambda k: F.when(F.size(k) > 0, F.array_sort(F.array_distinct(k))).otherwise(F.array(F.array_min(hashes))))
 
     return let(shingle_hashes(text, words), low)
 
 
-def merge(sketches: Column) -> Column:
-    """The sketch of a whole from an array of sketches of its parts (hashes kept for lack of others stay)."""
-    return F.array_sort(F.array_distinct(F.flatten(sketches)))
+def merge(sketches: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of a whole from an array of sketches of its parts."""
+    every = F.array_sort(F.array_distinct(F.flatten(sketches)))
+    return let(every, lambda x: let(_below(x, fraction), lambda k: F.when(F.size(k) > 0, k).otherwise(F.slice(x, 1, 1))))
 
 
 def fingerprint(hashes: Column) -> Column:
