@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` writes each stage's rows to the shared checkpoint folder before the next one reads
 them. ``ORACLE_SQL`` is None: learned models, ProbMinHash and tokenizers can't be put into SQL.
+
+Defined results, for every stage: an empty table gives an empty table; columns beside those of ``documents``
+are kept, whatever their names; texts may be of any length. Rows without an id are judged by their texts and
+never near-duplicates. Null and empty texts, and texts without a letter, have no language and go at the
+language stage. Equal rows stay, each, until the near-duplicate stage keeps one of them; of rows with one id
+and different texts each is judged by its own text.
 """
 
 from __future__ import annotations
@@ -20,13 +26,16 @@ LEAST_CERTAIN = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learned from the labelled ones among them, doesn't predict toxic."""
+    """Documents that the toxicity model, learned from the labelled ones among them, doesn't predict toxic.
+
+    Without labels of both kinds the model scores all alike, by the share of toxic labels.
+    """
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxic.held_out())
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows and is certain enough of."""
+    """Documents in a language that the model knows and is certain enough of; without languages to learn from, none."""
     model = language_id.learn(docs, ~language.held_out())
     told = language_id.predict(docs, model)
     return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).select(docs.columns)
@@ -41,7 +50,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest id; rows without an id stay."""
+    """One document of each class of near-duplicates, the one with the smallest id; rows without an id stay.
+
+    Of rows equal in id and text one stays, rows of the kept id with other texts stay as well.
+    """
     return near_dedup.first_of_each(docs).select(docs.columns)
 
 
