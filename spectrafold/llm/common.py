@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
+__all__ = ["beside", "crc32_of_id", "cut", "fresh", "let", "row_hash", "shuffle_partitions", "spread_join", "table", "unit_hash"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark alone (the folder may be in any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
-
-    The folder is ``spark.checkpoint.dir``. Where it is unset, a local master gets a temporary folder
-    and a cluster a folder beside the warehouse, which its executors share.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-            path = tempfile.mkdtemp(prefix="spectrafold-checkpoints-")
-        sc.setCheckpointDir(path or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def beside(df: DataFrame, *replaced: str) -> Column:
     """All columns of ``df`` but those replaced, as one struct ``row``, so that no name of theirs meets an own one."""
     names = {r.lower() for r in replaced}
