@@ -25,28 +25,46 @@ from spectrafold.llm.queries import language, packed, toxic
 LEAST_CERTAIN = 0.3
 
 
+class Numbered:
+    """Documents whose columns have numbers for names, so that columns which an operator adds meet none of theirs."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.names = docs.columns
+        self.docs = docs.select(*[F.col(f"`{c}`").alias(self[c]) for c in self.names])
+
+    def __getitem__(self, name: str) -> str:
+        return f"c{self.names.index(name)}"
+
+    def back(self, docs: DataFrame) -> DataFrame:
+        """The columns of the documents under their own names, without added ones."""
+        return docs.select(*[F.col(self[c]).alias(c) for c in self.names])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the labelled ones among them, doesn't predict toxic.
 
     Without labels of both kinds the model scores all alike, by the share of toxic labels.
     """
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxic.held_out())
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    model = toxicity.learn(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), ~toxic.held_out())
+    plain = Numbered(docs)
+    return plain.back(toxicity.score(plain.docs, model, text=plain["text"]).where("predicted = 0"))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows and is certain enough of; without languages to learn from, none."""
-    model = language_id.learn(docs, ~language.held_out())
-    told = language_id.predict(docs, model)
-    return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).select(docs.columns)
+    model = language_id.learn(docs.select("doc_id", "text", "lang"), ~language.held_out())
+    plain = Numbered(docs)
+    told = language_id.predict(plain.docs, model, text=plain["text"])
+    return plain.back(told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated windows of lines; a document that loses all of its lines goes."""
-    out = line_dedup.dedup_lines(docs)
+    plain = Numbered(docs)
+    out = line_dedup.dedup_lines(plain.docs, doc_id=plain["doc_id"], text=plain["text"])
     left = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", changed).select(docs.columns)
+    changed = F.when(F.col("n_removed") > 0, F.char_length(plain["text"]).cast("long")).otherwise(F.col(plain["n_chars"]))
+    return plain.back(left.withColumn(plain["n_chars"], changed))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
