@@ -182,7 +182,12 @@ class GSR(Model):
 
 
 class _Kernel:
-    """A leading axis ``t`` with covariates."""
+    """A leading axis ``t`` with covariates; their kernel is decomposed in the driver, so that they are bounded."""
+
+    def __post_init__(self) -> None:
+        if not 0 < len(self.covariates if self.covariates is not None else ()) <= DENSE_NODES:
+            raise ValueError(f"covariates of 1 to {DENSE_NODES} rows are expected")
+        super().__post_init__()
 
     @property
     def axes(self) -> list[str]:
