@@ -14,7 +14,8 @@ same texts don't join the lexicon. Near copies in the sample count once, the one
 Learning uses a sample of the labelled rows whose size is bounded by ``sample``; scoring reads whole texts.
 The matcher and the fit don't see labels, language, source or id.
 
-Defined results: null and empty texts have no matches; without labels of both kinds every score is the
+Defined results: null and empty texts have no matches; a text without a match scores as one of at least the
+length of the shortest text learned from, and never above the share of toxic labels; without labels of both kinds every score is the
 share of toxic labels (0 if there are none), also for an empty table. Rows with null labels or ids aren't
 learned from; equal label rows, and rows of one id, count each; ties of terms go to the longer list of
 texts, then to the alphabet. Texts and words may be of any length. All columns of the scored rows are kept,
@@ -264,13 +265,21 @@ class Model:
 
     terms: tuple[Term, ...]
     coefficients: tuple[float, ...]
-    constant: float
+    #: The share of toxic labels: the score without coefficients, and the most that a text without a match can score.
+    base: float
+    #: The logarithm of the word count of the shortest text learned from.
+    shortest: float = 0.0
 
     def score(self, text: str | None, matcher: Matcher) -> float:
         if not self.coefficients:
-            return self.constant
-        z = self.coefficients[0] + sum(a * b for a, b in zip(self.coefficients[1:], features(text, matcher)))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+            return self.base
+        x = features(text, matcher)
+        unmatched = not any(x[:-1])
+        if unmatched:  # what the fit says of length holds for lengths that it has seen
+            x[-1] = max(x[-1], self.shortest)
+        z = self.coefficients[0] + sum(a * b for a, b in zip(self.coefficients[1:], x))
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return min(p, self.base) if unmatched else p
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:
@@ -397,7 +406,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
         return Model((), (), n_pos / (n_pos + n_neg))
     w = logistic(x, y)
     w[0] += math.log(n_pos / n_neg) - math.log(y.sum() / (len(y) - y.sum()))  # the sample has other shares than the labels
-    return Model(tuple(lexica[2]), tuple(w.tolist()), 0.0)
+    return Model(tuple(lexica[2]), tuple(w.tolist()), n_pos / (n_pos + n_neg), float(x[:, -1].min()))
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

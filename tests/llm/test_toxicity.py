@@ -122,3 +122,18 @@ def test_odd_tables(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
     nothing = toxicity.learn(docs.limit(0), marks)
     assert toxicity.score(docs.limit(3), nothing).where("score between 0 and 1").count() == 3
+
+
+@pytest.mark.parametrize("share", [2, 3, 6, 20])
+def test_texts_without_a_match_score_at_most_the_base_rate(spark, share):
+    bad, clean, rows, _ = corpus()
+    rng = random.Random(share)
+    rows = [(i, " ".join(rng.choices(clean, k=rng.randrange(12, 60)) + rng.sample(bad, 3) * (i % share == 0))) for i in range(240)]
+    labels = [(i, int(i % share == 0)) for i, _ in rows]
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    matcher = toxicity.Matcher(list(model.terms))
+    assert model.coefficients and model.base == pytest.approx(sum(y for _, y in labels) / len(labels))
+    for text in (None, "", "...", "unseen", "unseen words only", "unseen " * 5000):
+        assert model.score(text, matcher) <= model.base and model.score(text, matcher) < 0.5
+    empty = toxicity.learn(spark.createDataFrame([(i, "") for i, _ in rows], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert toxicity.Matcher(list(empty.terms)) and empty.score("", toxicity.Matcher([])) <= empty.base + 1e-9
