@@ -24,6 +24,7 @@ import heapq
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -43,8 +44,18 @@ _WORD_END = "</w>"
 _MARKS = ",.!?;:"
 
 
-#: A comma or full stop that belongs to a run of marks, which is one word.
-_RUN = re.compile(r"[,.] (?:(?<=[^\w\s][,.] )|(?<=_[,.] ))").search
+#: A comma or full stop that belongs to a run of marks, which is one word (the separators from U+001C on aren't
+#: white space to the tokenizer).
+_RUN = re.compile(r"[,.] (?:(?<=[^\w\s][,.] )|(?<=[_\x1c-\x1f][,.] ))").search
+
+
+def _ends_in_letter(word: str) -> bool:
+    """Whether a word still ends in a letter when it is normalised: a letter that becomes letter and mark doesn't.
+
+    Only letters of the Latin, Greek and Cyrillic blocks count, whose classes are the same in all versions of Unicode.
+    """
+    last = unicodedata.normalize("NFC", word[-8:]).lower()[-1]
+    return last < "\u0530" and last.isalpha()
 
 
 def _spaced(text: str) -> str:
@@ -117,7 +128,7 @@ class WordTokens:
         new: dict[str, tuple[str, str]] = {}
         for word in words - wanted:
             core = word.rstrip(_MARKS)
-            if core and core[-1].isalpha() and "'" not in word and "<|" not in word:
+            if core and _ends_in_letter(core) and "'" not in word and "<|" not in word:
                 new[word] = (core.lower() if core.isascii() else core, word[len(core) :])
             else:
                 new[word] = (word, "")

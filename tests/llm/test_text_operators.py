@@ -241,3 +241,14 @@ def test_packing_of_odd_tables(spark):
     for r in got:
         lengths[r["sequence_id"]] = lengths.get(r["sequence_id"], 0) + r["length"]
     assert all(n <= 2048 for n in lengths.values()) and sum(2048 - n for n in lengths.values() if n & (n - 1)) <= 0.02 * sum(n for _, n in want)
+
+
+def test_packing_ids_equal_the_library_on_odd_text():
+    """Letters that normalise to letter and mark, marks, controls, separators and special tokens, in any order."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    words, library = packing.WordTokens(path, 1, 5000), Tokenizer.from_file(path)
+    signs = [*"abcXYZ é ß İ ı ,.!?;:' - _ 1 2 ½ ² ª µ Σ ς ǅ ﬁ ẞ Å 中 א 한 각 😀 ’ … ·", "क़", "שׁ", "שׁ", "́", "̇", "ͅ", "ẛ̣"]
+    signs += ["\x1c", "\x1f", "\x85", "\xa0", "​", "\xad", " ", "\t", "\n", "<|startoftext|>", "<|endoftext|>", "<|", "|>", "'s", "I'M", ", ", ". ", "! "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 24))) for _ in range(5000)] + ["İ.", "SEDEFİ, x", "क़, a", "שׁ. a", "\x1c, b", "-, b"]
+    for text, ids, found in zip(texts, words.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert list(memoryview(ids).cast("I")) == found.ids + [1], repr(text)
