@@ -1,22 +1,37 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and the shared folder that this takes."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where all of Spark is in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    at = sc._jsc.sc().getCheckpointDir()
+    return at.get() if at.isDefined() else tempfile.mkdtemp(prefix="spectrafold-")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there.
 
-    The folder is ``spark.checkpoint.dir``; where that is unset, a temporary folder on a local master and a
-    folder under the warehouse on a cluster.
+    Spark deletes the files of checkpoints that are no longer used where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        path = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp() if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-        sc.setCheckpointDir(path)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
