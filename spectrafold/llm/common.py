@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, scratch
 
-__all__ = ["beside", "crc32_of_id", "cut", "fresh", "let", "row_hash", "shuffle_partitions", "spread_join", "table", "unit_hash"]
+
+__all__ = ["beside", "crc32_of_id", "cut", "fresh", "let", "row_hash", "scratch", "shuffle_partitions", "spread_join", "table", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
