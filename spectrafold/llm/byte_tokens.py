@@ -38,7 +38,7 @@ class ByteTokens:
 
     def __init__(self, path: str, plain: bool = False, cache_size: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
@@ -56,6 +56,11 @@ class ByteTokens:
         for t in added:
             self.token_bytes[t["id"]] = t["content"].encode()
         self._blank = np.array([b[:1] == b" " for b in self.token_bytes])
+        #: The same model for words that are already apart, in the characters of the vocabulary.
+        self._words = Tokenizer.from_file(path)
+        self._words.encode_special_tokens = True
+        self._words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self._shown = {b: ord(c) for c, b in values.items()}
         self._recent: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._size = cache_size
@@ -67,7 +72,9 @@ class ByteTokens:
         """Add words of letters, each with a blank before it: many at once, told apart by their blanks."""
         for start in range(0, len(words), 2000):
             chunk = words[start : start + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(chunk)], add_special_tokens=False)[0].ids, "<u4")
+            shown = f" {' '.join(chunk)}".encode().decode("latin-1").translate(self._shown)
+            shown = shown.replace(chr(self._shown[32]), " " + chr(self._shown[32]))
+            ids = np.array(self._words.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
             starts = (4 * np.flatnonzero(self._blank[ids])).tolist()
             if len(starts) == len(chunk):
                 packed = ids.tobytes()
@@ -93,7 +100,7 @@ class ByteTokens:
         self._encode_words(words)
         self._encode_words(list({core for _, core, _ in split} - recent.keys()))
         rest += {marks for _, _, marks in split} - recent.keys()
-        recent.update(zip(rest, self.encode_whole([k[1:] if k[:1] == _JOINED else " " + k for k in rest])))
+        recent.update(zip(rest, self.encode_whole([self.part_text(k) for k in rest])))
         recent.update((key, recent[core] + recent[marks]) for key, core, marks in split)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -115,6 +122,20 @@ class ByteTokens:
             out[i] = ids
         return out
 
+    @staticmethod
+    def part_text(key: str) -> str:
+        """The text of a part."""
+        return key[1:] if key[:1] == _JOINED else " " + key
+
+    def of_parts(self, keys: list[str]) -> list[bytes]:
+        """Ids of parts."""
+        if len(self._recent) > self._size:
+            self._older, self._recent = self._recent, {}
+        missing = {k for k in keys if k not in self._recent}
+        if missing:
+            self.learn(missing)
+        return [self._recent[k] for k in keys]
+
     def parts(self, text: str) -> list[str]:
         """Keys of the parts of a text, in order; none if the text can't be cut."""
         if not self.cuttable or _JOINED in text or any(s in text for s in self.special):
