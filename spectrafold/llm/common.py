@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, scratch
 
-
 __all__ = ["beside", "crc32_of_id", "cut", "fresh", "let", "row_hash", "scratch", "shuffle_partitions", "spread_join", "table", "unit_hash"]
 
 

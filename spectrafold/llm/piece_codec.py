@@ -94,9 +94,11 @@ class PieceCodec:
         several = [p for p in self.ids if len(p) > 1]
         whole = any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p in several)
         self._whole = whole
+        #: Whether texts may be cut between a sign and the space or line feed after it.
+        self.cuttable = not whole
         self._parts = re.compile(r"(?s).+" if whole else rf"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+").findall
         #: Marks that no piece joins to a letter before them: words are looked up without them.
-        self._marks = "" if whole else "".join(c for c in ",.!?;:" if not any(b == c and a.isalpha() for p in several for a, b in zip(p, p[1:])))
+        self.marks = "" if whole else "".join(c for c in ",.!?;:" if not any(b == c and a.isalpha() for p in several for a, b in zip(p, p[1:])))
         #: For each piece, the longest piece that is a proper prefix of it, or the character it begins with.
         self._shorter: list[tuple[int, int] | None] = [None] * len(self.pieces)
         for piece, i in self.ids.items():
@@ -205,7 +207,7 @@ class PieceCodec:
         """Ids of a part that isn't among the recent ones; two generations of parts are kept."""
         out = self._older.get(part)
         if out is None:
-            core = part.rstrip(self._marks) if self._marks else part
+            core = part.rstrip(self.marks) if self.marks else part
             if core and core != part and core[-1].isalpha():
                 out = (self._recent.get(core) or self._part(core)) + self._packed(part[len(core) :])
             else:
@@ -217,6 +219,11 @@ class PieceCodec:
         self._recent[part] = out
         return out
 
+    def part_ids(self, part: str) -> bytes:
+        """Ids of a part of a text, with spaces escaped, that begins at a space or line feed after another sign."""
+        known = self._recent.get(part)
+        return known if known is not None else b"".join([self._recent.get(p) or self._part(p) for p in self._parts(part)])
+
     def _line(self, line: str, first: bool) -> list[bytes]:
         """Ids of the parts of a line: a part is a word with the run of spaces before it."""
         known, part = self._recent.get, self._part
