@@ -50,14 +50,18 @@ def ordered_turns(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
 
 
 def dense_names(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``df`` with ``name``: the number of the row's keys among all distinct ones, from 1, without gaps."""
+    """``df`` with ``name``: the number of the row's keys among all distinct ones, from 1, without gaps.
+
+    Keys that many rows have are counted before they are dealt; the join that gives the rows their numbers is of two
+    shuffled tables, one with a row for each key, so that Spark splits its large partitions (adaptive execution).
+    """
     buckets = 4 * shuffle_partitions(df.sparkSession)
     distinct = df.select(*keys).distinct().withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     ranked = distinct.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys)))
     sizes = ranked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_bucket", F.expr("sum(_n) OVER (ORDER BY _bucket) - _n").alias("_before"))  # one row for each bucket
     names = ranked.join(F.broadcast(before), "_bucket").select(*keys, (F.col("_before") + F.col("_rank")).alias(name))
-    return spread_join(df, names, keys, "conv")
+    return df.join(names, keys)
 
 
 def prefix_names(turns: DataFrame) -> DataFrame:
