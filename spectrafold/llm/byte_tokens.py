@@ -57,8 +57,7 @@ class ByteTokens:
             self.token_bytes[t["id"]] = t["content"].encode()
         self._blank = np.array([b[:1] == b" " for b in self.token_bytes])
         #: The same model for words that are already apart, in the characters of the vocabulary.
-        self._words = Tokenizer.from_file(path)
-        self._words.encode_special_tokens = True
+        self._words = Tokenizer(self.tokenizer.model)
         self._words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self._shown = {b: ord(c) for c, b in values.items()}
         self._recent: dict[str, bytes] = {}

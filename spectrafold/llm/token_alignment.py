@@ -21,6 +21,7 @@ length, and an empty table gives an empty one.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,12 +63,16 @@ def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Aligner:
     """Aligns texts, part by part."""
 
-    def __init__(self, a_path: str, b_path: str, cache_size: int = 150_000) -> None:
-        self.a, self.b = ByteTokens(a_path, plain=True, cache_size=50_000), PieceCodec(b_path, cache_size=50_000)
+    def __init__(self, a_path: str, b_path: str, cache_size: int = 100_000) -> None:
+        import sentencepiece
+
+        self.a, self.b = ByteTokens(a_path, plain=True, cache_size=20_000), PieceCodec(b_path, cache_size=20_000, pair_cache_size=50_000)
+        self.b_library = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes = self.a.token_bytes
         self.b_bytes = [bytes([self.b.byte_values[i]]) if i in self.b.byte_values else p.replace(SPACE, " ").encode() for i, p in enumerate(self.b.pieces)]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in all_], np.int64) for all_ in (self.a_bytes, self.b_bytes))
         self.marks = self.b.marks
+        self._spaced = np.array([p[:1] == SPACE for p in self.b.pieces])
         self.key_type = np.dtype(key_type(len(self.a_bytes), len(self.b_bytes)))
         self._recent: dict[str | tuple[str], Part] = {}
         self._older: dict[str | tuple[str], Part] = {}
@@ -100,7 +105,7 @@ class Aligner:
         keys = parts + whole
         texts = [*map(self.a.part_text, parts), *(" " + k[0] for k in whole)]
         a_ids = self.a.of_parts(parts) + self.a.encode_whole(texts[len(parts) :])
-        b_ids = [self.b.part_ids(t.replace(" ", SPACE)) for t in texts[: len(parts)]] + [self.b.encode(k[0])[4:-4] for k in whole]
+        b_ids = self._second(texts[: len(parts)]) + [self.b.encode(k[0])[4:-4] for k in whole]
         data = [t.encode() for t in texts]
         if not self._spell(b"".join(a_ids), b"".join(b_ids), b"".join(data)):
             spelt = [bool(d) and self._spell(*x) for *x, d in zip(a_ids, b_ids, data, data)]
@@ -124,6 +129,19 @@ class Aligner:
             self._recent[key] = (";".join(groups[start:end]).encode(), packed[width * start : width * end], len(x) // 4, len(y) // 4)
             start = end
 
+    def _second(self, texts: list[str]) -> list[bytes]:
+        """Ids of parts by the second tokenizer: words of letters many at once, told apart by their spaces."""
+        out: dict[str, bytes] = {}
+        words = [t for t in texts if t[:1] == " " and t[1:].isalpha()] if self.b.dummy_prefix else []
+        for start in range(0, len(words), 2000):
+            chunk = words[start : start + 2000]
+            ids = np.array(self.b_library.encode("".join(chunk)[1:]), "<u4")
+            starts = (4 * np.flatnonzero(self._spaced[ids])).tolist()
+            if len(starts) == len(chunk):
+                packed = ids.tobytes()
+                out.update(zip(chunk, [packed[x:y] for x, y in zip(starts, [*starts[1:], len(packed)])]))
+        return [out[t] if t in out else self.b.part_ids(t.replace(" ", SPACE)) for t in texts]
+
     def _spell(self, a: bytes, b: bytes, data: bytes) -> bool:
         """Whether the tokens of both have just these bytes."""
         return all(b"".join(map(all_.__getitem__, memoryview(ids).cast("I"))) == data for all_, ids in ((self.a_bytes, a), (self.b_bytes, b)))
@@ -134,7 +152,7 @@ class Aligner:
             self._older, self._recent = self._recent, {}
         recent, older = self._recent, self._older
         split = [self._parts(t) if t else [] for t in texts]
-        missing = {k for keys in split for k in keys if k not in recent}
+        missing = set().union(*split) - recent.keys()
         if older:
             known = missing & older.keys()
             recent.update((k, older[k]) for k in known)
@@ -164,10 +182,11 @@ def _aligner(a_path: str, b_path: str) -> Aligner:
     return _ALIGNERS[a_path, b_path]
 
 
-def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
+def align(df: DataFrame, a_path: str, b_path: str, text: str = "text", digest: bool = False) -> DataFrame:
     """``df`` without its text, with n_a, n_b, n_groups, groups, link_keys and link_times.
 
-    ``groups``: ``a1,a2|b1;a3|b2,b3``, the ids of the groups in order. ``link_keys``: the distinct keys of the links,
+    ``groups``: ``a1,a2|b1;a3|b2,b3``, the ids of the groups in order; with ``digest`` their SHA-256 in its place, an empty
+    string without tokens, so that the strings, longer than the texts, stay where they are made. ``link_keys``: the distinct keys of the links,
     ascending (``key_type``); ``link_times``: how often the text has each, as little-endian unsigned 32-bit integers.
     """
     added = [("n_a", T.LongType()), ("n_b", T.LongType()), ("n_groups", T.LongType()), ("groups", T.StringType()), ("link_keys", T.BinaryType()), ("link_times", T.BinaryType())]
@@ -183,6 +202,8 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFr
                 for groups, packed, n_a, n_b in aligner.align(batch.column(1).to_pylist()):
                     keys = np.frombuffer(packed, aligner.key_type)
                     distinct, times = np.unique(keys, return_counts=True)
+                    if digest:
+                        groups = hashlib.sha256(groups).hexdigest().encode() if n_a else b""
                     rows.append((n_a, n_b, len(keys), groups, distinct.tobytes(), times.astype("<u4").tobytes()))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
