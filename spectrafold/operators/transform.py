@@ -24,11 +24,20 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def mode_product(signal: DataFrame, matrix: DataFrame, axis: str, old: str, new: str, rows: int, value: str = "v") -> DataFrame:
+#: One value column, or several that go through the same joins and sums.
+Values = str | Sequence[str]
+
+
+def _listed(value: Values) -> list[str]:
+    return [value] if isinstance(value, str) else list(value)
+
+
+def mode_product(signal: DataFrame, matrix: DataFrame, axis: str, old: str, new: str, rows: int, value: Values = "v") -> DataFrame:
     """Multiply along one axis: value(new) = sum over old of matrix(old, new) * value(old)."""
-    keys = [c for c in signal.columns if c not in (axis, value)]
+    values = _listed(value)
+    keys = [c for c in signal.columns if c != axis and c not in values]
     m = _small(matrix.select(F.col(old).alias(axis), F.col(new).alias("_new"), F.col("u").alias("_u")), rows)
-    product = signal.join(m, axis).groupBy(*keys, "_new").agg(F.sum(F.col(value) * F.col("_u")).alias(value))
+    product = signal.join(m, axis).groupBy(*keys, "_new").agg(*[F.sum(F.col(v) * F.col("_u")).alias(v) for v in values])
     return product.withColumnRenamed("_new", axis).select(*signal.columns)
 
 
@@ -37,7 +46,7 @@ def _order(graph: AnyGraph) -> list[int]:
     return sorted(range(graph.ndim), key=lambda a: graph.shape[a])
 
 
-def gft(signal: DataFrame, graph: AnyGraph, value: str = "v") -> DataFrame:
+def gft(signal: DataFrame, graph: AnyGraph, value: Values = "v") -> DataFrame:
     """The graph Fourier transform: the axis columns become frequency numbers."""
     signal = inside(signal, graph)
     for a in _order(graph):
@@ -46,7 +55,7 @@ def gft(signal: DataFrame, graph: AnyGraph, value: str = "v") -> DataFrame:
     return signal
 
 
-def rgft(signal: DataFrame, graph: AnyGraph, value: str = "v") -> DataFrame:
+def rgft(signal: DataFrame, graph: AnyGraph, value: Values = "v") -> DataFrame:
     """The inverse transform."""
     for a in _order(graph):
         f = graph.factors[a]
@@ -74,13 +83,13 @@ def gain_array(graph: AnyGraph, g: Filter) -> np.ndarray:
     return np.broadcast_to(g.array(*lams), graph.shape).astype(float)
 
 
-def scale_spectral(signal: DataFrame, graph: AnyGraph, gain: Column, value: str = "v") -> DataFrame:
+def scale_spectral(signal: DataFrame, graph: AnyGraph, gain: Column, value: Values = "v") -> DataFrame:
     """Transform, multiply by a gain (a column of lam0, lam1, ...), transform back.
 
     Frequencies whose gain is 0 are dropped between the transforms.
     """
     spectral = with_frequencies(gft(signal, graph, value), graph).withColumn("_g", gain).where("_g <> 0")
-    scaled = spectral.withColumn(value, F.col(value) * F.col("_g")).select(*signal.columns)
+    scaled = spectral.withColumns({v: F.col(v) * F.col("_g") for v in _listed(value)}).select(*signal.columns)
     return rgft(scaled, graph, value)
 
 
@@ -113,7 +122,7 @@ def kernels(graph: AnyGraph, g: Filter, power: float | None = None) -> list[tupl
     return [(f"ax{a}", axis_kernel(graph.factors[a], F.exp(-F.col("lam") * (betas[a] * (power or 1)))), graph.factors[a].n ** 2) for a in _order(graph)]
 
 
-def apply_kernels(signal: DataFrame, matrices: list[tuple[str, DataFrame, int]], value: str = "v") -> DataFrame:
+def apply_kernels(signal: DataFrame, matrices: list[tuple[str, DataFrame, int]], value: Values = "v") -> DataFrame:
     for axis, kernel, rows in matrices:
         signal = mode_product(signal, kernel, axis, "i", "j", rows, value)
     return signal
