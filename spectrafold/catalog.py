@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import model_oracles
 from .functions import links
 from .functions.filters import NAMES, Filter, custom, multivariate, univariate
-from .operators import dense, distributed, linop, models, transform
+from .operators import dense, distributed, linop, models, tables, transform
 from .operators.graphs import Graph, ProductGraph
 from .plans import rules
 from .sources import signals
@@ -566,6 +566,14 @@ def gsr_sampler(spark, sf_dir):
     return sampled.join(model.marginal_variance(), ["ax0", "ax1"])
 
 
+@query()
+def gsr_sampler_tables(spark, sf_dir):
+    """Posterior variances from draws over tables, with their standard error, beside the exact ones."""
+    model = models.GSR(partial(day_type(spark, sf_dir)), day_type_graph(spark), univariate("diffusion", 0.4), 0.5)
+    sampled = model.on_tables().estimate_marginal_variance(32, seed=1).withColumnRenamed("variance", "sampled")
+    return sampled.join(model.marginal_variance(), ["ax0", "ax1"])
+
+
 def _months(signal: DataFrame) -> np.ndarray:
     """Covariates of the months: trend and season."""
     n = np.arange(signal.agg(F.max("ax0")).first()[0] + 1)
@@ -586,6 +594,20 @@ def kgr_orders(spark, sf_dir):
     return rounded(models.KGR(_kernel_signal(spark, sf_dir), region_graph(spark, sf_dir), univariate("diffusion", 0.2), 0.5, covariates=_months(y), kernel_std=1.0).solve(), digits=3)
 
 
+def _month_rows(signal: DataFrame) -> DataFrame:
+    """The covariates of the months as a table (t, x)."""
+    n = F.col("t").cast("double")
+    return signal.select(F.col("ax0").alias("t")).distinct().withColumn("x", F.array(n / 12, F.cos(2 * np.pi * n / 12), F.sin(2 * np.pi * n / 12)))
+
+
+@query(MODELS["kgr_orders"])
+def kgr_orders_tables(spark, sf_dir):
+    """The same over tables: the kernel of the months as an incomplete Cholesky factor, chosen and applied by joins."""
+    y = month_nation(spark, sf_dir)
+    model = tables.TableModel(_kernel_signal(spark, sf_dir), region_graph(spark, sf_dir), univariate("diffusion", 0.2), 0.5, rows=_month_rows(y), kernel_std=1.0)
+    return rounded(model.solve(), digits=3)
+
+
 @query()
 def kgr_orders_variance(spark, sf_dir):
     y = month_nation(spark, sf_dir)
@@ -600,6 +622,20 @@ def rnc_lineitem(spark, sf_dir):
     return rounded(models.RNC(y, month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).solve(), "v", "b", digits=3)
 
 
+@query(MODELS["rnc_lineitem"])
+def rnc_lineitem_tables(spark, sf_dir):
+    """The same over tables: the weights by a Schur complement, the cells by block conjugate gradients."""
+    y = month_flag(spark, sf_dir)
+    return rounded(models.RNC(y, month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).on_tables().solve(), "v", "b", digits=3)
+
+
+@query(MODELS["rnc_lineitem_weights"])
+def rnc_lineitem_weights_tables(spark, sf_dir):
+    """The weights of the features alone, over tables."""
+    y = month_flag(spark, sf_dir)
+    return rounded(models.RNC(y, month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).on_tables().fit().weights, "w")
+
+
 @query(MODELS["rnc_lineitem_weights"])
 def rnc_lineitem_weights(spark, sf_dir):
     y = month_flag(spark, sf_dir)
@@ -635,6 +671,13 @@ def lgsr_quality(spark, sf_dir):
     return rounded(models.LGSR(_high(y, 0.8), month_flag_graph(y), univariate("diffusion", 0.3), 0.5).solve(), digits=3)
 
 
+@query(MODELS["lgsr_quality"])
+def lgsr_quality_tables(spark, sf_dir):
+    """The same over tables: Newton steps whose systems are solved by conjugate gradients from the last solution."""
+    y = hour_quality(spark, sf_dir)
+    return rounded(models.LGSR(_high(y, 0.8), month_flag_graph(y), univariate("diffusion", 0.3), 0.5).on_tables().solve(), digits=3)
+
+
 @query(MODELS["lkgr_orders"])
 def lkgr_orders(spark, sf_dir):
     y = month_nation(spark, sf_dir)
@@ -649,6 +692,14 @@ def lrnc_lineitem(spark, sf_dir):
     return models.LRNC(_high(y, middle), month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).solve(classify=True)
 
 
+@query(MODELS["lrnc_lineitem"])
+def lrnc_lineitem_tables(spark, sf_dir):
+    """The same over tables: the Schur complement of the weights is made anew in each Newton step."""
+    y = month_flag(spark, sf_dir)
+    middle = y.agg(F.percentile_approx("v", 0.5)).first()[0]
+    return models.LRNC(_high(y, middle), month_flag_graph(y), univariate("diffusion", 0.4), 0.5, lam=1.0).on_tables().solve(classify=True)
+
+
 def _thirds(signal: DataFrame) -> DataFrame:
     low, high = signal.agg(F.percentile_approx("v", [1 / 3, 2 / 3])).first()[0]
     return signal.withColumn("v", F.when(F.col("v").isNotNull(), (F.col("v") > low).cast("double") + (F.col("v") > high).cast("double")))
@@ -661,6 +712,14 @@ def multiclass_lgsr_events(spark, sf_dir):
     return rounded(shares.select("ax0", "ax1", F.posexplode("p").alias("c", "p")), "p", digits=3)
 
 
+@query(MODELS["multiclass_lgsr_events"])
+def multiclass_lgsr_events_tables(spark, sf_dir):
+    """The same over tables: the classes are columns, coupled by the weights of each cell."""
+    y = partial(_thirds(day_type(spark, sf_dir)))
+    shares = models.MulticlassLGSR(y, day_type_graph(spark), univariate("diffusion", 0.4), 0.5, classes=3).on_tables().solve()
+    return rounded(shares.select("ax0", "ax1", F.posexplode("p").alias("c", "p")), "p", digits=3)
+
+
 @query(MODELS["multiclass_lkgr_orders"])
 def multiclass_lkgr_orders(spark, sf_dir):
     y = month_nation(spark, sf_dir)

@@ -4,7 +4,7 @@ Each model takes a signal table (axis columns, ``v`` with NULL for missing cells
 problem columns ``by``: each combination of their values is a problem of its own). Problems are solved in
 parallel, one Arrow group each, by the array solvers; the bases and gains of the graph go to the tasks with
 the function. A problem must fit one task: models refuse graphs of more than ``CELLS`` cells, for which
-``distributed.reconstruct`` solves with joins and aggregations instead.
+``tables.TableModel`` solves the same with joins and aggregations (``on_tables`` gives it for a model).
 
 Kernel models have a leading axis ``t`` whose rows have covariates; cohesion models have features ``x``
 (array of doubles, no nulls) in each cell.
@@ -50,13 +50,27 @@ class Model:
             raise ValueError(f"the signal lacks columns {sorted(missing)}")
         require_double(self.y, "v", *(["x"] if "x" in self.y.columns else []))
         if int(np.prod(self.shape)) > CELLS:
-            raise ValueError(f"more than {CELLS} cells; use distributed.reconstruct")
+            raise ValueError(f"more than {CELLS} cells; use tables.TableModel")
         if max(self.graph.shape) > DENSE_NODES:
-            raise ValueError(f"an axis of more than {DENSE_NODES} nodes; use distributed.reconstruct")
+            raise ValueError(f"an axis of more than {DENSE_NODES} nodes; use tables.TableModel")
 
     def with_gamma(self, gamma: float) -> Model:
         return replace(self, gamma=gamma)
 
+    def on_tables(self):
+        """The same model over tables, for one problem of any size."""
+        from .tables import TableModel
+
+        if self.by:
+            raise ValueError("models over tables have one problem")
+        link = "softmax" if isinstance(self, _Multiclass) else "logistic" if isinstance(self, _Logistic) else "gaussian"
+        covariates, rows = getattr(self, "covariates", None), None
+        if covariates is not None:
+            rows = self.y.sparkSession.createDataFrame([(t, x) for t, x in enumerate(np.asarray(covariates, float).tolist())], "t int, x array<double>")
+        return TableModel(
+            self.y, self.graph, self.filter, self.gamma, lam=getattr(self, "lam", None), rows=rows, kernel_std=getattr(self, "kernel_std", 1.0), link=link, classes=self.classes if link == "softmax" else 1
+        )
+
     def with_beta(self, *beta: float) -> Model:
         return replace(self, filter=self.filter.with_beta(*beta))
 
