@@ -1,7 +1,7 @@
 """The trie of all conversations: one node for each distinct sequence of first turns.
 
 Sequences get names by prefix doubling. Turns are named first, then blocks of 2, 4, 8 ... turns at places
-divisible by their length, each by the names of its halves; the names of a round are dense numbers of its
+divisible by their length, each by the names of its halves; the names of a round are (nearly) dense numbers of its
 distinct pairs. A prefix is made of such blocks, by the binary digits of its length from the highest: its name
 is that of the pair of the prefix without the last block and this block. There are as many rounds of joins as
 the number of turns has binary digits, twice; two prefixes are equal if length and name are.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, spread_join
+from .common import cut, shuffle_partitions
 
 #: Turns of one conversation that one task sums up.
 CHUNK = 4096
@@ -50,38 +50,40 @@ def ordered_turns(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
 
 
 def dense_names(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``df`` with ``name``: the number of the row's keys among all distinct ones, from 1, without gaps.
+    """``df`` with ``name``: a number of the row's keys among all distinct ones.
 
-    Keys that many rows have are counted before they are dealt; the join that gives the rows their numbers is of two
-    shuffled tables, one with a row for each key, so that Spark splits its large partitions (adaptive execution).
+    Distinct keys are dealt to buckets of about one size and numbered in each; the numbers of the buckets interleave, so that
+    they are dense but for the differences of the buckets' sizes, and no task sees all keys. Keys that many rows have are
+    counted before they are dealt; the join that gives the rows their numbers is of two shuffled tables, one with a
+    row for each key, so that Spark splits its large partitions (adaptive execution).
     """
     buckets = 4 * shuffle_partitions(df.sparkSession)
     distinct = df.select(*keys).distinct().withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    ranked = distinct.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys)))
-    sizes = ranked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_bucket", F.expr("sum(_n) OVER (ORDER BY _bucket) - _n").alias("_before"))  # one row for each bucket
-    names = ranked.join(F.broadcast(before), "_bucket").select(*keys, (F.col("_before") + F.col("_rank")).alias(name))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
+    names = distinct.select(*keys, (rank.cast("long") * buckets + F.col("_bucket")).alias(name))
     return df.join(names, keys)
 
 
 def prefix_names(turns: DataFrame) -> DataFrame:
     """conv, depth and name of every prefix of every conversation (``turns``: conv, pos from 1 without gaps, key)."""
-    start = dense_names(turns.select("conv", (F.col("pos") - 1).alias("start"), "key"), ["key"], "name")
-    level = cut(start.select("conv", "start", "name"))
-    longest = level.agg(F.max("start")).first()[0]
-    levels, size = [level], 1
-    while longest is not None and 2 * size <= longest + 1:
-        left = level.where(F.col("start") % (2 * size) == 0).select("conv", "start", F.col("name").alias("l"))
-        right = level.where(F.col("start") % (2 * size) == size).select("conv", (F.col("start") - size).alias("start"), F.col("name").alias("r"))
-        level = cut(dense_names(left.join(right, ["conv", "start"]), ["l", "r"], "name").select("conv", "start", "name"))
+    # blocks of a level: conv, at (which block of its length), name
+    first = dense_names(turns.select("conv", (F.col("pos") - 1).alias("at"), "key"), ["key"], "name")
+    level = cut(first.select("conv", "at", "name"))
+    longest = level.agg(F.max("at")).first()[0]
+    levels = [level]
+    while longest is not None and longest > 0:
+        left = level.where("at % 2 = 0").select("conv", (F.col("at") / 2).cast("long").alias("at"), F.col("name").alias("l"))
+        right = level.where("at % 2 = 1").select("conv", ((F.col("at") - 1) / 2).cast("long").alias("at"), F.col("name").alias("r"))
+        level = cut(dense_names(left.join(right, ["conv", "at"]), ["l", "r"], "name").select("conv", "at", "name"))
         levels.append(level)
-        size *= 2
-    blocks, prefixes = None, None
+        longest = (longest - 1) // 2
+    blocks = None
     for k, level in enumerate(levels):
-        sized = level.select("conv", "start", F.lit(1 << k).cast("long").alias("size"), "name")
+        size = F.lit(1 << k).cast("long")
+        sized = level.select("conv", (F.col("at") * size).alias("depth"), size.alias("size"), F.col("name").alias("r"))
         blocks = sized if blocks is None else blocks.unionByName(sized)
-    made = blocks.where("start = 0").select("conv", F.col("size").alias("depth"), "name")  # lengths with one binary digit
-    blocks = blocks.where("start > 0").select("conv", F.col("start").alias("depth"), "size", F.col("name").alias("r"))
+    blocks = cut(blocks)
+    made = blocks.where("depth = 0").select("conv", F.col("size").alias("depth"), F.col("r").alias("name"))  # lengths with one binary digit
     prefixes = made
     for _ in range(len(levels) - 1):  # one digit more in each round
         pairs = made.withColumnRenamed("name", "l").join(blocks, ["conv", "depth"]).where("size < (depth & -depth)")
@@ -156,13 +158,16 @@ def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     turns = cut(turns)
     prefixes = prefix_names(turns).join(turns.select("conv", F.col("pos").alias("depth"), "size"), ["conv", "depth"])
     lengths = turns.groupBy("conv").agg(F.max("pos").alias("n"))
-    rows = cut(spread_join(prefixes, lengths, ["conv"], "depth"))
-    key, ends = ["depth", "name"], F.col("depth") == F.col("n")
-    least = rows.groupBy(*key).agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("n_convs"), F.count_if(ends).alias("n_ends"))
+    rows = cut(prefixes)
+    key = ["depth", "name"]
+    ends = cut(rows.join(lengths.select("conv", F.col("n").alias("depth")), ["conv", "depth"]).select("conv", *key))
+    least = rows.groupBy(*key).agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("n_convs"))
+    least = least.join(ends.groupBy(*key).agg(F.count(F.lit(1)).alias("n_ends")), key, "left")
     # for each conversation: the depth from which it is the least member, and whether it is that of a childless node
     own = least.groupBy("conv").agg(F.min("depth").alias("own"), F.max((F.col("n_ends") == F.col("n_convs")).cast("long")).alias("leaf"))
-    own = cut(lengths.select("conv").join(own, "conv", "left").select("conv", F.coalesce("own", F.lit((1 << 63) - 1)).alias("own"), F.coalesce("leaf", F.lit(0)).alias("leaf")))
-    valued = spread_join(rows, own, ["conv"], "depth").withColumn("v", F.when(F.col("depth") < F.col("own"), F.col("size")).otherwise(0))
+    own = cut(own)
+    valued = rows.join(own, "conv", "left").select("conv", *key, F.coalesce("own", F.lit((1 << 63) - 1)).alias("own"), F.coalesce("leaf", F.lit(0)).alias("leaf"), "size")
+    valued = valued.withColumn("v", F.when(F.col("depth") < F.col("own"), F.col("size")).otherwise(0))
     nodes = cut(suffix_sums(valued, "v", "below").groupBy(*key).agg(
         F.min(F.struct("conv", "own")).alias("rep"), F.count(F.lit(1)).alias("n_convs"), F.sum("leaf").alias("n_leaves"), F.sum("below").alias("saved_tokens"),
     ).select(*key, F.col("rep.conv").alias("conv_id"), F.col("rep.own").alias("own"), "n_convs", "n_leaves", "saved_tokens"))
@@ -170,7 +175,7 @@ def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     # the parent of a node that its least member shares with lesser ones is found by the name of the prefix before it
     tops = nodes.where("depth = own and depth > 1").select(F.col("conv_id").alias("conv"), (F.col("depth") - 1).alias("depth"))
     tops = tops.join(rows.select("conv", *key), ["conv", "depth"])
-    above = spread_join(tops, nodes.select(*key, F.col("conv_id").alias("parent")), key, "conv").select(F.col("conv").alias("conv_id"), (F.col("depth") + 1).alias("depth"), "parent")
+    above = tops.join(nodes.select(*key, F.col("conv_id").alias("parent")), key).select(F.col("conv").alias("conv_id"), (F.col("depth") + 1).alias("depth"), "parent")
     inner = nodes.join(above, ["conv_id", "depth"], "left").crossJoin(F.broadcast(everyone.select(F.col("conv_id").alias("root"))))
     parent = F.when(F.col("depth") == 1, F.col("root")).when(F.col("depth") > F.col("own"), F.col("conv_id")).otherwise(F.col("parent"))
     inner = cut(inner.select(*key, "conv_id", parent.alias("parent_conv_id"), "n_convs", "n_leaves", "saved_tokens"))
@@ -181,7 +186,7 @@ def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
         F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"), F.coalesce("saved_tokens", F.lit(0)).alias("saved_tokens"),
     )
     turnless = conversations.join(lengths, "conv", "left_anti").select(F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("name"), "conv")
-    hashes = ids_hash(rows.where(ends).select(*key, "conv").unionByName(turnless))
+    hashes = ids_hash(ends.select(*key, "conv").unionByName(turnless))
     out = root.unionByName(inner).join(below, ["depth", "conv_id"], "left").join(hashes, key, "left")
     return out.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), "n_leaves", "saved_tokens",

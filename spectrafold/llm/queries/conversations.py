@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import prefix_trie
-from ..common import crc32_of_id, cut, spread_join, table
+from ..common import crc32_of_id, cut, table
 
 
 def rebuild(turns: DataFrame, convs: DataFrame) -> DataFrame:
@@ -12,7 +12,7 @@ def rebuild(turns: DataFrame, convs: DataFrame) -> DataFrame:
     heads = convs.select("conv", "n", (F.col("conv") - F.col("conv") % 5).alias("base"), (crc32_of_id("conv") % 9).alias("h"))
     heads = heads.join(convs.select(F.col("conv").alias("base"), F.col("n").alias("given")), "base", "left")
     heads = cut(heads.withColumn("taken", F.least("h", F.coalesce("given", F.lit(0)))))
-    own = spread_join(turns, heads.where("n > h").select("conv", "h", "taken"), ["conv"], "pos").where("pos > h")
+    own = turns.join(heads.where("n > h").select("conv", "h", "taken"), "conv").where("pos > h")  # one row for each conversation
     first = turns.where("pos <= 8").withColumnRenamed("conv", "base").join(heads.where("taken > 0").select("conv", "base", "h"), "base").where("pos <= h")
     return first.select("conv", "pos", "key", "size").unionByName(own.select("conv", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "key", "size"))
 
