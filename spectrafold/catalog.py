@@ -147,36 +147,64 @@ _GAINS = {
 # ---- constructors, validation, Laplacians -------------------------------------------------------------
 
 
-@query("SELECT CAST(i AS INTEGER) AS node, CAST(CASE WHEN i IN (0, 29) THEN 1 ELSE 2 END AS DOUBLE) AS degree FROM range(30) t(i)")
+_MONTHS = "months AS (SELECT CAST(row_number() OVER (ORDER BY month) - 1 AS INTEGER) AS i FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders))"
+_NATIONS = "nations AS (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS i FROM nation)"
+_REGIONS = "regions AS (SELECT CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS INTEGER) AS i FROM region)"
+
+
+def _size(spark: SparkSession, sf_dir: str, table: str) -> int:
+    return signals.read(spark, sf_dir, table).count()
+
+
+def order_months(spark: SparkSession, sf_dir: str) -> int:
+    """How many months have orders."""
+    return signals.read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct().count()
+
+
+def event_hours(spark: SparkSession, sf_dir: str) -> int:
+    """How many hours have events."""
+    return signals.read(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("hour")).distinct().count()
+
+
+@query(f"""WITH {_MONTHS} SELECT i AS node, CAST(CASE WHEN i IN (0, (SELECT max(i) FROM months)) THEN 1 ELSE 2 END AS DOUBLE) AS degree FROM months""")
 def graph_chain_degree(spark, sf_dir):
-    return Graph.chain(spark, 30).degrees()
+    """The months with orders, each next to the following one."""
+    return Graph.chain(spark, order_months(spark, sf_dir)).degrees()
 
 
-@query("""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 2 ELSE -1 END AS DOUBLE) AS w
-FROM range(24) a(i), range(24) b(j) WHERE i = j OR (i - j + 24) % 24 IN (1, 23)""")
+@query("""WITH hours AS (SELECT CAST(row_number() OVER (ORDER BY hour) - 1 AS INTEGER) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date_trunc('hour', ts) AS hour FROM events))
+SELECT a.i, b.i AS j, CAST(CASE WHEN a.i = b.i THEN 2 ELSE -1 END AS DOUBLE) AS w FROM hours a, hours b WHERE a.i = b.i OR (a.i - b.i + a.n) % a.n IN (1, a.n - 1)""")
 def graph_loop_laplacian(spark, sf_dir):
-    return Graph.loop(spark, 24).laplacian()
+    """The hours with events on a loop."""
+    return Graph.loop(spark, event_hours(spark, sf_dir)).laplacian()
 
 
-@query("SELECT CAST(i AS INTEGER) AS src, CAST(j AS INTEGER) AS dst, CAST(1 AS DOUBLE) AS w FROM range(12) a(i), range(12) b(j) WHERE i <> j")
+@query(f"WITH {_NATIONS} SELECT a.i AS src, b.i AS dst, CAST(1 AS DOUBLE) AS w FROM nations a, nations b WHERE a.i <> b.i")
 def graph_complete_edges(spark, sf_dir):
-    return Graph.complete(spark, 12).edges
+    """All nations next to each other."""
+    return Graph.complete(spark, _size(spark, sf_dir, "nation")).edges
 
 
-@query("""SELECT i * 6 + j AS src, p * 6 + q AS dst, CAST(1 AS DOUBLE) AS w FROM range(5) a(i), range(6) b(j), range(5) c(p), range(6) d(q)
-WHERE abs(i - p) + abs(j - q) = 1""")
+@query(f"""WITH {_MONTHS}, {_NATIONS}, s AS (SELECT count(*) AS n FROM nations)
+SELECT m.i * n + k.i AS src, p.i * n + q.i AS dst, CAST(1 AS DOUBLE) AS w FROM s, months m, nations k, months p, nations q
+WHERE (p.i = m.i AND abs(k.i - q.i) = 1) OR (q.i = k.i AND abs(m.i - p.i) = 1)""")
 def graph_lattice_edges(spark, sf_dir):
-    return ProductGraph.lattice(spark, 5, 6).edges()
+    """Months with orders by nations, as a lattice."""
+    return ProductGraph.lattice(spark, order_months(spark, sf_dir), _size(spark, sf_dir, "nation")).edges()
 
 
-@query("SELECT i AS node, CAST(4 AS DOUBLE) AS degree FROM range(30) t(i)")
+@query(f"WITH {_DAY_TYPE} SELECT CAST(ax0 * (SELECT count(*) FROM types) + ax1 AS BIGINT) AS node, CAST(4 AS DOUBLE) AS degree FROM sig")
 def graph_torus_degree(spark, sf_dir):
-    return ProductGraph.torus(spark, 5, 6).edges().groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("degree"))
+    """Days by types of events, as a torus."""
+    days, types = day_type(spark, sf_dir).agg(F.max("ax0") + 1, F.max("ax1") + 1).first()
+    return ProductGraph.torus(spark, days, types).edges().groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("degree"))
 
 
-@query("SELECT CAST(2 * (3 * (3 * 4 + 4 * 3 - 4 - 3 + 0) + 12 * 3) AS BIGINT) AS edges, CAST(36 AS BIGINT) AS nodes")
+@query("""WITH s AS (SELECT (SELECT count(*) FROM region) AS w, (SELECT count(*) FROM nation) AS h)
+SELECT CAST(2 * (3 * ((w - 1) * h + w * (h - 1)) + w * h * 3) AS BIGINT) AS edges, CAST(3 * w * h AS BIGINT) AS nodes FROM s""")
 def graph_image_size(spark, sf_dir):
-    edges = ProductGraph.image(spark, 3, 4).edges()
+    """Regions by nations by three colours."""
+    edges = ProductGraph.image(spark, _size(spark, sf_dir, "region"), _size(spark, sf_dir, "nation")).edges()
     return edges.agg(F.count("*").alias("edges"), F.countDistinct("src").alias("nodes"))
 
 
@@ -187,32 +215,36 @@ def nation_region_laplacian(spark, sf_dir):
     return region_graph(spark, sf_dir).laplacian().select(F.col("i").cast(kind), F.col("j").cast(kind), "w")
 
 
-@query("SELECT * FROM (VALUES ('connected', true, true), ('regular', true, true), ('tree', true, true)) t(graph, connected, expected)")
+@query("""WITH s AS (SELECT count(*) AS n FROM supplier)
+SELECT 'tree' AS graph, CAST(n AS BIGINT) AS nodes, CAST(n - 1 AS BIGINT) AS edges, CAST(1 AS BIGINT) AS components FROM s
+UNION ALL SELECT 'connected', n, NULL, 1 FROM s UNION ALL SELECT 'regular', n - n % 2, CAST(n // 2 * 3 AS BIGINT), NULL FROM s""")
 def graph_random_invariants(spark, sf_dir):
-    """Random graphs: whether they are connected (regular: of equal degrees) and as large as they must be."""
-    rows = []
-    for name, g in (("tree", Graph.random_tree(spark, 40, 3)), ("connected", Graph.random_connected(spark, 40, seed=3)), ("regular", Graph.random_regular(spark, 20, 3, 1))):
-        low, high = g.degrees().agg(F.min("degree"), F.max("degree")).first()
-        edges = g.edges.count() // 2
-        fine = {"tree": edges == 39, "connected": edges >= 39, "regular": edges == 30}[name]
-        rows.append((name, bool(low == high == 3.0) if name == "regular" else bool(np.sum(g.lam < 1e-9) == 1), bool(fine)))
-    return spark.createDataFrame(rows, "graph string, connected boolean, expected boolean")
-
-
-@query("""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i <> j THEN -1 WHEN i IN (0, 9) THEN 1 ELSE 2 END AS DOUBLE) AS w
-FROM range(10) a(i), range(10) b(j) WHERE abs(i - j) <= 1""")
+    """Random graphs of the suppliers: their edges and components, as far as these aren't random."""
+    n, rows = _size(spark, sf_dir, "supplier"), []
+    for name, g in (("tree", Graph.random_tree(spark, n, 3)), ("connected", Graph.random_connected(spark, n, seed=3)), ("regular", Graph.random_regular(spark, n - n % 2, 3, 1))):
+        sizes = g.edges.groupBy("src").count().agg(F.count("*").alias("nodes"), F.min("count").alias("low"), F.max("count").alias("high"), (F.sum("count") / 2).cast("long").alias("edges")).first()
+        if name == "regular" and not sizes["low"] == sizes["high"] == 3:
+            raise AssertionError("a regular graph has nodes of other degrees")
+        rows.append((name, sizes["nodes"], None if name == "connected" else sizes["edges"], None if name == "regular" else int(np.sum(g.lam < 1e-9))))
+    return spark.createDataFrame(rows, "graph string, nodes long, edges long, components long")
+
+
+@query(f"""WITH {_MONTHS} SELECT a.i, b.i AS j, CAST(CASE WHEN a.i <> b.i THEN -1 WHEN a.i IN (0, (SELECT max(i) FROM months)) THEN 1 ELSE 2 END AS DOUBLE) AS w
+FROM months a, months b WHERE abs(a.i - b.i) <= 1""")
 def laplacian_round_trip(spark, sf_dir):
     """Adjacency to Laplacian to a graph and back, with both checks."""
-    chain = Graph.chain(spark, 10)
-    return Graph.from_laplacian(chain.laplacian(), 10).laplacian()
+    n = order_months(spark, sf_dir)
+    return Graph.from_laplacian(Graph.chain(spark, n).laplacian(), n).laplacian()
 
 
-@query("SELECT 'asymmetric' AS matrix, CAST(2 AS BIGINT) AS faults UNION ALL SELECT 'symmetric', CAST(0 AS BIGINT)")
+@query("""SELECT 'symmetric' AS matrix, CAST(0 AS BIGINT) AS faults UNION ALL
+SELECT 'asymmetric', CAST(2 * count(*) AS BIGINT) FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey AND a.n_nationkey % 2 = 0""")
 def validate_adjacency(spark, sf_dir):
+    """The nations of a region next to each other, whole, and without one direction of some pairs."""
     from .operators.graphs import asymmetric
 
-    edges = Graph.chain(spark, 10).edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
-    bad = edges.where("not (i = 3 and j = 4)")
+    edges = _peers(spark, sf_dir)
+    bad = edges.where("not (i < j and i % 2 = 0)")
     count = lambda t, name: asymmetric(t).agg(F.lit(name).alias("matrix"), F.count("*").alias("faults"))
     return count(edges, "symmetric").union(count(bad, "asymmetric"))
 
@@ -570,7 +602,7 @@ def gsr_sampler(spark, sf_dir):
 def gsr_sampler_tables(spark, sf_dir):
     """Posterior variances from draws over tables, with their standard error, beside the exact ones."""
     model = models.GSR(partial(day_type(spark, sf_dir)), day_type_graph(spark), univariate("diffusion", 0.4), 0.5)
-    sampled = model.on_tables().estimate_marginal_variance(32, seed=1).withColumnRenamed("variance", "sampled")
+    sampled = model.on_tables().estimate_marginal_variance(16, seed=1).withColumnRenamed("variance", "sampled")
     return sampled.join(model.marginal_variance(), ["ax0", "ax1"])
 
 
@@ -775,44 +807,63 @@ def graph_from_network(spark, sf_dir):
     return Graph.of(spark, network=_Network(list(range(25)), [(r["i"], r["j"], r["w"]) for r in rows])).degrees()
 
 
-_LATTICE = """SELECT i * 6 + j AS src, p * 6 + q AS dst, CAST(1 AS DOUBLE) AS w FROM range(5) a(i), range(6) b(j), range(5) c(p), range(6) d(q)
-WHERE abs(i - p) + abs(j - q) = 1"""
+_NATION_REGION = f"""WITH {_REGIONS}, s AS (SELECT count(*) AS n FROM regions), peers AS (
+  SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey)
+SELECT CAST(p.i AS BIGINT) * n + r.i AS src, CAST(p.j AS BIGINT) * n + r.i AS dst, CAST(1 AS DOUBLE) AS w FROM s, peers p, regions r
+UNION ALL SELECT CAST(k.n_nationkey AS BIGINT) * n + r.i, CAST(k.n_nationkey AS BIGINT) * n + q.i, CAST(1 AS DOUBLE) FROM s, nation k, regions r, regions q WHERE abs(r.i - q.i) = 1"""
+
+
+def _nation_region(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """The adjacency matrices of nations (of one region) and of a chain of regions, and their sizes."""
+    regions = _size(spark, sf_dir, "region")
+    chain = Graph.chain(spark, regions).edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
+    return _peers(spark, sf_dir), chain, (_size(spark, sf_dir, "nation"), regions)
 
 
-@query(_LATTICE)
+@query(_NATION_REGION)
 def product_from_matrices(spark, sf_dir):
-    """A lattice from the adjacency matrices of its factors."""
-    paths = [np.eye(n, k=1) + np.eye(n, k=-1) for n in (5, 6)]
-    return ProductGraph.from_adjacency(*paths, spark=spark).edges()
+    """Nations by regions from the adjacency matrices of both."""
+    return ProductGraph.from_adjacency(*_nation_region(spark, sf_dir)[:2]).edges()
 
 
-@query(_LATTICE)
+@query(_NATION_REGION)
 def product_from_laplacians(spark, sf_dir):
-    laps = [np.diag([1.0] + [2.0] * (n - 2) + [1.0]) - np.eye(n, k=1) - np.eye(n, k=-1) for n in (5, 6)]
-    return ProductGraph.from_laplacian(*laps, spark=spark).edges()
+    from .operators.graphs import adjacency_to_laplacian
+
+    return ProductGraph.from_laplacian(*map(adjacency_to_laplacian, _nation_region(spark, sf_dir)[:2])).edges()
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int]]:
+    """The adjacency matrix of the product of both, by its own joins."""
+    peers, chain, (n, m) = _nation_region(spark, sf_dir)
+    flat = lambda i, r: (F.col(i).cast("long") * m + F.col(r))
+    along = peers.crossJoin(spark.range(m).withColumnRenamed("id", "r")).select(flat("i", "r").alias("i"), flat("j", "r").alias("j"), "w")
+    across = chain.crossJoin(spark.range(n).withColumnRenamed("id", "k")).select(flat("k", "i").alias("i"), flat("k", "j").alias("j"), "w")
+    return along.union(across), (n, m)
 
 
-@query(_LATTICE)
+@query(_NATION_REGION)
 def product_from_whole_adjacency(spark, sf_dir):
     """The factors found again in the Kronecker sum of their adjacency matrices."""
-    whole = ProductGraph.lattice(spark, 5, 6).edges().select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
-    return ProductGraph.of((5, 6), adjacency=whole).edges()
+    whole, shape = _whole(spark, sf_dir)
+    return ProductGraph.of(shape, adjacency=whole).edges()
 
 
-@query(_LATTICE)
+@query(_NATION_REGION)
 def product_from_whole_laplacian(spark, sf_dir):
     from .operators.graphs import adjacency_to_laplacian
 
-    edges = ProductGraph.lattice(spark, 5, 6).edges().select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
-    return ProductGraph.of((5, 6), laplacian=adjacency_to_laplacian(edges)).edges()
+    whole, shape = _whole(spark, sf_dir)
+    return ProductGraph.of(shape, laplacian=adjacency_to_laplacian(whole)).edges()
 
 
-@query("SELECT CAST(a AS INTEGER) AS axis, CAST(n - 1 AS BIGINT) AS least, true AS fine FROM (VALUES (0, 7), (1, 9)) t(a, n)")
+@query("""SELECT CAST(0 AS INTEGER) AS axis, count(*) AS nodes, CAST(1 AS BIGINT) AS components FROM supplier
+UNION ALL SELECT 1, count(*), 1 FROM nation""")
 def product_random_connected(spark, sf_dir):
-    """Whether each random factor is connected: edges enough, and no smaller sum of squares than one constant vector allows."""
-    g = ProductGraph.random_connected(spark, 7, 9, seed=4)
-    rows = [(a, f.n - 1, bool(f.edges.count() // 2 >= f.n - 1 and np.sum(f.lam < 1e-9) == 1)) for a, f in enumerate(g.factors)]
-    return spark.createDataFrame(rows, "axis int, least long, fine boolean")
+    """Random connected graphs of suppliers and of nations: their nodes and components."""
+    g = ProductGraph.random_connected(spark, _size(spark, sf_dir, "supplier"), _size(spark, sf_dir, "nation"), seed=4)
+    rows = [(a, f.edges.select("src").distinct().count(), int(np.sum(f.lam < 1e-9))) for a, f in enumerate(g.factors)]
+    return spark.createDataFrame(rows, "axis int, nodes long, components long")
 
 
 @query(f"WITH {_DAY_TYPE} SELECT ax0, ax1, v FROM sig")

@@ -37,7 +37,7 @@ from .models import Fitted
 from .transform import SPECTRAL_NODES, apply_kernels, chebyshev, kernels, mode_product, scale_spectral
 
 #: Draws that are solved together.
-BLOCK = 8
+BLOCK = 16
 #: Pivots that a pass over the rows of a kernel adds.
 PIVOTS = 16
 

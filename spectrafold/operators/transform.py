@@ -8,7 +8,7 @@ only if its size, known from the graph, is small.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -219,20 +219,53 @@ def unflatten(flat: Column, graph: AnyGraph) -> list[Column]:
 CUT_EVERY = 5
 
 
-def chebyshev(signal: DataFrame, graph: AnyGraph, g: Filter, degree: int = 20, value: str = "v", power: float | None = None) -> DataFrame:
+#: The largest error of a polynomial gain, and the largest degree, by which filters on large graphs are made.
+GAIN_ERROR, MAX_DEGREE = 1e-8, 400
+
+
+def largest_frequency(graph: AnyGraph) -> float:
+    """A bound on the frequencies: 4 for chains and loops, n for complete graphs, twice the largest degree for others."""
+    top = 0.0
+    for f in graph.factors:
+        known = {"chain": 4.0, "loop": 4.0, "complete": float(f.n)}
+        top += known[f.kind] if f.kind in known else 2 * (f.degrees().agg(F.max("degree")).first()[0] or 0.0)
+    return top or 1.0
+
+
+def chebyshev_coefficients(gain: Callable[[np.ndarray], np.ndarray], top: float, degree: int | None = None, error: float = GAIN_ERROR) -> list[float]:
+    """Coefficients of a gain on [0, top]; without a degree, as many as it takes for an error below ``error``.
+
+    The polynomial differs from the gain by at most the sum of the coefficients that are left out. These are told
+    from eight times as many terms as are allowed; a gain whose terms don't fade by then (a step, a kink) is refused.
+    """
+    n = degree + 1 if degree is not None else 8 * MAX_DEGREE
+    angles = np.pi * (np.arange(n) + 0.5) / n
+    values = gain((np.cos(angles) + 1) * top / 2)
+    if degree is not None:
+        return [2 / n * float((values * np.cos(j * angles)).sum()) for j in range(n)]
+    c = np.array([2 / n * float((values * np.cos(j * angles)).sum()) for j in range(n)])
+    left = np.cumsum(np.abs(c[::-1]))[::-1]  # of this term and those after it
+    # terms beyond these fold into them: what the last eighth holds tells how slowly they fade
+    enough = np.flatnonzero(left <= error / 2)
+    if not len(enough) or enough[0] > MAX_DEGREE + 1 or left[-n // 8] > error / 100:
+        raise ValueError(f"a polynomial of {MAX_DEGREE} terms doesn't come within {error} of this gain on frequencies up to {top}")
+    return c[: max(1, int(enough[0]))].tolist()
+
+
+def chebyshev(signal: DataFrame, graph: AnyGraph, g: Filter, degree: int | None = None, value: str = "v", power: float | None = None) -> DataFrame:
     """g(L) for a univariate filter by a Chebyshev polynomial: edge joins only, for graphs too large to decompose.
 
+    Without a degree the gain is met to ``GAIN_ERROR`` at every frequency, or the filter is refused.
+
     A step of the three-term recurrence is one pass: each cell sends its value to its neighbours (lists joined
     by node, broadcast where they are small) and itself, and one sum gathers them. The state is cut at the
     checkpoint folder every few steps.
     """
     if g.multivariate:
         raise ValueError("a polynomial in the whole Laplacian takes a univariate filter")
-    # no frequency exceeds twice the largest degree; the axes add up
-    top = sum(2 * (f.degrees().agg(F.max("degree")).first()[0] or 0.0) for f in graph.factors) or 1.0
-    nodes = np.cos(np.pi * (np.arange(degree + 1) + 0.5) / (degree + 1))
-    values = g.array((nodes + 1) * top / 2) ** (1.0 if power is None else power)
-    c = [2 / (degree + 1) * float((values * np.cos(j * np.arccos(nodes))).sum()) for j in range(degree + 1)]
+    top = largest_frequency(graph)  # the axes add up
+    c = chebyshev_coefficients(lambda lam: g.array(lam) ** (1.0 if power is None else power), top, degree)
+    degree = len(c) - 1
     names, keys = axes(graph), [k for k in signal.columns if k != value]
     near = [cut(f.neighbours()) if f.kind == "edges" else f.neighbours() for f in graph.factors]
     sizes = [{"chain": 3, "loop": 3}.get(f.kind, f.n) * f.n for f in graph.factors]

@@ -119,3 +119,28 @@ def test_frames(spark):
     frame = pd.DataFrame([[1.0, None], [3.0, 4.0]], index=["a", "b"], columns=["x", "y"])
     signal, labels = signals.from_pandas(spark, frame)
     assert signals.to_pandas(signal, labels).equals(frame)
+
+
+@pytest.mark.parametrize("name", ["random_walk", "diffusion", "relu", "sigmoid", "bandlimited"])
+@pytest.mark.parametrize(("beta", "top"), [(0.4, 4.0), (10.0, 4.0), (0.4, 20_001.0), (0.01, 50.0)])
+def test_polynomial_gains_are_right_or_refused(name, beta, top):
+    g, x = univariate(name, beta), np.linspace(0, top, 20_001)
+    try:
+        c = transform.chebyshev_coefficients(lambda lam: g.array(lam), top)
+    except ValueError as e:
+        assert "doesn't come within" in str(e) and (name in ("relu", "bandlimited") or top > 1000)
+        return
+    assert np.abs(np.polynomial.chebyshev.chebval(2 * x / top - 1, [c[0] / 2, *c[1:]]) - g.array(x)).max() <= transform.GAIN_ERROR
+    assert len(c) <= transform.MAX_DEGREE + 1
+
+
+def test_long_axes_refuse_steps_and_have_small_errors(spark):
+    n = transform.SPECTRAL_NODES + 1
+    graph = Graph.loop(spark, n)
+    y = spark.range(n).select(F.col("id").cast("int").alias("ax0"), F.cos(2 * np.pi * 100 * F.col("id") / n).alias("v"))  # an eigenvector
+    lam = 2 - 2 * np.cos(2 * np.pi * 100 / n)
+    got = transform.filter_signal(y, graph, univariate("random_walk", 50.0)).join(y.withColumnRenamed("v", "w"), "ax0")
+    assert got.agg(F.max(F.abs(F.col("v") - F.col("w") / (1 + 50 * lam)))).first()[0] < 1e-5
+    with pytest.raises(ValueError, match="doesn't come within"):
+        transform.filter_signal(y, graph, univariate("bandlimited", 1.0))
+    assert transform.largest_frequency(ProductGraph(Graph.complete(spark, 7), Graph.chain(spark, 3))) == 11
