@@ -294,14 +294,20 @@ class Judge:
     """Tells which elements of a page stay. ``names``: whether classes, ids and forms count."""
 
     def __init__(self, weight: dict[int, float], names: bool) -> None:
-        self.weight, self.names, self.inside = weight, names, False
+        self.weight, self.names = weight, names
+        self.mains: list[Node] = []
 
-    def keeps(self, node: Node) -> bool:
+    def marked(self, node: Node) -> bool:
+        """Whether tag, role or names say that an element isn't content."""
+        return node.tagged < 0 or self.names and node.named < 0
+
+    def keeps(self, node: Node, inside: bool) -> bool:
+        """Whether an element stays; ``inside``: of an article or main element."""
         if node.empty or node.tag in VOID:  # a void element parts words
             return not node.empty
         odds = node.tagged + (node.named if self.names else 0.0)
         if odds >= 0:
-            odds += PRIORS["prose"] if node.tag in PROSE or node.tag in INLINE else PRIORS["in main"] if self.inside else 0.0
+            odds += PRIORS["prose"] if node.tag in PROSE or node.tag in INLINE else PRIORS["in main"] if inside else 0.0
         odds += _BASE
         importance = self.weight.get(id(node))
         if importance is not None:
@@ -309,47 +315,57 @@ class Judge:
             ratio = importance / (1 - importance) if importance < 1 else high
             evidence = math.log(min(max(ratio, low), high))
             # an article is never a template, however many copies of it the host has
-            odds += max(0.0, evidence) if node.tag in ("html", "body", "article", "main") else evidence
+            odds += max(0.0, evidence) if node.tag in ("html", "body", *MAIN_TAGS) else evidence
         return odds >= 0
 
-    def roots(self, root: Node) -> list[Node]:
-        """The outermost articles, or else main elements, that stay; or else the whole page. Forms may wrap them."""
+    def within(self, branch: Node) -> list[Node]:
+        """The outermost articles, or else main elements, that stay in a branch that doesn't."""
         for wanted in ("article", "main"):
-            found, rest = [], [root]
+            found, rest = [], [branch]
             while rest:
                 node = rest.pop()
-                if node is not root and not self.keeps(node) and (node.empty or node.tag != "form"):
-                    # a branch of low importance may hold an article, a marked one may not
-                    if node.empty or node.tagged < 0 or self.names and node.named < 0:
-                        continue
-                if node.tag == wanted and self.keeps(node):
+                if node is not branch and (node.empty or self.marked(node) and node.tag != "form"):
+                    continue
+                if node.tag == wanted and self.keeps(node, False):
                     found.append(node)
                 else:
                     rest += [c for c in reversed(node.children) if isinstance(c, Node)]
             if found:
                 return found
-        return [root]
+        return []
 
-    def text(self, roots: list[Node]) -> str:
+    def text(self, root: Node) -> str:
         """The texts of what stays, in page order."""
         out: list[str] = []
-        rest: list[Node | str] = list(reversed(roots))
+        rest: list[tuple[Node | str, bool]] = [(root, False)]
         while rest:
-            node = rest.pop()
+            node, inside = rest.pop()
             if isinstance(node, str):
                 out.append(node)
                 continue
+            if node.tag in MAIN_TAGS and not inside:
+                self.mains.append(node)
+                inside = True
             gap = "" if node.tag in INLINE else " "
             out.append(gap)
-            rest.append(gap)
+            rest.append((gap, inside))
             for child in reversed(node.children):
-                if isinstance(child, str) or self.keeps(child):
-                    rest.append(child)
-                elif self.inside and child.tag == "header" and not child.empty:
-                    rest.extend(reversed(headings(child)))
+                if isinstance(child, str) or self.keeps(child, inside):
+                    rest.append((child, inside))
+                elif child.empty:
+                    continue
+                elif inside and child.tag == "header" or self.names and child.tagged >= 0 and heads_article(child.mark):
+                    rest.extend((h, inside) for h in reversed(headings(child)))
+                elif child.tag == "form" or not self.marked(child):  # a branch of low importance may hold an article, a marked one may not
+                    rest.extend((n, inside) for n in reversed(self.within(child)))
         return " ".join("".join(out).split())
 
 
+def heads_article(mark: str) -> bool:
+    """Whether a class or id is that of the header of an article ("post-header"), not of the page."""
+    return any(parts[-1:] == ["header"] and not MAIN_MARKS.isdisjoint(parts) for parts in map(_PARTS.findall, re.split(r"[\s.@]+", mark)))
+
+
 def headings(node: Node) -> list[Node]:
     """The headings in an element."""
     found, rest = [], [node]
@@ -363,19 +379,18 @@ def headings(node: Node) -> list[Node]:
 
 
 def main_text(page: str | None, tree: Tree) -> tuple[str, float]:
-    """The main text of a page, and the mean importance of the elements it was taken from."""
+    """The main text of a page, and the mean importance of its articles (of the page, if it has none)."""
     if not page:
         return "", 0.0
     root = parse(page)
     weight = importances(assign_keys(root), tree)
     for names in (True, False):
         judge = Judge(weight, names)
-        roots = judge.roots(root)
-        judge.inside = roots[0].tag in MAIN_TAGS
-        text = judge.text(roots)
+        text = judge.text(root)
         if text:
             break
-    return text, sum(weight.get(id(n), 1.0) for n in roots) / len(roots)
+    mains = judge.mains or [root]
+    return text, sum(weight.get(id(n), 1.0) for n in mains) / len(mains)
 
 
 def _page_trees(df: DataFrame, tree: DataFrame) -> DataFrame:

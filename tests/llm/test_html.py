@@ -32,6 +32,12 @@ def text_of(page, tree=None):
         ("<nav>only a menu</nav>", ""),
         ("<div hidden>h</div><div aria-hidden=true>h</div><div style='display: none'>h</div>a", "a"),
         ("<div>a<br>b<hr>c</div>", "a b c"),
+        # an article isn't all that counts
+        ('<div class="post"><h1>Title</h1><p>The story itself.</p></div><section><article><p>Teaser one</p></article></section>', "Title The story itself. Teaser one"),
+        ("<main><h1>T</h1><article><p>a</p></article><p>the end</p></main>", "T a the end"),
+        ('<div class="post-header"><h1>T</h1><span>by me</span></div><article><p>a</p></article>', "T a"),
+        ('<div class="page-header"><h1>Site</h1></div><div id="header"><h1>S</h1></div><article><p>a</p></article>', "a"),
+        ('<main><aside class="related"><article><p>x</p></article></aside><p>a</p></main>', "a"),
     ],
 )
 def test_priors(page, want):
@@ -96,6 +102,14 @@ def test_pages_change_when_the_tree_is_emptied():
         assert len(text_of(page, tree).split()) >= 30
 
 
+def test_branches_of_low_importance_keep_their_articles():
+    page = "<body><div><div>Best prices</div><article><p>a</p></article><section><p>template</p></section></div></body>"
+    root = html_text.parse(page)
+    nodes = html_text.assign_keys(root)
+    tree = {(n.key, 1 if inner else 2): (0.0, 1) for n, inner in nodes if n.tag not in ("html", "body")}
+    assert html_text.main_text(page, tree)[0] == "a" and "Best prices" in html_text.main_text(page, {})[0]
+
+
 def test_odd_tables(spark):
     page = "<article><p>a</p></article>"
     rows = [(1, "http://h.test/1", page, "t", 5, None, "p", None)] * 2 + [(2, None, None, None, None, "x", None, 1), (3, "no url", "", "t", 1, "y", "q", 2), (4, "http://h.test/4", "<p>" + "long " * 200_000, "", 0, "", "", 0)]
