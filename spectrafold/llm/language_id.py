@@ -17,6 +17,7 @@ names; ``lang_pred`` and ``score`` replace columns of these names.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,6 @@ from .common import beside, unit_hash
 BITS = 15
 BUCKETS = 1 << BITS
 UNKNOWN = "und"
-_LETTERS = 0x30000
 _table: np.ndarray | None = None
 
 
@@ -39,7 +39,7 @@ def _letters() -> np.ndarray:
     """For each code point the code point of a letter, or a blank."""
     global _table
     if _table is None:
-        _table = np.array([i if chr(i).isalpha() else 32 for i in range(_LETTERS)], np.uint32)
+        _table = np.array([i if chr(i).isalpha() else 32 for i in range(sys.maxunicode + 1)], np.uint32)
     return _table
 
 
@@ -48,7 +48,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     if not text or not any(map(str.isalpha, text)):
         return None
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _letters()[np.minimum(codes, _LETTERS - 1)]
+    codes = _letters()[codes]
     blank = codes == 32
     codes = codes[~(blank & np.append(False, blank[:-1]))]
     found, value = [], np.zeros(len(codes), np.uint32)
