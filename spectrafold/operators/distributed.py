@@ -19,12 +19,12 @@ from ..functions.filters import Filter
 from ..plans.lineage import cut
 from .dense import NotConverged
 from .graphs import AnyGraph, axes, inside
-from .transform import SPECTRAL_NODES, apply_kernels, filter_signal, kernels
+from .transform import apply_kernels, beyond_bases, filter_signal, kernels
 
 
 def smoother(graph: AnyGraph, g: Filter) -> Callable[[DataFrame], DataFrame]:
     """H^2 as a function of signals, with its kernels written to the checkpoint folder if it has some."""
-    matrices = kernels(graph, g, 2.0) if max(graph.shape) <= SPECTRAL_NODES else None
+    matrices = None if beyond_bases(graph) else kernels(graph, g, 2.0)
     if matrices is None:
         return lambda signal: filter_signal(signal, graph, g, 2.0)
     held = [(axis, cut(kernel), rows) for axis, kernel, rows in matrices]

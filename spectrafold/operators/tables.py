@@ -34,7 +34,7 @@ from ..sources.signals import postprocess, require_double, statistics
 from .dense import NotConverged
 from .graphs import AnyGraph, axes, grid, inside
 from .models import Fitted
-from .transform import SPECTRAL_NODES, apply_kernels, chebyshev, kernels, mode_product, scale_spectral
+from .transform import apply_kernels, beyond_bases, chebyshev, kernels, mode_product, scale_spectral
 
 #: Draws that are solved together.
 BLOCK = 16
@@ -119,7 +119,7 @@ class Prior:
     def of(cls, graph: AnyGraph, g: Filter, gamma: float, kernel: RowKernel | None = None, draws: bool = False) -> Prior:
         held: dict[float, list | None] = {}
         for power in (2.0, 1.0) if draws else (2.0,):
-            matrices = kernels(graph, g, power) if max(graph.shape) <= SPECTRAL_NODES else None
+            matrices = None if beyond_bases(graph) else kernels(graph, g, power)
             held[power] = matrices and [(axis, cut(k), rows) for axis, k, rows in matrices]
         return cls(graph, g, gamma, kernel, held)
 
@@ -130,7 +130,7 @@ class Prior:
     def _filtered(self, signal: DataFrame, values: list[str], power: float) -> DataFrame:
         if self.held[power] is not None:
             return apply_kernels(signal, self.held[power], values)
-        if max(self.graph.shape) > SPECTRAL_NODES and not self.filter.multivariate:
+        if beyond_bases(self.graph) and not self.filter.multivariate:
             keys = [c for c in signal.columns if c not in values]
             long = signal.select(*keys, F.posexplode(F.array(*values)).alias("_value", "v"))
             out = chebyshev(long, self.graph, self.filter, power=power)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import Filter
 from ..plans.lineage import cut
-from .graphs import BROADCAST_ROWS, AnyGraph, Graph, axes, grid, inside
+from .graphs import BROADCAST_ROWS, DENSE_NODES, AnyGraph, Graph, axes, grid, inside
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -97,13 +97,18 @@ def scale_spectral(signal: DataFrame, graph: AnyGraph, gain: Column, value: Valu
 SPECTRAL_NODES = 20_000
 
 
+def beyond_bases(graph: AnyGraph) -> bool:
+    """Whether an axis has no basis table: closed spectra from ``SPECTRAL_NODES`` on, others from ``DENSE_NODES`` on."""
+    return any(f.n > (SPECTRAL_NODES if f.closed else DENSE_NODES) for f in graph.factors)
+
+
 def filter_signal(signal: DataFrame, graph: AnyGraph, g: Filter, power: float | None = None, value: str = "v") -> DataFrame:
     """g(L) applied to a signal, or a power of it.
 
     A separable filter is one matrix for each axis, so that an axis takes one join and sum instead of two.
-    Univariate filters on graphs with an axis of more than ``SPECTRAL_NODES`` nodes are Chebyshev polynomials.
+    Univariate filters on graphs with an axis too long for basis tables are Chebyshev polynomials, to a stated error.
     """
-    if max(graph.shape) > SPECTRAL_NODES and not g.multivariate:
+    if beyond_bases(graph) and not g.multivariate:
         return chebyshev(signal, graph, g, value=value, power=power)
     matrices = kernels(graph, g, power)
     if matrices is not None:

@@ -12,13 +12,13 @@ from ..functions.filters import Filter, multivariate, univariate
 from ..operators import distributed
 from ..operators.graphs import DENSE_NODES, AnyGraph
 from ..operators.models import CELLS, GSR
-from ..operators.transform import SPECTRAL_NODES, chebyshev, scale_spectral
+from ..operators.transform import beyond_bases, chebyshev, scale_spectral
 
 
 def closed_form(y: DataFrame, graph: AnyGraph, g: Filter, gamma: float) -> DataFrame:
     """The reconstruction of a fully observed signal: one filter, g^2 / (g^2 + gamma), one Catalyst plan."""
     gain = g.column(*[F.col(f"lam{a}") for a in range(graph.ndim)])
-    if max(graph.shape) > SPECTRAL_NODES and not g.multivariate:
+    if beyond_bases(graph) and not g.multivariate:
         return chebyshev(y, graph, Filter("custom", (1.0,), False, custom=lambda lam, _: shrinkage(_gain(g, lam), gamma)))
     return scale_spectral(y, graph, shrinkage(gain, gamma))
 

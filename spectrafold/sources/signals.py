@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A parquet table of a folder."""
@@ -32,19 +34,34 @@ def axis(df: DataFrame, label: str, number: str = "ax") -> DataFrame:
     """number, label: the distinct labels in order, numbered from 0.
 
     The labels of an axis are numbered in one task: they are as many as the axis is long, after the
-    distinct, which runs spread out.
+    distinct, which runs spread out. ``large_axis`` takes several, for axes of millions.
     """
     distinct = df.select(F.col(label).alias("label")).where("label is not null").distinct()
     return distinct.select((F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias(number), "label")
 
 
-def cube(df: DataFrame, labels: Sequence[str], value: Column, fill: float | None = None) -> tuple[DataFrame, list[DataFrame]]:
+def large_axis(df: DataFrame, label: str, number: str = "ax") -> DataFrame:
+    """The same for axes of any length: labels are sorted by ranges, and no task numbers more than one range.
+
+    The ranges are written to the checkpoint folder, since other ones would be drawn if they were made again.
+    """
+    distinct = df.select(F.col(label).alias("label")).where("label is not null").distinct()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(distinct.repartitionByRange(parts, "label").select("label", F.spark_partition_id().alias("_range")))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.expr("sum(_n) OVER (ORDER BY _range) - _n").alias("_before"))  # one row for each range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("label")) - 1
+    numbered = ranged.withColumn("_place", place).join(F.broadcast(before), "_range")
+    return numbered.select((F.col("_before") + F.col("_place")).cast("int").alias(number), "label")
+
+
+def cube(df: DataFrame, labels: Sequence[str], value: Column, fill: float | None = None, large: Sequence[str] = ()) -> tuple[DataFrame, list[DataFrame]]:
     """A signal (ax0, ax1, ..., v) of an aggregate of a table over label columns, and the axis dictionaries.
 
-    Every combination of labels is a cell; cells without rows have ``fill``.
+    Every combination of labels is a cell; cells without rows have ``fill``. ``large``: the labels with millions of values.
     """
     cells = df.groupBy(*labels).agg(value.cast("double").alias("v"))
-    dictionaries = [axis(cells, name, f"ax{a}") for a, name in enumerate(labels)]
+    dictionaries = [(large_axis if name in large else axis)(cells, name, f"ax{a}") for a, name in enumerate(labels)]
     grid = reduce(lambda one, other: one.join(other, how="cross"), [d.withColumnRenamed("label", name) for d, name in zip(dictionaries, labels)])
     full = grid.join(cells, list(labels), "left")
     return full.select(*[f"ax{a}" for a in range(len(labels))], nan_to_null(F.coalesce("v", F.lit(fill)) if fill is not None else F.col("v")).alias("v")), dictionaries

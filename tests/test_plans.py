@@ -144,3 +144,31 @@ def test_long_axes_refuse_steps_and_have_small_errors(spark):
     with pytest.raises(ValueError, match="doesn't come within"):
         transform.filter_signal(y, graph, univariate("bandlimited", 1.0))
     assert transform.largest_frequency(ProductGraph(Graph.complete(spark, 7), Graph.chain(spark, 3))) == 11
+
+
+def test_irregular_graphs_beyond_a_decomposition_are_filtered_by_their_edges(spark, monkeypatch):
+    rng, n = np.random.default_rng(8), 60
+    pairs = {tuple(sorted(rng.choice(n, 2, replace=False).tolist())) for _ in range(150)}
+    graph = Graph.from_edges(spark.createDataFrame(sorted(pairs), "src int, dst int"), n)
+    lap = np.zeros((n, n))
+    for a, b in pairs:
+        lap[a, b] = lap[b, a] = -1
+    lap -= np.diag(lap.sum(1))
+    v = rng.standard_normal(n)
+    y = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "ax0 int, v double")
+    monkeypatch.setattr(transform, "DENSE_NODES", 50)
+    monkeypatch.setattr(Graph, "_dense", property(lambda self: pytest.fail("a decomposition")))
+    lam, u = np.linalg.eigh(lap)
+    for g in (univariate("diffusion", 0.2), univariate("random_walk", 0.3)):
+        got = np.array([r["v"] for r in transform.filter_signal(y, graph, g).orderBy("ax0").collect()])
+        assert np.abs(got - u @ (g.array(lam) * (u.T @ v))).max() < 1e-6
+
+
+def test_large_axes_are_numbered_by_ranges(spark):
+    df = spark.range(30_000).select(F.format_string("k%06d", F.pmod(F.col("id") * 7919, F.lit(20_011))).alias("label")).union(spark.createDataFrame([(None,)], "label string"))
+    want = {r["label"]: r["ax0"] for r in signals.axis(df, "label", "ax0").collect()}
+    got = {r["label"]: r["ax0"] for r in signals.large_axis(df, "label", "ax0").collect()}
+    assert got == want and len(got) == 20_011
+    rows = spark.createDataFrame([("b", "x", 1.0), ("a", "y", 2.0)], "one string, two string, v double")
+    both = [{tuple(r) for r in signals.cube(rows, ["one", "two"], F.sum("v"), large=large)[0].collect()} for large in ((), ("one",))]
+    assert both[0] == both[1] and len(both[0]) == 4
