@@ -15,6 +15,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Tokenizers whose texts may be cut (fixed values of the file format).
 _PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
@@ -26,6 +28,25 @@ _IN_A_ROW = re.compile(r"\s\s").search
 _JOINED = "\0"
 
 
+#: Two signs of white space in a row, and the sign that marks parts, in the syntax of Arrow's patterns.
+_ODD = "[\\t-\\r\\x1c- \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}|\\x00"
+#: Words of letters that all versions of Unicode know.
+_WORD = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f]+$"
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of ``flat`` that begin at ``starts`` and have ``sizes``, one after another."""
+    before = np.cumsum(sizes) - sizes
+    return flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+
+def slices(texts: pa.StringArray, together: int = 16 << 20) -> list[tuple[int, int]]:
+    """The ranges of an array whose texts have about so many bytes together (one text, if it has more)."""
+    groups = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // together
+    bounds = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(texts)]
+    return [(a, b) for a, b in zip(bounds, bounds[1:]) if b > a]
+
+
 def byte_values() -> dict[str, int]:
     """The byte of each character in which byte-level vocabularies are written: printable bytes stand for themselves."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -67,13 +88,17 @@ class ByteTokens:
     def encode_whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_chunk(self, words: list[str]) -> np.ndarray:
+        """Ids of words, each with a blank before it, in one call."""
+        shown = f" {' '.join(words)}".encode().decode("latin-1").translate(self._shown)
+        shown = shown.replace(chr(self._shown[32]), " " + chr(self._shown[32]))
+        return np.array(self._words.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+
     def _encode_words(self, words: list[str]) -> None:
         """Add words of letters, each with a blank before it: many at once, told apart by their blanks."""
         for start in range(0, len(words), 2000):
             chunk = words[start : start + 2000]
-            shown = f" {' '.join(chunk)}".encode().decode("latin-1").translate(self._shown)
-            shown = shown.replace(chr(self._shown[32]), " " + chr(self._shown[32]))
-            ids = np.array(self._words.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+            ids = self._encode_chunk(chunk)
             starts = (4 * np.flatnonzero(self._blank[ids])).tolist()
             if len(starts) == len(chunk):
                 packed = ids.tobytes()
@@ -121,6 +146,85 @@ class ByteTokens:
             out[i] = ids
         return out
 
+    def encode_array(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an array without nulls, each with the end id, and where each text ends.
+
+        Texts are cut into parts, and each distinct part is encoded once, by array operations: words apart from the
+        marks after them, many at once; other parts one by one. Texts that can't be cut are encoded whole.
+        """
+        flat, n = self._encode_together(texts)
+        last = np.cumsum(n)
+        return np.insert(flat, last, np.uint32(end_id)), last + np.arange(1, len(n) + 1)
+
+    def _encode_together(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after another, and how many each has."""
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.cuttable else np.ones(len(texts), bool)
+        for special in self.special:
+            odd = odd | pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        if odd.any():  # both kinds apart, then in order
+            whole = [np.frombuffer(x, "<u4") for x in self.encode_whole(texts.filter(pa.array(odd)).to_pylist())]
+            flat, n = self._encode_parts(texts.filter(pa.array(~odd)))
+            starts, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            sizes[~odd], sizes[odd] = n, [len(x) for x in whole]
+            starts[~odd], starts[odd] = np.cumsum(n) - n, len(flat) + np.cumsum(sizes[odd]) - sizes[odd]
+            return gather(np.concatenate([flat, *whole]), starts, sizes), sizes
+        return self._encode_parts(texts)
+
+    def _encode_parts(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that can be cut."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        marked = pc.binary_join_element_wise(pa.scalar(_JOINED), texts, "")
+        lists = pc.split_pattern(pc.replace_substring(marked, "\n", f" {_JOINED}\n {_JOINED}"), " ")
+        coded = lists.flatten().dictionary_encode()
+        keys, occurs = coded.dictionary, coded.indices.to_numpy()
+        cores = pc.utf8_rtrim(keys, characters=_MARKS)
+        word = pc.match_substring_regex(cores, _WORD).to_numpy(zero_copy_only=False)
+        words = cores.filter(pa.array(word)).dictionary_encode()
+        cut_off = (pc.binary_length(keys).to_numpy() - pc.binary_length(cores).to_numpy()) * word
+        # pieces: the distinct words, the other keys, the distinct marks after words
+        others = keys.filter(pa.array(~word)).to_pylist()
+        marks = {""}
+        for size in np.unique(cut_off[cut_off > 0]).tolist():
+            marks |= set(pc.utf8_slice_codeunits(keys.filter(pa.array(cut_off == size)), -size).unique().to_pylist())
+        marks = sorted(marks)
+        flat, sizes = self._words_array(words.dictionary.to_pylist())
+        rest = [np.frombuffer(x, "<u4") for x in self.encode_whole([self.part_text(k) for k in others] + marks)]
+        flat = np.concatenate([flat, *rest])
+        sizes = np.concatenate([sizes, [len(x) for x in rest]]).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        n_words = len(words.dictionary)
+        first = np.empty(len(keys), np.int64)
+        first[word], first[~word] = words.indices.to_numpy(), n_words + np.arange(len(others))
+        second = np.full(len(keys), n_words + len(others) + marks.index(""))
+        for size in np.unique(cut_off[cut_off > 0]).tolist():
+            at = np.flatnonzero(cut_off == size)
+            found = pc.index_in(pc.utf8_slice_codeunits(keys.take(pa.array(at)), -size), pa.array(marks)).to_numpy()
+            second[at] = n_words + len(others) + found
+        pieces = np.stack([first, second], 1).ravel()
+        flat = gather(flat, starts[pieces], sizes[pieces])  # now by keys
+        sizes = sizes[first] + sizes[second]
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[occurs]
+        ends = np.concatenate([[0], np.cumsum(n)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return gather(flat, starts[occurs], n), np.diff(ends)
+
+    def _words_array(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, each with a blank before it, and how many each has."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for start in range(0, len(words), 2000):
+            chunk = words[start : start + 2000]
+            found = self._encode_chunk(chunk)
+            starts = np.flatnonzero(self._blank[found])
+            if len(starts) == len(chunk):
+                ids.append(found)
+                sizes.append(np.diff(starts, append=len(found)))
+            else:
+                alone = [np.frombuffer(x, "<u4") for x in self.encode_whole([" " + w for w in chunk])]
+                ids += alone
+                sizes.append(np.array([len(x) for x in alone]))
+        return np.concatenate(ids), np.concatenate(sizes)
+
     @staticmethod
     def part_text(key: str) -> str:
         """The text of a part."""

@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .byte_tokens import ByteTokens
+from .byte_tokens import ByteTokens, slices
 from .common import shuffle_partitions
 
 _TOKENS: dict[str, ByteTokens] = {}
@@ -51,18 +52,17 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _TOKENS:
             _TOKENS[tokenizer_path] = ByteTokens(tokenizer_path)
-        tokens, end = _TOKENS[tokenizer_path], np.array([end_id], "<u4").tobytes()
+        tokens = _TOKENS[tokenizer_path]
         file, place = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):  # so that a batch of long texts isn't held several times
-                batch = whole.slice(start, 512)
-                coded = [ids + end for ids in tokens.encode([t or "" for t in batch.column(1).to_pylist()])]
-                ends = np.cumsum([0] + [len(ids) // 4 for ids in coded])
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(coded))])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-                columns = [batch.column(0), pa.array(np.full(len(coded), file, "i4")), pa.array(place + ends[:-1]), pa.array(np.diff(ends).astype("i4")), lists]
-                place += int(ends[-1])
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for batch in batches:
+            docs, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+            for a, b in slices(texts):  # so that the ids of long texts don't add up
+                ids, ends = tokens.encode_array(texts.slice(a, b - a), end_id)
+                starts = np.append(0, ends)
+                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.view(np.int32)))
+                numbers = [np.full(b - a, file, "i4"), place + starts[:-1], np.diff(starts).astype("i4")]
+                yield pa.RecordBatch.from_arrays([docs.slice(a, b - a), *map(pa.array, numbers), lists], names=schema.names)
+                place += int(starts[-1])
 
     read = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     order = ["doc_id", F.xxhash64("text")]

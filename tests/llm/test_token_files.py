@@ -6,6 +6,7 @@ from array import array
 from pathlib import Path
 
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +31,16 @@ def test_ids_equal_the_library(plain):
         for text, ids, found in zip(chunk, tokens.encode(chunk), library.encode_batch(chunk, add_special_tokens=False)):
             assert array("I", ids).tolist() == found.ids, repr(text[:40])
             assert b"".join(tokens.token_bytes[i] for i in found.ids) == text.encode()
+        ids, ends = tokens.encode_array(pa.array(chunk), 2)
+        for text, a, b, found in zip(chunk, [0, *ends], ends, library.encode_batch(chunk, add_special_tokens=False)):
+            assert ids[a:b].tolist() == found.ids + [2], repr(text[:40])
+    assert [x.tolist() for x in tokens.encode_array(pa.array([], pa.string()), 2)] == [[], []]
+
+
+def test_slices():
+    texts = pa.array(["a" * 10, "b" * 25, "", "c" * 3, "d" * 100, "e"])
+    found = byte_tokens.slices(texts, 20)
+    assert [i for a, b in found for i in range(a, b)] == list(range(6)) and len(found) > 2 and byte_tokens.slices(texts[:0]) == []
 
 
 def plain_rows(docs):
