@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.filters import Filter
+from ..functions.filters import NAMES, Filter
 from ..plans.lineage import cut
 from ..sources.signals import postprocess, require_double, statistics
 from .dense import NotConverged
 from .graphs import AnyGraph, axes, grid, inside
 from .models import Fitted
-from .transform import apply_kernels, beyond_bases, chebyshev, kernels, mode_product, scale_spectral
+from .transform import apply_kernels, beyond_bases, chebyshev, kernels, mode_product, scale_spectral, with_frequencies
 
 #: Draws that are solved together.
 BLOCK = 16
@@ -323,6 +323,40 @@ def _gram(state: DataFrame, features: int, columns: list[str]) -> np.ndarray:
     return np.array([x or 0.0 for x in row]).reshape(features, len(columns))
 
 
+def splitting(seen: DataFrame, prior: Prior, tol: float = 1e-9, max_iter: int = 2000) -> DataFrame:
+    """a of (K + I) a = y by the splitting (K + I) = M - N with M = m I: a <- a + (y - (K + I) a) / m.
+
+    With m = 1 + t / 2, where t bounds the eigenvalues of K, the error shrinks by t / (t + 2) in each step. A step is one
+    job: the change and its norm, by which the iteration stops, come from the write of the new state. ``seen``: the
+    keys and y0; no inner products are needed, so that steps don't wait for the driver's arithmetic on them.
+    """
+    if prior.kernel:
+        raise ValueError("splitting needs a bound on the eigenvalues; kernel axes have none here")
+    keys, top = prior.keys, largest_gain(prior.graph, prior.filter) ** 2 / prior.gamma
+    m = 1 + top / 2
+    state = cut(seen.select(*keys, F.col("y0").alias("r"), F.lit(0.0).alias("a")))
+    start = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    size = start
+    for _ in range(max_iter):
+        if size <= tol * tol * start:
+            return state.select(*keys, F.col("a").alias("a0_0"))
+        moved = prior.apply(state.select(*keys, (F.col("r") / m).alias("_d")), ["_d"]).withColumnRenamed("_d", "_k")
+        step = F.col("r") / m
+        norm = Observation()
+        new = state.join(moved, keys).select(*keys, (F.col("r") - step - F.col("_k")).alias("r"), (F.col("a") + step).alias("a"))
+        state = cut(new.observe(norm, F.sum(F.col("r") * F.col("r")).alias("size")))
+        size = norm.get["size"] or 0.0
+    raise NotConverged(f"no solution after {max_iter} steps")
+
+
+def largest_gain(graph: AnyGraph, g: Filter) -> float:
+    """The largest gain of a filter on a graph; the named ones have it, 1, at frequency 0."""
+    if g.name in NAMES:
+        return 1.0
+    cells = with_frequencies(grid(graph), graph)
+    return float(cells.agg(F.max(F.abs(g.column(*[F.col(f"lam{a}") for a in range(graph.ndim)])))).first()[0])
+
+
 def newton(seen: DataFrame, prior: Prior, link, classes: int, features: int = 0, lam: float = 0.0, tol: float = 1e-6, inner: float = 1e-8, max_steps: int = 50) -> Solution:
     """The maximum for labels under a link; ``seen``: the keys, y0 ... for the classes, and features z0, z1, ..."""
     keys, n_w = prior.keys, features * classes
@@ -395,12 +429,16 @@ class TableModel:
     kernel_tol: float = 1e-9
     link: str = "gaussian"
     classes: int = 1
+    #: "conjugate gradients", or "splitting" for Gaussian models without features.
+    solver: str = "conjugate gradients"
 
     def __post_init__(self) -> None:
         if self.gamma <= 0 or (self.lam is not None and self.lam < 0):
             raise ValueError("gamma must be positive, lam must not be negative")
         if self.link not in ("gaussian", "logistic", "softmax") or (self.link == "softmax") != (self.classes > 1):
             raise ValueError("the link is gaussian or logistic, or softmax with at least two classes")
+        if self.solver not in ("conjugate gradients", "splitting") or self.solver == "splitting" and (self.link != "gaussian" or self.lam is not None):
+            raise ValueError("splitting is for Gaussian models without features")
         require_double(self.y, "v", *(["x"] if self.lam is not None else []))
 
     def with_gamma(self, gamma: float) -> TableModel:
@@ -440,7 +478,10 @@ class TableModel:
         stats = statistics(self.y).first()
         cells = self._cells(prior, features)
         seen = cells.where("v is not null").withColumn("y0", (F.col("v") - stats["loc"]) / stats["scale"])
-        solution = gaussian(seen, prior, features, self.lam or 0.0)
+        if self.solver == "splitting":
+            solution = Solution(splitting(seen, prior), [np.zeros((0, 1))])
+        else:
+            solution = gaussian(seen, prior, features, self.lam or 0.0)
         everywhere = cells if features else self._full(prior)
         whole, b, f = self._predict(prior, solution, everywhere, 0, 1)
         units = lambda c: c * stats["scale"] + stats["loc"]
