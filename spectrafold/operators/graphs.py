@@ -13,6 +13,7 @@ import math
 from functools import cached_property, reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,9 +212,7 @@ class Graph:
                 u = F.when(k == 0, 1 / math.sqrt(n)).otherwise(math.sqrt(2 / n) * F.cos(math.pi * (i + 0.5) * k / n))
             rows = self.spark.range(n).select(F.col("id").cast("int").alias("k"))
             return rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("i", "k", u.alias("u"))
-        u = self.u
-        rows = [(a, b, float(u[a, b])) for a in range(n) for b in range(n)]
-        return self.spark.createDataFrame(rows, "i int, k int, u double")
+        return matrix_table(self.spark, self.u, "k")
 
 
 class ProductGraph:
@@ -309,6 +308,12 @@ class ProductGraph:
         return out
 
 
+def matrix_table(spark: SparkSession, m: np.ndarray, column: str = "j") -> DataFrame:
+    """i, j, u of the entries of a matrix, sent as arrays."""
+    i, j = (x.ravel().astype(np.int32) for x in np.indices(m.shape))
+    return spark.createDataFrame(pa.table({"i": i, column: j, "u": np.ascontiguousarray(m, float).ravel()}))
+
+
 AnyGraph = Graph | ProductGraph
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import Filter
 from ..plans.lineage import cut
-from .graphs import BROADCAST_ROWS, DENSE_NODES, AnyGraph, Graph, axes, grid, inside
+from .graphs import BROADCAST_ROWS, DENSE_NODES, AnyGraph, Graph, axes, grid, inside, matrix_table
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -142,8 +142,7 @@ def axis_kernel(factor: Graph, gain: Column) -> DataFrame:
     n, spark = factor.n, factor.spark
     if not factor.closed:  # at most DENSE_NODES frequencies
         g = np.array([r[0] for r in factor.spectrum().orderBy("k").select(gain.cast("double")).collect()])
-        k = (factor.u * g) @ factor.u.T
-        return spark.createDataFrame([(i, j, float(k[i, j])) for i in range(n) for j in range(n)], "i int, j int, u double")
+        return matrix_table(spark, (factor.u * g) @ factor.u.T)
     pairs = spark.range(n).select(F.col("id").cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     if factor.kind == "complete":
         two = spark.range(2).select((F.col("id") * float(n)).alias("lam")).select("lam", gain.alias("g"))

@@ -3,8 +3,8 @@
 Rows are counted by event-time window and category with a watermark: rows up to ``delay`` late still count,
 later ones don't, and the stream's state of closed windows goes. Each micro-batch gives the counts that
 changed; they are merged into a table of all windows so far beside the stream's checkpoint, one version for
-each batch, so that a batch that runs again writes the same version. The table has the size of the grid, not of
-the stream; the grid is then filtered anew.
+each batch, so that a batch that runs again writes the same version; the version before the last, which no batch needs
+any more, is deleted. The table has the size of the grid, not of the stream; the grid is then filtered anew.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.filters import Filter
 from ..operators.graphs import ProductGraph, grid, inside
 from ..operators.transform import filter_signal
+from ..plans.lineage import remove
 from ..sources.signals import axis
 
 
@@ -55,6 +56,8 @@ def refresh(rows: DataFrame, time: str, category: str, graph: ProductGraph, g: F
         changed.write.mode("overwrite").parquet(version(number))
         counts = changed.sparkSession.read.parquet(version(number))
         sink(filter_signal(to_signal(counts, graph), graph, g), number)
+        if number > 1:
+            remove(changed.sparkSession, version(number - 2))
 
     counts = windowed_counts(rows, time, category, window, delay)
     return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(batch).start()

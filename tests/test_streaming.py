@@ -40,6 +40,7 @@ def test_late_rows_and_categories(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     want = {(0, 0): 1, (0, 1): 0, (1, 0): 0, (1, 1): 1, (2, 0): 2, (2, 1): 1}
+    assert len(list((tmp_path / "state" / "counts").glob("*/_SUCCESS"))) == 2
     assert seen[-1] == want, seen  # the row of day 1 that came when day 1 was closed isn't counted
     counts = spark.createDataFrame([(at(1, 0), k, 1) for k in "abc"], "start timestamp, category string, n long")
     with pytest.raises(Exception, match="outside of the 2 nodes"):
