@@ -39,7 +39,8 @@ def _letters() -> np.ndarray:
     """For each code point the code point of a letter, or a blank."""
     global _table
     if _table is None:
-        _table = np.array([i if chr(i).isalpha() else 32 for i in range(sys.maxunicode + 1)], np.uint32)
+        n = sys.maxunicode + 1
+        _table = np.fromiter((i if chr(i).isalpha() else 32 for i in range(n)), np.uint32, n)
     return _table
 
 

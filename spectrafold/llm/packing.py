@@ -78,7 +78,7 @@ class WordTokens:
     space and matches words between it; other tokenizers get the whole text.
     """
 
-    def __init__(self, path: str, end_id: int, cache_size: int = 500_000) -> None:
+    def __init__(self, path: str, end_id: int, cache_size: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
