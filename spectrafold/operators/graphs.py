@@ -4,7 +4,7 @@ A graph is its number of nodes and a table of directed edges (src, dst, w) with
 edge. A product graph is the list of its factors; its nodes are tuples of factor nodes and are never
 listed. Chains, loops and complete graphs know their spectra in closed form, so that their basis tables
 are expressions over ``range``; other graphs are decomposed by numpy up to ``DENSE_NODES`` nodes. No array
-of more nodes is made for any graph.
+of more nodes is made for any graph: larger random graphs are drawn, joined and counted over tables.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from ..sources.signals import large_axis
+from . import forests
+
 DENSE_NODES = 3000
 #: A factor's basis is broadcast up to this many rows (16 bytes and overhead each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -105,12 +109,25 @@ class Graph:
 
     @classmethod
     def random_tree(cls, spark: SparkSession, n: int, seed: int = 0) -> Graph:
-        """The Euclidean minimum spanning tree of points drawn in the unit square; unit weights."""
+        """The Euclidean minimum spanning tree of points drawn in the unit square; unit weights.
+
+        Up to ``DENSE_NODES`` nodes numpy draws the points and Prim's algorithm joins them; beyond, all of it is done over
+        tables (as in the other random graphs), and the points are others.
+        """
+        if n > DENSE_NODES:
+            return cls(spark, n, _both(forests.spanning_tree(forests.drawn(spark, n, seed))))
         return cls._from_pairs(spark, n, spanning_tree(np.random.default_rng(seed).random((n, 2))))
 
     @classmethod
     def random_connected(cls, spark: SparkSession, n: int, repeats: int = 2, seed: int = 0) -> Graph:
         """The union of ``repeats`` spanning trees: of drawn points, and of these points moved a little."""
+        if n > DENSE_NODES:
+            points = forests.drawn(spark, n, seed)
+            trees = [forests.spanning_tree(points)]
+            for part in range(1, repeats):
+                by = forests.drawn(spark, n, seed, part).select("node", F.col("x").alias("dx"), F.col("y").alias("dy"))
+                trees.append(forests.spanning_tree(points.join(by, "node").select("node", (F.col("x") + 0.1 * F.col("dx")).alias("x"), (F.col("y") + 0.1 * F.col("dy")).alias("y"))))
+            return cls(spark, n, _both(cut(reduce(DataFrame.union, trees).distinct())))
         rng = np.random.default_rng(seed)
         points = rng.random((n, 2))
         pairs = spanning_tree(points)
@@ -123,6 +140,13 @@ class Graph:
         """An r-regular bipartite graph: halves of a shuffled order, joined at r different shifts."""
         if n % 2 or 2 * r > n:
             raise ValueError("n must be even and at least 2 r")
+        if n > DENSE_NODES:
+            nodes = spark.range(n).select(F.struct(F.xxhash64(F.lit(seed), "id").alias("by"), "id").alias("node"))
+            order = cut(large_axis(nodes, "node", "place").select("place", F.col("label.id").cast("int").alias("node")))
+            half = n // 2
+            met = order.where(F.col("place") < half).select(F.col("node").alias("a"), "place", F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("s"))
+            met = met.select("a", (half + (F.col("place") + F.col("s")) % half).alias("place"))
+            return cls(spark, n, _both(met.join(order.withColumnRenamed("node", "b"), "place").select("a", "b")))
         order = np.random.default_rng(seed).permutation(n).tolist()
         half = n // 2
         pairs = {tuple(sorted((order[i], order[half + (i + s) % half]))) for i in range(half) for s in range(r)}
@@ -178,6 +202,12 @@ class Graph:
         """node, near: for each node with edges the list of (dst, w)."""
         return self.edges.groupBy(F.col("src").alias("node")).agg(F.collect_list(F.struct("dst", "w")).alias("near"))
 
+    def components(self) -> int:
+        """How many connected components there are: frequencies of 0, or over tables where the graph isn't decomposed."""
+        if self.n > DENSE_NODES:
+            return 1 if self.closed else forests.components(self.edges, self.n)
+        return int(np.sum(self.lam < 1e-9))
+
     @property
     def closed(self) -> bool:
         """Whether the spectrum is known without a decomposition."""
@@ -358,7 +388,8 @@ def spanning_tree(points: np.ndarray) -> set[tuple[int, int]]:
 
 def _both(pairs: DataFrame) -> DataFrame:
     """Both directions of pairs, with weight 1."""
-    return pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("w", F.lit(1.0))
+    one = pairs.toDF("src", "dst")
+    return one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("w", F.lit(1.0))
 
 
 def _entries(m: DataFrame | np.ndarray, n: int | None, spark: SparkSession | None) -> tuple[DataFrame, int]:
