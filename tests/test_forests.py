@@ -34,3 +34,8 @@ def test_random_graphs_beyond_arrays(spark, monkeypatch):
         ("tree", "nodes"): 10, ("tree", "edges"): 9, ("tree", "components"): 1, ("connected", "nodes"): 10, ("connected", "components"): 1,
         ("regular", "nodes"): 10, ("regular", "edges"): 15, ("regular", "least degree"): 3, ("regular", "greatest degree"): 3,
     }
+
+
+def test_products_of_random_graphs_beyond_arrays(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "DENSE_NODES", 5)
+    assert [tuple(r) for r in catalog.product_random_connected(spark, SF_DIR).orderBy("axis").collect()] == [(0, 10, 1), (1, 25, 1)]
