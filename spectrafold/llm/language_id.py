@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import stores
 from .common import beside, unit_hash
 
 BITS = 15
@@ -198,6 +199,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     schema = T.StructType([read.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores.release()
         if model is not None:
             weights = np.zeros((BUCKETS + 1, len(model.languages)))
             weights[model.rows] = model.weights

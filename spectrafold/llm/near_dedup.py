@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import stores
 from .common import cut, fresh, row_hash, shuffle_partitions, spread_join
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 21, 6
@@ -157,9 +158,6 @@ class Shingled:
         return similarity(self.shingles, other.shingles) >= threshold or self.weighted(other) >= threshold
 
 
-_SHINGLES: dict[int, Shingles] = {}
-
-
 def _id_type(df: DataFrame, doc_id: str) -> str:
     return "long" if isinstance(df.schema[doc_id].dataType, T.IntegralType) else "string"
 
@@ -175,7 +173,7 @@ def sketches(df: DataFrame, doc_id: str, text: str, words: int = WORDS, bands: i
     """doc, the hash of the shingle set (set_a, set_b), n (its size) and band keys of each row; only doc without id or word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = _SHINGLES.setdefault(words, Shingles(words))
+        shingles = stores.shared(("shingles", words), lambda: Shingles(words))
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
@@ -208,7 +206,7 @@ def shingle_sets(df: DataFrame, ids: DataFrame, doc_id: str, text: str, words: i
     """doc, set_a, sorted shingles and their weights (null: all 1) of the documents in ``ids`` (one column, doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = _SHINGLES.setdefault(words, Shingles(words))
+        shingles = stores.shared(("shingles", words), lambda: Shingles(words))
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)

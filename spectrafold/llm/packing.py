@@ -34,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import stores
+
 #: The configuration of a tokenizer whose words can be encoded one by one (fixed values of its file).
 _BY_WORD = (
     ["NFC", "Replace", "Lowercase"],
@@ -281,9 +283,6 @@ class Packer:
         self.held, self.total = [], 0
 
 
-_TOKENS: dict[tuple[str, int], WordTokens] = {}
-
-
 def pack(
     df: DataFrame,
     tokenizer_path: str,
@@ -302,10 +301,8 @@ def pack(
     schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType)] + [T.StructField(*f) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tokenizer_path, end_id)
-        if key not in _TOKENS:
-            _TOKENS[key] = WordTokens(*key)
-        tokens, packer = _TOKENS[key], Packer(capacity, group_windows)
+        tokens = stores.shared(("packing", tokenizer_path, end_id), lambda: WordTokens(tokenizer_path, end_id))
+        packer = Packer(capacity, group_windows)
         held: dict[int, tuple[object, bytes]] = {}  # documents of the open group
         made, base, serial = 0, TaskContext.get().partitionId() << 40, 0
         rows: list[tuple] = []

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import stores
 from .common import beside, unit_hash
 from .fingerprints import shingle_hashes
 
@@ -415,6 +416,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType([read.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores.release()
         matcher = Matcher(list(model.terms))
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
