@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.lineage import cut, scratch
 
-__all__ = ["beside", "crc32_of_id", "cut", "fresh", "let", "row_hash", "scratch", "shuffle_partitions", "spread_join", "table", "unit_hash"]
+__all__ = ["beside", "crc32_of_id", "cut", "fresh", "from_driver", "let", "portions", "row_hash", "scratch", "shuffle_partitions", "spread_join", "table", "texts", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,31 @@ def beside(df: DataFrame, *replaced: str) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names]).alias("row")
 
 
+def texts(df: DataFrame, text: str, *replaced: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """``df`` as one struct ``row`` (see ``beside``), and what finds the texts in a batch of it.
+
+    Whole texts are most of what is sent to a worker and kept there: one that is in ``row`` isn't sent beside it.
+    """
+    row = df.select(beside(df, *replaced))
+    at = [i for i, f in enumerate(row.schema["row"].dataType.fields) if f.name == text and "." not in text]
+    if at:
+        return row, lambda batch: batch.column("row").field(at[0])
+    return df.select(beside(df, *replaced), F.col(text).alias("text")), lambda batch: batch.column("text")
+
+
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that few texts are there as Python strings at once."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, rows):
+            yield whole.slice(start, rows)
+
+
+def from_driver(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few rows as a table, sent as Arrow: tuples would become an RDD, for which executors start Python workers of another kind."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c) for c in columns], names=schema.names), schema)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have: ``name``, with underscores as needed."""
     taken = {c.lower() for c in df.columns}

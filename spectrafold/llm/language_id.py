@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import stores
-from .common import beside, unit_hash
+from .common import from_driver, portions, texts, unit_hash
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -154,8 +154,9 @@ def learn(docs: DataFrame, learn_from: Column | None = None, sample: int = 800,
     picked = usable.select(F.col(text).alias("text"), F.col(lang).alias("lang"), unit_hash(doc_id, text, seed=2).alias("draw"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores.release()
         total, count = np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
+        for batch in portions(batches):
             for t in batch.column(0).to_pylist():
                 if (found := grams(t)) is not None:
                     total[found[0]] += 1
@@ -172,11 +173,12 @@ def learn(docs: DataFrame, learn_from: Column | None = None, sample: int = 800,
 
     sample = max(1, min(sample, total // len(languages)))
     # twice as many are drawn as expected, of which the first of each language are taken
-    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * sample / r["count"])) for r in sizes], "lang string, rate double")
+    rate = T.StructType([T.StructField("lang", T.StringType()), T.StructField("rate", T.DoubleType())])
+    rates = from_driver(docs.sparkSession, [(r["lang"], min(1.0, 2 * sample / r["count"])) for r in sizes], rate)
     first = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             out = []
             for t, k, u in zip(*(c.to_pylist() for c in batch.columns)):
                 if (found := grams(t)) is not None:
@@ -195,7 +197,7 @@ def learn(docs: DataFrame, learn_from: Column | None = None, sample: int = 800,
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``, the calibrated probability of that language."""
-    read = df.select(beside(df, "lang_pred", "score"), F.col(text).alias("text"))
+    read, told = texts(df, text, "lang_pred", "score")
     schema = T.StructType([read.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,21 +205,19 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         if model is not None:
             weights = np.zeros((BUCKETS + 1, len(model.languages)))
             weights[model.rows] = model.weights
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                best, scores = [], []
-                for t in batch.column("text").to_pylist():
-                    found = grams(t) if model is not None else None
-                    if found is None:
-                        best.append(UNKNOWN)
-                        scores.append(0.0)
-                        continue
-                    x = weigh(*found, model.idf)
-                    p = softmax((x @ weights[found[0]] + 0.2 * weights[BUCKETS]) / model.temperature)
-                    k = int(p.argmax())
-                    best.append(model.languages[k])
-                    scores.append(float(p[k]))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+        for batch in portions(batches):
+            best, scores = [], []
+            for t in told(batch).to_pylist():
+                found = grams(t) if model is not None else None
+                if found is None:
+                    best.append(UNKNOWN)
+                    scores.append(0.0)
+                    continue
+                x = weigh(*found, model.idf)
+                p = softmax((x @ weights[found[0]] + 0.2 * weights[BUCKETS]) / model.temperature)
+                k = int(p.argmax())
+                best.append(model.languages[k])
+                scores.append(float(p[k]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return read.mapInArrow(run, schema).select("row.*", "lang_pred", "score")

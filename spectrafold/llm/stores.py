@@ -5,6 +5,8 @@ Spark uses its workers again, so that the stores of all operators of a pipeline
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Hashable
 from typing import Any
@@ -23,8 +25,9 @@ def shared(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def release() -> None:
-    """Let go of the store that is held."""
-    if _held:
-        _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+    """Let go of the store that is held, and give the memory back that it and the texts of earlier tasks took."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)

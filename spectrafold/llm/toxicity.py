@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import stores
-from .common import beside, unit_hash
+from .common import from_driver, portions, texts, unit_hash
 from .fingerprints import shingle_hashes
 
 _WORDS = re.compile(r"\w+")
@@ -287,6 +287,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
     """term, stem, and in how many toxic and other texts of each fold it occurs (pos0, neg0, pos1, neg1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores.release()
         for batch in batches:
             counts: dict[tuple[str, bool], list[int]] = {}
             for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
@@ -356,7 +357,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     first = lambda label: read.where(label).select("toxic", "_draw", "_id", "_t", "_s").orderBy("_draw", "_id", "_t").limit(sample).collect()
     kept = distinct_texts(first("toxic") + first("not toxic"))
     key = ["toxic", "_id", "_t"]
-    kept = docs.sparkSession.createDataFrame(kept, read.select(*key).schema)
+    kept = from_driver(docs.sparkSession, kept, read.select(*key).schema)
     rows = read.join(F.broadcast(kept), key).dropDuplicates(key).select("text", "toxic", F.pmod(F.col("_s")[0], F.lit(2)).cast("int").alias("fold")).persist()
     all_counts = None
     try:
@@ -412,16 +413,14 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``score`` (0 to 1) and ``predicted`` (1 from one half)."""
-    read = df.select(beside(df, "score", "predicted"), F.col(text).alias("text"))
+    read, told = texts(df, text, "score", "predicted")
     schema = T.StructType([read.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stores.release()
         matcher = Matcher(list(model.terms))
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                scores = pa.array([model.score(t, matcher) for t in batch.column("text").to_pylist()], pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column("row"), scores], names=schema.names)
+        for batch in portions(batches):
+            scores = pa.array([model.score(t, matcher) for t in told(batch).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), scores], names=schema.names)
 
     return read.mapInArrow(run, schema).select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
