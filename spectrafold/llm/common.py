@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.lineage import cut, scratch
+from ..plans.lineage import cut, free, scratch
 
-__all__ = ["beside", "crc32_of_id", "cut", "fresh", "from_driver", "let", "portions", "row_hash", "scratch", "shuffle_partitions", "spread_join", "table", "texts", "unit_hash"]
+__all__ = ["beside", "crc32_of_id", "cut", "free", "fresh", "from_driver", "let", "portions", "row_hash", "scratch", "shuffle_partitions", "spread_join", "table", "texts", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

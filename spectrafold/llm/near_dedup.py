@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import stores
-from .common import cut, fresh, row_hash, shuffle_partitions, spread_join
+from .common import cut, free, fresh, row_hash, shuffle_partitions, spread_join
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 21, 6
 #: Documents of a bucket, and shingles of them, that a block holds; two blocks are compared in one task.
@@ -251,17 +251,23 @@ def components(links: DataFrame) -> DataFrame:
     ends = cut(both.select("b", "salt").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
     while True:
-        carried = ends.join(labels.select(F.col("node").alias("b"), "label"), "b")
-        near = both.join(carried, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = cut(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next")))
-        jump = lower.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = cut(spread_join(lower, jump, ["next"], "node").select("node", "label", F.least("next", "far").alias("next")))
+        new = _spread(both, ends, labels)
         changed = new.where("next <> label").limit(1).count()
         labels = new.select("node", F.col("next").alias("label"))
+        free(links.sparkSession)  # the files of a round are as large as the links, however many rounds there are
         if not changed:
             return labels
 
 
+def _spread(both: DataFrame, ends: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label and next (the smaller label that it gets) after one round of ``components``."""
+    carried = ends.join(labels.select(F.col("node").alias("b"), "label"), "b")
+    near = both.join(carried, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+    lower = cut(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next")))
+    jump = lower.select(F.col("node").alias("next"), F.col("next").alias("far"))
+    return cut(spread_join(lower, jump, ["next"], "node").select("node", "label", F.least("next", "far").alias("next")))
+
+
 def _crossing(members: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between members of a bucket with different labels, as many as it takes to join them.
 
@@ -332,6 +338,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     shared = buckets.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("last"), blocks.alias("blocks")).where("centre < last").drop("last")
     members = cut(spread_join(buckets.drop("n"), shared, ["bucket"], "doc"))
     sets = cut(shingle_sets(df, members.select("doc").distinct(), doc_id, text, words))
+    free(df.sparkSession)
     stars = members.where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
     links = cut(verified(stars, sets, threshold))
     # buckets that hold more than one class: all of their members, not only those next to the centre
@@ -340,6 +347,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     opened = spread_join(labelled, mixed, ["bucket"], "doc").join(sets.join(alone.select("doc", "set_a", "bands"), ["doc", "set_a"]).drop("set_a"), "doc")
     crossing = cut(_crossing(opened, threshold))
+    free(df.sparkSession)
     final = components(links.union(crossing)).withColumnRenamed("node", "doc")
     classes = alone.join(final, "doc", "left").select("set_a", "set_b", F.coalesce("label", "doc").alias("class_id"))
     told = spread_join(worded.select("doc", "set_a", "set_b"), classes, ["set_a", "set_b"], "doc").select("doc", "class_id")

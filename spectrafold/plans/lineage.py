@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files, and checkpoints, of tables that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a driver with little to do puts off while the files add up.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for tables in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

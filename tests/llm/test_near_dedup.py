@@ -106,3 +106,12 @@ def test_large_groups_of_copies_and_blocks(spark, monkeypatch):
     rows += [(100 + i, rows[0][1]) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == {0}
+
+
+def test_files_are_freed_in_each_round(spark, monkeypatch):
+    rounds, freed, spread, free = [], [], near_dedup._spread, near_dedup.free
+    monkeypatch.setattr(near_dedup, "_spread", lambda *a: rounds.append(1) or spread(*a))
+    monkeypatch.setattr(near_dedup, "free", lambda session: freed.append(1) or free(session))
+    links = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")
+    assert {(r["node"], r["label"]) for r in near_dedup.components(links).collect()} == {(i, 0) for i in range(7)}
+    assert len(freed) == len(rounds) > 1
