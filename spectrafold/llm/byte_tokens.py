@@ -34,10 +34,22 @@ _ODD = "[\\t-\\r\\x1c- \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 _WORD = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f]+$"
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The pieces of ``flat`` that begin at ``starts`` and have ``sizes``, one after another."""
-    before = np.cumsum(sizes) - sizes
-    return flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray | None = None, together: int = 1 << 16) -> np.ndarray:
+    """The pieces of ``flat`` that begin at ``starts`` and have ``sizes``, one after another; or ``which`` of them.
+
+    So many pieces at once, since the places to take are as many as what is taken, and larger.
+    """
+    count = len(starts if which is None else which)
+    parts = [slice(a, a + together) if which is None else which[a : a + together] for a in range(0, count, together)]
+    out = np.empty(sum(int(sizes[p].sum()) for p in parts), flat.dtype)
+    at = 0
+    for part in parts:
+        n = sizes[part]
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        np.take(flat, np.repeat(starts[part] - (ends - n), n) + np.arange(total), out=out[at : at + total], mode="clip")
+        at += total
+    return out
 
 
 def slices(texts: pa.StringArray, together: int = 16 << 20) -> list[tuple[int, int]]:
@@ -174,10 +186,7 @@ class ByteTokens:
         """The same for texts that can be cut."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        marked = pc.binary_join_element_wise(pa.scalar(_JOINED), texts, "")
-        lists = pc.split_pattern(pc.replace_substring(marked, "\n", f" {_JOINED}\n {_JOINED}"), " ")
-        coded = lists.flatten().dictionary_encode()
-        keys, occurs = coded.dictionary, coded.indices.to_numpy()
+        keys, occurs, offsets = self._split(texts)
         cores = pc.utf8_rtrim(keys, characters=_MARKS)
         word = pc.match_substring_regex(cores, _WORD).to_numpy(zero_copy_only=False)
         words = cores.filter(pa.array(word)).dictionary_encode()
@@ -205,9 +214,22 @@ class ByteTokens:
         flat = gather(flat, starts[pieces], sizes[pieces])  # now by keys
         sizes = sizes[first] + sizes[second]
         starts = np.cumsum(sizes) - sizes
-        n = sizes[occurs]
-        ends = np.concatenate([[0], np.cumsum(n)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return gather(flat, starts[occurs], n), np.diff(ends)
+        ends = np.zeros(len(occurs) + 1, np.int64)
+        np.cumsum(sizes[occurs], out=ends[1:])
+        n = np.diff(ends[offsets])
+        del ends  # as long as the parts are many
+        return gather(flat, starts, sizes, occurs), n
+
+    @staticmethod
+    def _split(texts: pa.StringArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct keys of parts, the key of each part, and where each text's parts begin and the last one's end."""
+        marked = pc.binary_join_element_wise(pa.scalar(_JOINED), texts, "")
+        marked = pc.replace_substring(marked, "\n", f" {_JOINED}\n {_JOINED}")
+        lists = pc.split_pattern(marked, " ")
+        del marked
+        offsets = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy(), offsets - offsets[0]
 
     def _words_array(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, each with a blank before it, and how many each has."""

@@ -1,10 +1,12 @@
 """Byte-level ids against the library, and token files: round trip, order, index, Bloom filters, odd tables."""
 
 import random
+import tracemalloc
 import zlib
 from array import array
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.orc as orc
@@ -107,3 +109,16 @@ def _scan_rows(df):
         metrics = leaves.apply(i).metrics()
         if metrics.contains("numOutputRows"):
             yield metrics.apply("numOutputRows").value()
+
+
+def test_gather_takes_little_memory():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 8, 1_000)
+    flat, starts, which = np.arange(sizes.sum(), dtype=np.uint32), np.cumsum(sizes) - sizes, rng.integers(0, 1_000, 500_000)
+    tracemalloc.start()
+    got = byte_tokens.gather(flat, starts, sizes, which)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * got.nbytes + (4 << 20)
+    assert (got[: sizes[which[0]]] == flat[starts[which[0]] :][: sizes[which[0]]]).all() and len(got) == sizes[which].sum()
+    assert (byte_tokens.gather(flat, starts, sizes, together=7) == flat).all() and not len(byte_tokens.gather(flat, starts[:0], sizes[:0]))
